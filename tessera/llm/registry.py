@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query -> the module of this subpackage that has it.
 _QUERIES = {
     "op1_exact_dedup": "exact_dedup",
+    "op4_language_id": "language_id",
     "op7_simhash": "simhash",
     "op9_packing": "packing",
     "op10_secrets": "secrets",
