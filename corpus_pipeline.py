@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import materialize, read_table
 from tessera.llm.exact_dedup import deduplicate
 from tessera.llm.language_id import drop_rejected, sample, train
+from tessera.llm.near_copies import drop_near_copies
 from tessera.llm.packing import default_vocabulary, pack_documents
 from tessera.llm.secrets import redact
-from tessera.llm.simhash import drop_near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest doc_id.
 
-    Shingles of five words; fingerprints link at three differing bits, which texts of a similarity of 0.8 or more
-    reach and unrelated ones do not.
+    Shingles of five words and a similarity of 0.8, found by SimHash and its covering tables.
     """
-    return drop_near_duplicates(docs, shingle=5)
+    return drop_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
