@@ -101,7 +101,7 @@ def _forest(ids: np.ndarray, sketches: np.ndarray, similarity: float, error: flo
             # An eighth of the places, with four of its standard errors, spares most of the full comparisons.
             here, there = sketches[at, ::8], eighth[rest]
             filled = ((there > 0) | (here > 0)).sum(axis=1)
-            rest = rest[((there == here) & (there > 0)).sum(axis=1) >= (similarity - 4 * 8**0.5 * error / 2) * filled]
+            rest = rest[((there == here) & (there > 0)).sum(axis=1) >= similarity * filled - 4 * np.sqrt(similarity * (1 - similarity) * filled)]
             here, there = sketches[at], sketches[rest]
             same = ((there == here) & (there > 0)).sum(axis=1)
             filled = ((there > 0) | (here > 0)).sum(axis=1)

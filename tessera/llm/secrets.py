@@ -22,7 +22,8 @@ from tessera.llm.common import materialize, read_table, text_or_empty
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# Runs of hex digits are maximal, so asking for 16 in the pattern finds the same runs as dropping shorter ones later.
+HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "random"]
 
 #: Candidates of the battery, at least MIN_LENGTH symbols.
@@ -58,7 +59,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {
         "assign": F.filter(spans(text, ASSIGN), lambda m: size(F.regexp_extract(m["found"], ASSIGN_VALUE, 1)) >= 12),
         "access": F.filter(spans(text, ACCESS), lambda m: size(m["found"]) >= 18),
-        "hex": F.filter(spans(text, HEX), lambda m: size(m["found"]) >= 16),
+        "hex": spans(text, HEX),
     }
 
 
@@ -139,11 +140,11 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """
     text = F.col("text")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    hit = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(r"[0-9a-f]{16,}") | text.rlike(TOKEN)
+    hit = ((text.contains("=") | text.contains(":")) & text.rlike(ASSIGN)) | (text.contains("AKIA") & text.rlike(ACCESS)) | text.rlike(HEX) | text.rlike(TOKEN)
     found = rows.filter(hit).withColumns({**{f"_{k}": v for k, v in base_spans(text).items()}, "_random": spans(text, TOKEN)})
     tag = lambda k: F.transform(f"_{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), m["end"].alias("end")))
     found = found.select("doc_id", F.xxhash64("text").alias("_text"), F.concat(*map(tag, KINDS[:3])).alias("base"), "_random")
-    found = materialize(found.filter((F.size("base") > 0) | (F.size("_random") > 0)).withColumn("row", F.monotonically_increasing_id()), "secret-rows")
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "secret-rows")
     token = F.explode(F.filter("_random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
     tokens = battery(found.select("row", token.alias("m")).select("row", "m.start", "m.end", "m.found"))
     tokens = materialize(tokens.withColumn("band", band(F.col("end") - F.col("start"))).drop("found"), "secret-tokens")
