@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_exact_dedup": "exact_dedup",
     "op4_language_id": "language_id",
+    "op6_quality": "quality_rff",
     "op7_simhash": "simhash",
     "op9_packing": "packing",
     "op10_secrets": "secrets",
