@@ -7,7 +7,9 @@ from importlib import import_module
 #: Query -> the module of this subpackage that has it.
 _QUERIES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_html_extraction": "html_extract",
     "op4_language_id": "language_id",
+    "op5_media_columns": "media_jpeg",
     "op6_quality": "quality_rff",
     "op7_simhash": "simhash",
     "op9_packing": "packing",
