@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_html_extraction": "html_extract",
+    "op3_sentencepiece": "sentencepiece_sampling",
     "op4_language_id": "language_id",
     "op5_media_columns": "media_jpeg",
     "op6_quality": "quality_rff",
