@@ -13,6 +13,7 @@ _QUERIES = {
     "op5_media_columns": "media_jpeg",
     "op6_quality": "quality_rff",
     "op7_simhash": "simhash",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_packing": "packing",
     "op10_secrets": "secrets",
 }
