@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from tessera.plans import audit, pairing
+
 FLAGSHIP = "documents_manifest"
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
+_MODULES = (audit, pairing)
 
 
 def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
