@@ -2,8 +2,8 @@
 
 A text is lower-cased, everything but letters becomes one space, and its byte n-grams of ``NGRAMS`` are hashed into
 ``BUCKETS`` rows of an embedding table.  Their mean feeds a softmax.  Table and weights are trained by stochastic
-gradient descent in numpy on a bounded, evenly spread sample of labelled rows; part of it sets the temperature and
-the rejection threshold.  Embedding times weights is folded into one small table of logits per bucket, so scoring a
+gradient descent in numpy on a bounded, evenly spread sample of labelled rows; part of it sets the
+temperature that makes scores probabilities, and low ones are rejected.  Embedding times weights is folded into one small table of logits per bucket, so scoring a
 text is a gather and a mean over all of it.
 """
 
@@ -24,9 +24,9 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 #: The labelled rows that training sees at most, over all languages together.
 SAMPLE_ROWS = 3000
-EPOCHS, RATE, BATCH = 60, 4.0, 32
-#: Rejection: the share of right answers that the accepted validation texts must have, by calibrated score.
-PRECISION = 0.995
+EPOCHS, STEPS, RATE, BATCH = 60, 40_000, 4.0, 32
+#: A text is rejected when its calibrated probability is below this: it is then likelier wrong than right.
+LEAST_SCORE = 0.5
 UNKNOWN = "und"
 
 
@@ -119,8 +119,9 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
     mean = lambda i: bags[i][1] @ table[bags[i][0]]
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(5, min(EPOCHS, STEPS // len(rows)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(kept)
         for at in range(0, len(kept), BATCH):
             part = kept[at : at + BATCH]
@@ -132,26 +133,11 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             bias -= 0.1 * rate / len(part) * error.sum(axis=0)
             for i, g in zip(part, back, strict=True):
                 table[bags[i][0]] -= rate / len(part) * 8 * bags[i][1][:, None] * g
-        if epoch >= 5 and len(rows) * epoch > 40_000:
-            break
     z = np.stack([mean(i) for i in held]) @ weights + bias
     grid = np.geomspace(0.25, 16, 49)
     nll = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(nll))])
-    p = _softmax(z / temperature)
-    return Model(languages, (table @ weights).astype(np.float32), bias, temperature, _threshold(p.max(axis=1), p.argmax(axis=1) == y[held]))
-
-
-def _threshold(score: np.ndarray, right: np.ndarray) -> float:
-    """The least score from which on the accepted validation rows are right as often as PRECISION asks."""
-    order = np.argsort(-score, kind="stable")
-    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(share >= PRECISION)
-    if not len(good):
-        return float(score.max())
-    last = good[-1]
-    # When all validation rows pass, anything no worse than half as sure as the least sure of them is accepted.
-    return float(score[order[last]]) if last + 1 < len(order) else float(score[order[last]] / 2)
+    return Model(languages, (table @ weights).astype(np.float32), bias, temperature, LEAST_SCORE)
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
