@@ -38,13 +38,15 @@ def nearest_distance(cloth: DataFrame, body: DataFrame, pair: str = "mesh_id") -
         out = c.copy()
         out["clearance"] = np.nan
         if len(c) and len(b):
-            there = b[["x", "y", "z"]].to_numpy()
+            there = b[["bx", "by", "bz"]].to_numpy()
             here = c[["x", "y", "z"]].to_numpy()
             out["clearance"] = np.concatenate([np.sqrt(((here[i : i + BLOCK, None] - there[None]) ** 2).sum(axis=2)).min(axis=1) for i in range(0, len(here), BLOCK)])
         return out
 
+    # Own names: both sides may come from one table, whose columns could not be told apart.
+    points = body.select(F.col(pair).alias("_body"), *(F.col(c).cast("double").alias(f"b{c}") for c in "xyz"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", clearance double"
-    return cloth.groupBy(pair).cogroup(body.groupBy(pair)).applyInPandas(both, schema).withColumn("clearance", F.nanvl("clearance", F.lit(None).cast("double")))
+    return cloth.groupBy(pair).cogroup(points.groupBy("_body")).applyInPandas(both, schema).withColumn("clearance", F.nanvl("clearance", F.lit(None).cast("double")))
 
 
 def outcomes(v: DataFrame, by: list[str], contact: float = 0.3, tight: float = 1.0) -> DataFrame:

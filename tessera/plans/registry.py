@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import audit, pairing
+from tessera.plans import audit, learning, pairing
 
 FLAGSHIP = "documents_manifest"
-_MODULES = (audit, pairing)
+_MODULES = (audit, pairing, learning)
 
 
 def queries() -> dict[str, Callable]:
