@@ -103,7 +103,7 @@ def with_flag(existing: Col, flag: str, cond: Column) -> Column:
 
 def serialize(fields: dict[str, Col]) -> Column:
     """``KEY=value`` words with six decimals, ``NA`` for null."""
-    return F.concat_ws(" ", *(F.concat(F.lit(k + "="), F.coalesce(F.format_string("%.6f", c(v).cast("double")), F.lit("NA"))) for k, v in fields.items()))
+    return F.concat_ws(" ", *(F.concat(F.lit(k + "="), F.when(c(v).isNotNull(), F.format_string("%.6f", c(v).cast("double"))).otherwise("NA")) for k, v in fields.items()))
 
 
 def parse_pairs(text: Col) -> Column:

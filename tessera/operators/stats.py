@@ -112,10 +112,10 @@ def auroc(df: DataFrame, score: str, label: Column) -> DataFrame:
 def risk_coverage(df: DataFrame, score: str, key: str, right: Column, steps: int = 10) -> DataFrame:
     """Accuracy of what is left when the k highest scores abstain, for k in tenths; ties by ``key``."""
     # Ranks come from running counts of distinct scores, and only rows near a cut need their order within a score.
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("m"))
-    above = running_sums(counts.withColumn("neg", -F.col("s")), [], "neg", ["m"]).select("s", (F.col("cum_m") - F.col("m")).alias("_above"))
-    within = Window.partitionBy(score).orderBy(key)
-    ranked = df.select(F.col(score), F.col(key), right.cast("double").alias("_ok")).withColumn("_r", F.row_number().over(within)).join(above, F.col(score) == F.col("s"))
+    rows = df.select(F.col(score).alias("_s"), F.col(key).alias("_k"), right.cast("double").alias("_ok"))
+    counts = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_m"))
+    above = running_sums(counts.withColumn("_neg", -F.col("_s")), [], "_neg", ["_m"]).select("_s", (F.col("cum__m") - F.col("_m")).alias("_above"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_k"))).join(above, "_s")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     placed = ranked.join(F.broadcast(total)).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / steps)))
     slot = F.floor((F.col("_above") + F.col("_r") - 1) / F.col("_step"))
