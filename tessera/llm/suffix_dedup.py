@@ -166,8 +166,17 @@ _CONTEXT = "key bigint, owner bigint, ctx bigint, off int, starts int, anchor in
 _COLUMNS = [c.split()[0] for c in _CONTEXT.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 _FOUND = "owner bigint, ctx bigint, s int, e int, repeat bigint"
-#: Widths of the parts that hot owners are split into, each a quarter of the one before; the last are single starts.
-STEPS = (128, 32, 8, 2, 1)
+
+
+def _steps(least: int) -> list[int]:
+    """Widths of the parts that hot owners are split into, each a quarter of the one before; the last is one start.
+
+    The first is at most a third of ``least``, so that the starts of a part share most of their bytes.
+    """
+    steps = [1 << ((max(3, least) // 3).bit_length() - 1)]
+    while steps[-1] > 1:
+        steps.append(max(1, steps[-1] // 4))
+    return steps
 
 
 def _search(rows: DataFrame, least: int) -> DataFrame:
@@ -225,7 +234,7 @@ def _whole(rows: DataFrame, least: int) -> DataFrame:
 def _context_repeats(contexts: DataFrame, least: int, limit: int) -> list[DataFrame]:
     """Repeats of the distinct contexts (with ``rows``, the number of contexts of a key), hot keys split and split again."""
     found = []
-    for step in STEPS:
+    for step in _steps(least):
         found.append(_search(contexts.filter(F.col("rows") <= limit), least))
         hot = contexts.filter(F.col("rows") > limit)
         if hot.isEmpty():
