@@ -127,8 +127,10 @@ def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
 def _dc_first(data: bytes, blocks: list[np.ndarray], turns: list[int], tables: list[dict], al: int) -> None:
     """``turns``: the component of each block in the order of the scan."""
     if len(blocks) == 1 and {n for n, _ in tables[0]} == {4}:
-        bits = np.unpackbits(np.frombuffer(data + b"\xff\xff", np.uint8)).astype(np.int64)
-        window = sum(bits[k : len(bits) - 15 + k] << (15 - k) for k in range(16))
+        bits = np.unpackbits(np.frombuffer(data + b"\xff\xff", np.uint8)).astype(np.int32)
+        window = bits[:-15]
+        for k in range(1, 16):
+            window = window << 1 | bits[k : len(bits) - 15 + k]
         seen, at, sizes = window.tolist(), 0, [tables[0].get((4, c), 0) for c in range(16)]
         starts = []
         for _ in turns:
@@ -148,6 +150,9 @@ def _dc_first(data: bytes, blocks: list[np.ndarray], turns: list[int], tables: l
 
 def _dc_refine(data: bytes, blocks: list[np.ndarray], turns: list[int], al: int) -> None:
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=len(turns))
+    if len(blocks) == 1:
+        blocks[0][:, 0] |= bits.astype(np.int32) << al
+        return
     order = np.array(turns)
     for c, x in enumerate(blocks):
         x[:, 0] |= bits[order == c].astype(x.dtype) << al
@@ -156,7 +161,7 @@ def _dc_refine(data: bytes, blocks: list[np.ndarray], turns: list[int], al: int)
 def _ac_first(data: bytes, x: np.ndarray, table: dict, ss: int, se: int, al: int) -> None:
     if list(table) == [(1, 0)] and table[1, 0] == 7:
         v = np.frombuffer(data, np.uint8, len(x) * (se - ss + 1)).reshape(len(x), -1).astype(x.dtype)
-        x[:, ss : se + 1] = np.where(v >= 64, v, v - 127) * (1 << al)
+        x[:, ss : se + 1] = (v - 127 * (v < 64)) << al
         return
     reader, run = _Bits(data), 0
     for block in x:
@@ -185,8 +190,9 @@ def _ac_refine(data: bytes, x: np.ndarray, table: dict, ss: int, se: int, al: in
             r = table[4, int(bits[at : at + 4] @ (8, 4, 2, 1))] >> 4
             run = (1 << r) + int("".join(map(str, bits[at + 4 : at + 4 + r])) or "0", 2)
             at += 4 + r
-            fixed = bits[at : at + run * part.shape[1]].reshape(run, -1).astype(x.dtype) * bit
-            part[done : done + run] += np.sign(part[done : done + run]) * fixed
+            fixed = bits[at : at + run * part.shape[1]].reshape(run, -1)
+            low = part[done : done + run]
+            low += np.where(low > 0, bit, -bit).astype(x.dtype) * fixed
             at, done = at + fixed.size, done + run
         return
     reader, run = _Bits(data), 0
@@ -263,15 +269,16 @@ def _accumulate(data: bytes, coefficients: list[np.ndarray], frame: dict, chosen
     places = []
     for i, _ in chosen:
         (down, across), (_, h, v, _) = frame["grid"][i], frame["parts"][i]
-        grid = np.arange(down * across).reshape(down, across)
         if len(chosen) > 1:
-            places.append(grid.reshape(down // v, v, across // h, h).transpose(0, 2, 1, 3).reshape(-1, v * h))
-        else:  # a scan of one component visits the blocks that hold picture only
-            hm, vm = max(p[1] for p in frame["parts"]), max(p[2] for p in frame["parts"])
-            places.append(grid[: -(-frame["height"] * v // (8 * vm)), : -(-frame["width"] * h // (8 * hm))].reshape(-1, 1))
-    blocks = [coefficients[i][p.ravel()] for (i, _), p in zip(chosen, places, strict=True)]
+            places.append(np.arange(down * across).reshape(down // v, v, across // h, h).transpose(0, 2, 1, 3).reshape(-1, v * h))
+            continue
+        # A scan of one component visits the blocks that hold picture only; most often these are all, in order.
+        hm, vm = max(p[1] for p in frame["parts"]), max(p[2] for p in frame["parts"])
+        used = -(-frame["height"] * v // (8 * vm)), -(-frame["width"] * h // (8 * hm))
+        places.append(None if used == (down, across) else np.arange(down * across).reshape(down, across)[: used[0], : used[1]].reshape(-1, 1))
+    blocks = [coefficients[i] if p is None else coefficients[i][p.ravel()] for (i, _), p in zip(chosen, places, strict=True)]
     if ss == 0:
-        turns = [c for c, p in enumerate(places) for _ in range(p.shape[1])] * len(places[0])
+        turns = [0] * len(blocks[0]) if len(chosen) == 1 else [c for c, p in enumerate(places) for _ in range(p.shape[1])] * len(places[0])
         if ah:
             _dc_refine(data, blocks, turns, al)
         else:
@@ -279,7 +286,8 @@ def _accumulate(data: bytes, coefficients: list[np.ndarray], frame: dict, chosen
     else:
         (_ac_refine if ah else _ac_first)(data, blocks[0], tables[0x10 | chosen[0][1] & 15], ss, se, al)
     for (i, _), p, x in zip(chosen, places, blocks, strict=True):
-        coefficients[i][p.ravel()] = x
+        if p is not None:
+            coefficients[i][p.ravel()] = x
 
 
 def payload_of(coefficients: list[np.ndarray], frame: dict) -> bytes:
