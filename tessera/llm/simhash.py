@@ -5,7 +5,7 @@ odd product with v.  The vectors of any ``radius`` places are orthogonal to some
 most ``radius`` bits agree on every kept place of that table: no pair is lost, whatever the data.  Work is done on
 distinct fingerprints.  Buckets are linked by a spanning forest (n - 1 links at most, not all pairs); a bucket of over
 ``bucket_limit`` fingerprints is split by a second covering of the places its own table does not keep.  After that at
-most 14 places are free, so no bucket holds over 16,384 fingerprints.  Groups come from a star contraction.
+most 16 places are free, so no bucket holds over 65,536 fingerprints.  Groups come from a star contraction.
 """
 
 from __future__ import annotations
