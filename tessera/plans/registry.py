@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import audit, learning, pairing
+from tessera.plans import audit, contracts, learning, pairing
 
 FLAGSHIP = "documents_manifest"
-_MODULES = (audit, pairing, learning)
+_MODULES = (audit, pairing, contracts, learning)
 
 
 def queries() -> dict[str, Callable]:
