@@ -28,7 +28,7 @@ from tessera.llm.common import materialize, read_table, slices, text_or_empty, u
 LEAST = 400
 KMER = 128
 #: Distinct contexts of one owner that one task takes, and bytes of contexts that are searched together.
-CONTEXT_LIMIT = 6000
+CONTEXT_LIMIT = 500
 CHUNK_BYTES = 4 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 
