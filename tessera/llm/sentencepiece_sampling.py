@@ -51,75 +51,90 @@ class Lattices:
             raise ValueError("a piece with an inner word mark would join units")
         self.fallback = alpha * (min(model.get_score(i) for i in plain) - 10)
         self.bytes_of = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].encode() for i in range(size)]
-        #: By piece length: sorted hashes, ids, weights.
+        #: By length: sorted hashes of the beginnings of pieces, and which are pieces (id or -1, weight).
         self.tables = []
         for length in range(1, max(map(len, self.weight)) + 1):
-            of = [(n, *w) for n, w in self.weight.items() if len(n) == length]
-            h = np.zeros(len(of), np.uint64)
-            codes = np.array([[ord(c) for c in n] for n, _, _ in of], np.uint64).reshape(len(of), length)
+            heads = sorted({n[:length] for n in self.weight if len(n) >= length})
+            h, codes = np.zeros(len(heads), np.uint64), np.array([[ord(c) for c in n] for n in heads], np.uint64).reshape(len(heads), length)
             for k in range(length):
                 h = h * _TURN + codes[:, k] + np.uint64(1)
             order = np.argsort(h)
-            self.tables.append((h[order], np.array([i for _, i, _ in of], np.int32)[order], np.array([w for _, _, w in of])[order]))
+            found = [self.weight.get(n, (-1, 0.0)) for n in heads]
+            self.tables.append((h[order], np.array([i for i, _ in found], np.int32)[order], np.array([w for _, w in found])[order]))
         self.clear()
 
     def clear(self) -> None:
         """States are numbered through all units; a unit has one for its start and one behind each character."""
         self.ends: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)
-        self.cumulative, self.jump, self.piece = np.zeros(0), np.zeros(0, np.int16), np.zeros(0, np.int32)
+        self.cumulative, self.jump, self.piece = np.zeros(0, np.float32), np.zeros(0, np.int16), np.zeros(0, np.int32)
 
     def add(self, units: list[str]) -> None:
         """Forward filtering of new units, short ones together and long ones each alone."""
-        short = sorted((u for u in units if len(u) <= 32), key=len, reverse=True)
-        for group in [short, *([u] for u in units if len(u) > 32)]:
+        for group in [[u for u in units if len(u) <= 32], *([u] for u in units if len(u) > 32)]:
             if group:
                 self._filter(group)
 
-    def _filter(self, units: list[str]) -> None:
-        """``units``: from long to short.  A character that is no piece costs one fallback, written in bytes later."""
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.array([len(u) for u in units])
-        begin, n, width = np.cumsum(sizes) - sizes, len(codes), len(self.tables)
-        left = np.repeat(begin + sizes, sizes) - np.arange(n)
-        # weight and piece of the substring that starts at a place, by its length less one
-        weight, piece = np.full((n, width), -np.inf), np.zeros((n, width), np.int32)
-        h = np.zeros(n, np.uint64)
+    def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, length, piece, weight) of all pieces in the characters ``codes``, ``left`` of which belong to the unit.
+
+        Only places where some piece could still go on are looked at again for the next length.  A character that is
+        no piece gets a fallback edge, whose bytes are written in full later.
+        """
+        at, h, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        plain = np.zeros(len(codes), bool)
         for k, (hashes, ids, weights) in enumerate(self.tables):
-            at = np.flatnonzero(left > k)
+            keep = left[at] > k
+            at, h = at[keep], h[keep]
             if not len(at):
                 break
-            h[at] = h[at] * _TURN + codes[at + k] + np.uint64(1)
-            if len(hashes):
-                found = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-                hit = hashes[found] == h[at]
-                weight[at[hit], k], piece[at[hit], k] = weights[found[hit]], ids[found[hit]]
-        rare = np.isneginf(weight[:, 0])
-        weight[rare, 0], piece[rare, 0] = self.fallback, -codes[rare].astype(np.int32) - 1
-        alpha = np.zeros((len(units), int(sizes[0]) + 1))
-        share, piece_at = np.zeros((n, width)), np.zeros((n, width), np.int32)
-        for end in range(1, int(sizes[0]) + 1):
-            k, m = int(np.searchsorted(-sizes, -end, "right")), min(end, width)
-            at, back = begin[:k], np.arange(m)
-            start = at[:, None] + end - 1 - back
-            score = alpha[:k, end - 1 - back] + weight[start, back]
-            top = score.max(axis=1)
-            p = np.exp(score - top[:, None])
-            total = p.sum(axis=1)
-            alpha[:k, end] = top + np.log(total)
-            share[at + end - 1, :m] = p / total[:, None]
-            piece_at[at + end - 1, :m] = piece[start, back]
-        used = share > 0
-        state = np.arange(n) + np.repeat(np.arange(len(units)), sizes) + 1
-        counts = np.zeros(n + len(units), np.int64)
-        counts[state] = used.sum(axis=1)
+            h = h * _TURN + codes[at + k] + np.uint64(1)
+            found = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[found] == h
+            at, h, found = at[hit], h[hit], found[hit]
+            whole = ids[found] >= 0
+            out.append((at[whole], np.full(int(whole.sum()), k + 1), ids[found[whole]], weights[found[whole]]))
+            if k == 0:
+                plain[at[whole]] = True
+        rare = np.flatnonzero(~plain)
+        out.append((rare, np.ones(len(rare), np.int64), -codes[rare].astype(np.int32) - 1, np.full(len(rare), self.fallback)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _filter(self, units: list[str]) -> None:
+        """Sums over all segmentations, one end after the other for all units at once."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(u) for u in units])
+        begin, n = np.cumsum(sizes) - sizes, len(codes)
+        unit_of = np.repeat(np.arange(len(units)), sizes)
+        start, length, piece, weight = self._edges(codes, (begin + sizes)[unit_of] - np.arange(n))
+        unit = unit_of[start]
+        end = start - begin[unit] + length
+        order = np.argsort((end * len(units) + unit) * 64 + length)
+        end, unit, length, weight = end[order], unit[order], length[order], weight[order]
+        alpha, share = np.zeros((len(units), int(sizes.max()) + 1)), np.zeros(len(end))
+        cuts = np.searchsorted(end, np.arange(1, int(sizes.max()) + 2))
+        for e, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), 1):
+            u = unit[a:b]
+            score = alpha[u, e - length[a:b]] + weight[a:b]
+            heads = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            size = np.diff(np.append(heads, b - a))
+            top = np.maximum.reduceat(score, heads)
+            p = np.exp(score - np.repeat(top, size))
+            total = np.add.reduceat(p, heads)
+            alpha[u[heads], e] = top + np.log(total)
+            share[a:b] = p / np.repeat(total, size)
+        state = begin[unit] + end + unit
+        by_state = np.argsort(state * 64 + length)
+        counts = np.bincount(state, minlength=n + len(units))
+        ends = np.cumsum(counts)
+        run = np.cumsum(share[by_state])
+        run = run - np.repeat(np.concatenate([[0.0], run])[ends - counts], counts)
+        run[ends[counts > 0] - 1] = 1.0
         base, edges = len(self.first) - 1, len(self.cumulative)
-        run = np.cumsum(share, axis=1)
-        run[np.arange(n), width - 1 - used[:, ::-1].argmax(axis=1)] = 1.0
-        self.cumulative = np.concatenate([self.cumulative, (base + state[:, None] + run)[used]])
-        self.jump = np.concatenate([self.jump, np.broadcast_to(np.arange(1, width + 1, dtype=np.int16), used.shape)[used]])
-        self.piece = np.concatenate([self.piece, piece_at[used]])
-        self.first = np.concatenate([self.first, edges + np.cumsum(counts)])
+        self.cumulative = np.concatenate([self.cumulative, run.astype(np.float32)])
+        self.jump = np.concatenate([self.jump, length[by_state].astype(np.int16)])
+        self.piece = np.concatenate([self.piece, piece[order][by_state]])
+        self.first = np.concatenate([self.first, edges + ends])
         self.ends.update(zip(units, (base + begin + np.arange(len(units)) + sizes).tolist(), strict=True))
 
 
@@ -156,8 +171,11 @@ def sample(texts: list[str], keys: np.ndarray, path: str, alpha: float = ALPHA)
     while len(active):
         at = state[active]
         u = _uniform(draw[active] + np.uint64(step * 0xD1B54A32D192ED03 % (1 << 64)))
-        edge = np.searchsorted(cumulative, at + u, "right")
-        edge = np.clip(edge, first[at], first[at + 1] - 1)
+        edge = first[at]
+        todo = np.flatnonzero(first[at + 1] - edge > 1)
+        while len(todo):  # few pieces end at a place, and the last one's share reaches 1
+            todo = todo[cumulative[edge[todo]] <= u[todo]]
+            edge[todo] += 1
         drawn.append((active, piece[edge]))
         state[active] = at - jump[edge]
         active = active[state[active] > starts[active]]
