@@ -131,30 +131,45 @@ def discovery_bounds(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
     return counted.filter(ok & (F.col("bin") > 0)).groupBy("band").agg((F.min("bin") * BIN_WIDTH).alias("bound"))
 
 
-def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """Per row of ``docs``: doc_id and spans, array<struct<start, rank, kind, end>> in reading order.
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
-    ``rank`` is the kind's place in KINDS.  Kinds are matched on their own, so spans of different kinds may overlap;
-    a random token that touches a base span is left out.  Null and empty texts have no spans; an empty table gives
-    an empty result; a repeated doc_id with equal text gets equal rows; other columns of ``docs`` are not read.
-    """
+
+def _text_key() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
+def _found(docs: DataFrame, fdr: float) -> DataFrame:
+    """doc_id, _text (hash of the text) and spans of the texts that have any; one row for equal pairs of the two."""
     text = F.col("text")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     hit = ((text.contains("=") | text.contains(":")) & text.rlike(ASSIGN)) | (text.contains("AKIA") & text.rlike(ACCESS)) | text.rlike(HEX) | text.rlike(TOKEN)
     found = rows.filter(hit).withColumns({**{f"_{k}": v for k, v in base_spans(text).items()}, "_random": spans(text, TOKEN)})
     tag = lambda k: F.transform(f"_{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), m["end"].alias("end")))
-    found = found.select("doc_id", F.xxhash64("text").alias("_text"), F.concat(*map(tag, KINDS[:3])).alias("base"), "_random")
+    found = found.select("doc_id", _text_key().alias("_text"), F.concat(*map(tag, KINDS[:3])).alias("base"), "_random")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "secret-rows")
     token = F.explode(F.filter("_random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
     tokens = battery(found.select("row", token.alias("m")).select("row", "m.start", "m.end", "m.found"))
     tokens = materialize(tokens.withColumn("band", band(F.col("end") - F.col("start"))).drop("found"), "secret-tokens")
     passed = tokens.join(F.broadcast(discovery_bounds(tokens, fdr)), "band").filter(F.col("evidence") >= F.col("bound"))
     added = passed.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), F.lit("random").alias("kind"), "end")).alias("added"))
-    marked = found.join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")))))
-    keyed = marked.groupBy("doc_id", "_text").agg(F.any_value("spans").alias("spans"))
-    every = rows.select("doc_id", F.xxhash64("text").alias("_text"))
-    out = every.join(keyed, every["doc_id"].eqNullSafe(keyed["doc_id"]) & (every["_text"] == keyed["_text"]), "left")
-    return out.select(every["doc_id"], F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")).alias("spans"))
+    marked = found.join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {_SPANS})")))))
+    return marked.filter(F.size("spans") > 0).groupBy("doc_id", "_text").agg(F.any_value("spans").alias("spans"))
+
+
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["_text"] == right["_text"])
+
+
+def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+    """Per row of ``docs``: doc_id and spans, array<struct<start, rank, kind, end>> in reading order.
+
+    ``rank`` is the kind's place in KINDS.  Kinds are matched on their own, so spans of different kinds may overlap;
+    a random token that touches a base span is left out.  Null and empty texts have no spans; an empty table gives
+    an empty result; a repeated doc_id with equal text gets equal rows; other columns of ``docs`` are not read.
+    """
+    found = _found(docs, fdr)
+    every = docs.select("doc_id", _text_key().alias("_text"))
+    return every.join(found, _same_row(every, found), "left").select(every["doc_id"], F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
 
 
 def redact(docs: DataFrame, fdr: float = FDR, mask: str = "[secret]") -> DataFrame:
@@ -162,7 +177,7 @@ def redact(docs: DataFrame, fdr: float = FDR, mask: str = "[secret]") -> DataFra
 
     Rows are told apart by doc_id and text.  Where spans overlap or touch, one mask stands for all of them.
     """
-    found = scan(docs, fdr).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
+    found = _found(docs, fdr).withColumnRenamed("spans", "_spans")
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -170,7 +185,9 @@ def redact(docs: DataFrame, fdr: float = FDR, mask: str = "[secret]") -> DataFra
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(plain).alias("out"))
 
     masked = F.aggregate("_spans", empty, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    joined = docs.join(found, docs["doc_id"] == found["_id"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
+    every = docs.withColumn("_text", _text_key())
+    joined = every.join(found, _same_row(every, found), "left").select(*(every[c] for c in docs.columns), "_spans")
+    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return joined.select(docs.columns)
