@@ -101,3 +101,43 @@ def test_near_copies_of_four_fifths(spark):
     kept = [r.doc_id for r in N.drop_near_copies(docs(spark, rows)).collect()]
     assert sorted(map(str, kept)) == sorted(str(i) for i, _ in rows if i not in copies)
     assert N.drop_near_copies(docs(spark, [])).count() == 0
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited(words, shape, new):
+    """A copy of similarity just above 0.8: of n shingles, about n / 5 are added or cut, or n / 9 replaced."""
+    n = max(1, len(words) - 4)
+    tail = [new() for _ in range(int(0.24 * n))]
+    return {
+        "appended": words + tail, "prepended": tail + words, "truncated": words[: len(words) - int(0.19 * n)], "beheaded": words[int(0.19 * n) :],
+        "replaced": words[: n // 2] + [new() for _ in range(max(1, int(0.105 * n) - 4))] + words[n // 2 + max(1, int(0.105 * n) - 4) :],
+    }[shape]
+
+
+SHAPES = ["appended", "prepended", "truncated", "beheaded", "replaced"]
+
+
+def test_near_copies_of_any_shape(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, close = [], set()
+    for n in (12, 30, 60, 200, 600):
+        for shape in SHAPES * 4:
+            a = [word() for _ in range(n)]
+            b = edited(a, shape, word)
+            i = 10 * len(rows)
+            rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+            x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+            if len(x & y) >= 0.8 * len(x | y):
+                close.add(i + 1)
+    assert len(close) > 70
+    met = {}
+    for r in N.candidates(N.describe(docs(spark, rows))).collect():
+        met.setdefault(r.bucket, set()).add(r.doc_id)
+    assert close <= {i for i in close if any({i - 1, i} <= m for m in met.values())}
+    kept = {r.doc_id for r in N.drop_near_copies(docs(spark, rows)).collect()}
+    assert len(close & kept) <= 0.03 * len(close) and {i for i, _ in rows if i % 10 == 0} <= kept
