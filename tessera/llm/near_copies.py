@@ -8,6 +8,11 @@ shingles find the copy, whatever the edit: a pair of similarity s misses all ban
 meets in a bucket is a candidate; a link also asks that the one-permutation MinHash sketches of the five-word shingles
 agree as often as the similarity demands, less two standard errors; a text of fewer shingles than the sketch has
 places is compared almost exactly, and its margin shrinks with the share of filled places.  Buckets with the same members are searched once.
+
+Texts with equal fingerprints, bands and sketch are one class, which one doc_id stands for.  A bucket of over
+``bucket_limit`` members is dealt into blocks by a hash of the id, each with the same few pivots; where that leaves it in
+several components, those outside the largest are compared with all of its members, block by block.  So no task takes
+more than about twice ``bucket_limit`` members of a bucket together, and no pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, slices, text_or_empty, utf8_rows
-from tessera.llm.simhash import RADIUS, SEED, _signed, connected_components, covering_masks
+from tessera.llm.simhash import BUCKET_LIMIT, RADIUS, SEED, _signed, connected_components, covering_masks
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Independent fingerprints per text, and places of the sketch.
 FINGERPRINTS, BINS = 6, 512
+#: Members of a large bucket that all of its blocks see.
+PIVOTS = 4
 #: Bands of the MinHash, the hash functions of each, and shingles that are hashed together.
 BANDS, BAND_ROWS, BAND_CHUNK = 32, 6, 4096
 _FACTORS, _SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), np.uint32)
@@ -88,17 +95,70 @@ def describe(docs: DataFrame, shingle: int = SHINGLE, count: int = FINGERPRINTS)
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fps array<bigint>, bands array<bigint>, sketch binary")
 
 
-def candidates(described: DataFrame, radius: int = RADIUS, count: int = FINGERPRINTS) -> DataFrame:
-    """(bucket, doc_id) of every bucket with several members; buckets with equal members come once."""
+def classes(described: DataFrame) -> DataFrame:
+    """One row for texts with equal fps, bands and sketch: the smallest doc_id, the number n of texts, and ``cls``."""
+    same = described.groupBy("fps", "bands", "sketch").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return same.withColumn("cls", F.xxhash64("fps", "bands", "sketch"))
+
+
+def class_links(described: DataFrame, same: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Links (a, b) from the texts of a class to the one that stands for it; large classes, which are few, are broadcast."""
+    rows = described.select("doc_id", F.xxhash64("fps", "bands", "sketch").alias("cls"))
+    named = same.filter("n > 1").select("cls", F.col("doc_id").alias("b"), "n")
+    large = F.broadcast(named.filter(F.col("n") > bucket_limit))
+    small = rows.join(large, "cls", "left_anti").join(named.filter(F.col("n") <= bucket_limit), "cls")
+    return rows.join(large, "cls").unionByName(small).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+
+
+def _buckets(described: DataFrame, radius: int, count: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bucket, doc_id) of the buckets of 2 to ``limit`` members; (bucket, n, key, pivots) of the larger; their members.
+
+    The larger are ``keys / limit`` at most, a row each, so they are broadcast; their members never meet in a task.
+    """
     masks = covering_masks(list(range(64)), radius)
     cells = [F.xxhash64(F.lit(i * len(masks) + t), F.col("fps")[i].bitwiseAND(F.lit(_signed(m)))) for i in range(count) for t, m in enumerate(masks)]
     keyed = described.select("doc_id", F.explode(F.concat(F.array(*cells), F.col("bands"))).alias("key"))
+    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("key"), "hot-keys")
     together = Window.partitionBy("key")
-    counted = keyed.select(
-        "doc_id", F.count(F.lit(1)).over(together).alias("n"), F.bit_xor(F.xxhash64("doc_id")).over(together).alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).over(together).alias("y"),
-    )
-    return counted.filter("n > 1").select(F.xxhash64("n", "x", "y").alias("bucket"), "doc_id").distinct()
+    x, y = F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64(F.lit(1), "doc_id"))
+    counted = keyed.join(F.broadcast(hot), "key", "left_anti").select("doc_id", F.count(F.lit(1)).over(together).alias("n"), x.over(together).alias("x"), y.over(together).alias("y"))
+    small = counted.filter("n > 1").select(F.xxhash64("n", "x", "y").alias("bucket"), "doc_id").distinct()
+    pivots = F.array(*(F.min(F.struct(F.xxhash64(F.lit(2 + k), "doc_id").alias("h"), "doc_id"))["doc_id"] for k in range(PIVOTS)))
+    sums = keyed.join(F.broadcast(hot), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), x.alias("x"), y.alias("y"), pivots.alias("pivots"))
+    large = sums.groupBy(F.xxhash64("n", "x", "y").alias("bucket")).agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("pivots").alias("pivots"))
+    large = materialize(large, "large-buckets")
+    return small, large, keyed.join(F.broadcast(large), "key").select("bucket", "doc_id", "n")
+
+
+def _blocks(n: str, limit: int) -> Column:
+    return F.ceil(F.col(n) / limit).cast("int")
+
+
+def _dealt(large: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """(bucket, doc_id) of the blocks of large buckets, each with its bucket's pivots."""
+    dealt = members.select("bucket", "doc_id", F.pmod(F.xxhash64(F.lit(-1), "doc_id"), _blocks("n", limit)).cast("int").alias("block"))
+    pivots = large.select("bucket", "pivots", F.explode(F.sequence(F.lit(0), _blocks("n", limit) - 1)).alias("block")).select("bucket", F.explode("pivots").alias("doc_id"), "block")
+    return dealt.unionByName(pivots).select(F.xxhash64("bucket", "block").alias("bucket"), "doc_id").distinct()
+
+
+def _crossed(members: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """(bucket, doc_id) of blocks in which the members outside a bucket's largest component meet all of its members."""
+    known = members.join(roots, members["doc_id"] == roots["node"], "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    known = materialize(known, "large-members")
+    parts = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most")).filter("n > most.c")
+    split = split.select("bucket", F.col("most.root").alias("main"), _blocks("n", limit).alias("every"), F.ceil((F.col("n") - F.col("most.c")) / limit).cast("int").alias("rest"))
+    rows = known.join(F.broadcast(materialize(split, "split-buckets")), "bucket")
+    mine = F.pmod(F.xxhash64(F.lit(-2), "doc_id"), F.col("every")).cast("int")
+    all_rows = rows.select("bucket", "doc_id", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), mine.alias("j"))
+    outer = rows.filter("root <> main").select("bucket", "doc_id", F.pmod(F.xxhash64(F.lit(-3), "doc_id"), F.col("rest")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("every") - 1)).alias("j"))
+    return all_rows.unionByName(outer).select(F.xxhash64("bucket", "i", "j").alias("bucket"), "doc_id").distinct()
+
+
+def candidates(described: DataFrame, radius: int = RADIUS, count: int = FINGERPRINTS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(bucket, doc_id) of every bucket or block with several members; buckets with equal members come once."""
+    small, large, members = _buckets(described, radius, count, bucket_limit)
+    return small.unionByName(_dealt(large, members, bucket_limit))
 
 
 def _forest(ids: np.ndarray, sketches: np.ndarray, similarity: float, error: float) -> list[tuple]:
@@ -128,9 +188,18 @@ def _forest(ids: np.ndarray, sketches: np.ndarray, similarity: float, error: flo
     return links
 
 
-def near_links(described: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, count: int = FINGERPRINTS) -> DataFrame:
+def near_links(described: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, count: int = FINGERPRINTS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Links (a, b) between doc_ids whose components are those of "similar", each bucket giving a spanning forest."""
-    members = materialize(candidates(described, radius, count), "members")
+    small, large, members = _buckets(described, radius, count, bucket_limit)
+    if large.isEmpty():
+        return _linked(described, small, similarity)
+    links = materialize(_linked(described, small.unionByName(_dealt(large, members, bucket_limit)), similarity), "near-links")
+    return links.unionByName(_linked(described, _crossed(members, connected_components(links), bucket_limit), similarity))
+
+
+def _linked(described: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that span each bucket of ``members`` (bucket, doc_id)."""
+    members = materialize(members, "members")
     rows = members.join(described.select("doc_id", "sketch"), "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
     error = 2 * (similarity * (1 - similarity) / BINS) ** 0.5
 
@@ -158,12 +227,14 @@ def near_links(described: DataFrame, similarity: float = SIMILARITY, radius: int
     return rows.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """The rows of ``docs`` without those that have a near copy of smaller doc_id in their group.
 
     Rows with a null doc_id and texts without a word all stay; rows that repeat a doc_id share its fate.  An empty
     table gives an empty result; columns other than doc_id and text pass through.
     """
     described = materialize(describe(docs, shingle), "described")
-    gone = connected_components(near_links(described, similarity)).filter("node <> root").select(F.col("node").alias("doc_id"))
+    same = materialize(classes(described), "classes")
+    links = near_links(same, similarity, bucket_limit=bucket_limit).unionByName(class_links(described, same, bucket_limit))
+    gone = connected_components(links).filter("node <> root").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -141,3 +141,26 @@ def test_near_copies_of_any_shape(spark):
     assert close <= {i for i in close if any({i - 1, i} <= m for m in met.values())}
     kept = {r.doc_id for r in N.drop_near_copies(docs(spark, rows)).collect()}
     assert len(close & kept) <= 0.03 * len(close) and {i for i, _ in rows if i % 10 == 0} <= kept
+
+
+def test_large_buckets_are_split(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(300)]
+    put = lambda t: t[: (at := rng.randrange(300))] + [word()] + t[at + 1 :]
+    rows = [" ".join(put(base)) for _ in range(120)] + [" ".join(base).upper()] * 30
+    for _ in range(12):  # away from the others, and near one another
+        side = [w if i % 24 else word() for i, w in enumerate(base)]
+        rows += [" ".join(side), " ".join(put(side))]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    sets = [shingles(t) for _, t in rows]
+    want = components(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    described = N.materialize(N.describe(docs(spark, rows)), "described")
+    same = N.materialize(N.classes(described), "classes")
+    assert same.count() == 120 + 24 + 1
+    for limit in (10, 2000):
+        largest = N.candidates(same, bucket_limit=limit).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+        assert largest <= 30 if limit == 10 else largest > 60
+        kept = {r.doc_id for r in N.drop_near_copies(docs(spark, rows), bucket_limit=limit).collect()}
+        assert kept == set(want.values())
