@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read_table, slices, text_or_empty
@@ -24,6 +24,8 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 #: The labelled rows that training sees at most, over all languages together.
 SAMPLE_ROWS = 3000
+#: More labelled languages than this are refused, as each has a row of the quota and a column of the logits.
+MAX_LANGUAGES = 1000
 EPOCHS, STEPS, RATE, BATCH = 60, 40_000, 4.0, 32
 #: A text is rejected when its calibrated probability is below this: it is then likelier wrong than right.
 LEAST_SCORE = 0.5
@@ -140,17 +142,39 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return Model(languages, (table @ weights).astype(np.float32), bias, temperature, LEAST_SCORE)
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """Texts and labels of at most ``rows`` labelled rows, the same quota for each language, chosen by a hash of the id."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], list[str]]:
+    """Texts and labels of the labelled rows, at most ``rows // languages`` (one at least) for each language.
+
+    They are the first by a hash of doc_id, doc_id and a hash of the text, whatever the order of the table.  A filter on the hash
+    leaves a little over the quota of each language, so that no window takes a whole one.  Raises over ``max_languages``.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & is_training_row())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(max_languages + 1).collect()}
     if not counts:
         return [], []
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages are labelled")
     quota = max(1, rows // len(counts))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * quota / n)))])
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = labelled.filter(place < share[F.col("lang")]).select("text", "lang").limit(rows).collect()
-    return [r["text"] for r in chosen], [r["lang"] for r in chosen]
+    first = Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text"), "text")
+
+    def chosen(shares: dict[str, float]) -> DataFrame:
+        share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])
+        near = labelled.filter(place < share[F.col("lang")]).select("text", "lang", "doc_id")
+        return near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= quota).select("text", "lang", "doc_id", "r")
+
+    # Eight standard deviations over the quota; where ids repeat that can still fall short, and the share is widened.
+    wanted = {k: min(n, quota) for k, n in counts.items()}
+    shares = {k: min(1.0, (quota + 8 * quota**0.5 + 32) / n) for k, n in counts.items()}
+    found: dict[str, list] = {}
+    while shares:
+        got: dict[str, list] = {}
+        for r in chosen(shares).collect():
+            got.setdefault(r["lang"], []).append(r)
+        found |= {k: got.get(k, []) for k in shares if len(got.get(k, [])) >= wanted[k] or shares[k] >= 1.0}
+        shares = {k: min(1.0, 4 * v) for k, v in shares.items() if k not in found}
+    picked = [r for k in sorted(found) for r in sorted(found[k], key=lambda r: r["r"])]
+    return [r["text"] for r in picked], [r["lang"] for r in picked]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

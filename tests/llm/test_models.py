@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tessera.llm import language_id as L
 from tessera.llm import quality_rff as Q
@@ -55,3 +56,15 @@ def test_quality_edges(spark):
 def test_isotonic_pools():
     at, share = Q.isotonic(np.array([0.0, 1, 2]), np.array([2.0, 0, 3]), np.array([4.0, 4, 4]))
     assert list(at) == [0.5, 2.0] and share[0] < share[1]
+
+
+def test_sample_does_not_follow_the_order_of_the_table(spark):
+    rows = [(1000 * k + i, f"text {i} of {k}", f"l{k}") for k in range(7) for i in range(400)] + [(9000, "only one", "l8"), (9001, "and two", "l8"), (9002, "and three", "l8")]
+    forward = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    backward = spark.createDataFrame(rows[::-1], "doc_id bigint, text string, lang string").repartition(3)
+    got = L.sample(forward, rows=80)
+    assert got == L.sample(backward, rows=80)
+    few = sum(not held(i) for i in (9000, 9001, 9002))
+    assert {k: got[1].count(k) for k in set(got[1])} == {**{f"l{k}": 10 for k in range(7)}, "l8": few}
+    with pytest.raises(ValueError):
+        L.sample(forward, max_languages=7)
