@@ -30,7 +30,9 @@ KMER = 128
 #: Distinct contexts of one owner that one task takes, and bytes of contexts that are searched together.
 CONTEXT_LIMIT = 500
 CHUNK_BYTES = 4 << 20
+#: Places share 64 bits with hashes, so texts are read in pieces of so many bytes that all places fit.
 _POSITION = np.uint64((1 << 24) - 1)
+PIECE = 8 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,10 +60,33 @@ def _power(length: int) -> int:
 
 
 def owned_runs(texts: list[bytes], least: int = LEAST, kmer: int = KMER) -> tuple[np.ndarray, ...]:
-    """(text number, first start, last start, owner's place, owner's name, context's name) of every run of the texts."""
+    """(text number, first start, last start, owner's place, owner's name, context's name) of every run of the texts.
+
+    Over ``PIECE`` bytes, each text is read in pieces that overlap by ``least - 1`` bytes, so that each has its starts
+    whole and its places fit ``_POSITION``; a run that a cut went through is put together again.
+    """
+    if PIECE + least > int(_POSITION):
+        raise ValueError(f"strings of {least} bytes are too long for places of {int(_POSITION).bit_length()} bits")
+    if sum(map(len, texts)) <= PIECE:
+        pieces = [(0, 0, texts)]
+    else:
+        pieces = [(k, at, [t[at : at + PIECE + least - 1]]) for k, t in enumerate(texts) for at in range(0, len(t) - least + 1, PIECE)]
+    found = [_piece_runs(some, least, kmer) for _, _, some in pieces]
+    shift = lambda i, by: np.concatenate([np.zeros(0, np.int64), *(f[i] + p[by] for p, f in zip(pieces, found, strict=True))]).astype(np.int64)
+    whose, first, last, owner = shift(0, 0), shift(1, 1), shift(2, 1), shift(3, 1)
+    name, head, tail = (np.concatenate([np.zeros(0, np.uint64), *(f[i] for f in found)]) for i in (4, 5, 6))
+    cut = np.concatenate([[True], (owner[1:] != owner[:-1]) | (whose[1:] != whose[:-1])])[: len(whose)]
+    end = np.concatenate([cut[1:], [True]])[: len(whose)]
+    whose, first, owner, name, head, last, tail = whose[cut], first[cut], owner[cut], name[cut], head[cut], last[end], tail[end]
+    context = _mix(head * np.uint64(3) + tail + (last - first).astype(np.uint64))
+    return whose, first, last, owner, name.view(np.int64), context.view(np.int64)
+
+
+def _piece_runs(texts: list[bytes], least: int, kmer: int) -> tuple[np.ndarray, ...]:
+    """(text number, first start, last start, owner's place, owner's name, names of the strings at first and last)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     if not (sizes >= least).any():
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
     x = np.frombuffer(b"".join(texts), np.uint8)
     h = names(x, kmer)
     window = least - kmer + 1
@@ -80,9 +105,8 @@ def owned_runs(texts: list[bytes], least: int = LEAST, kmer: int = KMER) -> tupl
     first, last = start[cut], start[np.concatenate([cut[1:], [len(start)]]) - 1]
     half = _power(least)
     g = names(x, half, h, kmer)
-    context = _mix(long_names(g, half, first, least) * np.uint64(3) + long_names(g, half, last, least) + (last - first).astype(np.uint64))
     whose = text[cut]
-    return whose, first - begin[whose], last - begin[whose], owner[cut] - begin[whose], h[owner[cut]].view(np.int64), context.view(np.int64)
+    return whose, first - begin[whose], last - begin[whose], owner[cut] - begin[whose], h[owner[cut]], long_names(g, half, first, least), long_names(g, half, last, least)
 
 
 def interval_tree(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import html_extract as X
@@ -65,3 +66,23 @@ def test_repeats_of_nothing(spark):
     assert D.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     r = D.remove_repeats(spark.createDataFrame([(1, "short"), (1, "short")], "doc_id bigint, text string")).collect()
     assert [(x.n_removed, x.n_spans, x.kept_sha256) for x in r] == [(0, 0, hashlib.sha256(b"short").hexdigest())] * 2
+
+
+def test_owners_past_the_width_of_places(monkeypatch):
+    rng = random.Random(8)
+    junk = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    shared = junk(90)
+    texts = [junk(5000) + shared + junk(2000), junk(10), b"", junk(100) + shared, b"ab" * 1500]
+    wide = D.owned_runs(texts, 64, 16)
+    monkeypatch.setattr(D, "_POSITION", np.uint64(1023))
+    monkeypatch.setattr(D, "PIECE", 700, raising=False)
+    whose, first, last, owner, name, context = D.owned_runs(texts, 64, 16)
+    for k, t in enumerate(texts):
+        h = D.names(np.frombuffer(t, np.uint8), 16) & ~np.uint64(1023) if len(t) >= 64 else []
+        want = [s + int(np.argmin(h[s : s + 49])) for s in range(max(0, len(t) - 63))]
+        got = [o for a, b, o in zip(first[whose == k], last[whose == k], owner[whose == k], strict=True) for _ in range(a, b + 1)]
+        assert got == want
+    assert all((x == y).all() for x, y in zip(wide[:3], (whose, first, last), strict=True))
+    assert set(name[(whose == 0) & (last >= 5000) & (first <= 5026)]) & set(name[whose == 3])
+    monkeypatch.setattr(D, "PIECE", 900)
+    assert all((x == y).all() for x, y in zip(D.owned_runs(texts, 64, 16), (whose, first, last, owner, name, context), strict=True))
