@@ -29,6 +29,9 @@ KINDS = ["assign", "access", "hex", "random"]
 #: Candidates of the battery, at least MIN_LENGTH symbols.
 MIN_LENGTH = 20
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
+#: Marks between letters, and capitals that begin a word: both are left out where changes of class are counted.
+JOINT = r"(?<=[A-Za-z])[-_/+=](?=[A-Za-z])"
+HUMP = r"(?<![A-Z])[A-Z](?=[a-z])"
 #: False discovery rate, and the upper ends of the length bands that it is held in.
 FDR = 0.01
 BANDS = [24, 32, 48, 64, 128]
@@ -76,7 +79,8 @@ def battery(tokens: DataFrame) -> DataFrame:
     Null or empty tokens get the encoding ``none`` and evidence 0.
     """
     t = F.col("found")
-    upper, lower, digit = (F.length(F.regexp_replace(t, c, "")) for c in ("[^A-Z]", "[^a-z]", "[^0-9]"))
+    # Words joined by case or by marks change class where a word begins: such capitals and marks are no sign of chance.
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "=+$", ""), JOINT, ""), HUMP, "a")
     encoding = (
         F.when(t.isNull() | (F.length(t) == 0), "none").when(t.rlike(r"^[0-9]+$"), "decimal")
         .when(t.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(t.rlike(r"^[A-Z2-7]+=*$"), "base32").otherwise("base64")
@@ -85,17 +89,17 @@ def battery(tokens: DataFrame) -> DataFrame:
     codes = F.transform(F.split(F.regexp_replace(t, "=+$", ""), ""), F.ascii)
     kind = lambda c: F.when((c >= 48) & (c <= 57), 0).when((c >= 65) & (c <= 90), 1).when((c >= 97) & (c <= 122), 2).otherwise(3)
     rank = lambda c: F.when(c <= 57, c - 48).when(c <= 90, c - 55).otherwise(c - 61)
-    d = tokens.withColumns({"encoding": encoding, "_codes": codes, "_upper": upper, "_lower": lower, "_digit": digit})
+    d = tokens.withColumns({"encoding": encoding, "_codes": codes, "_plain": F.transform(F.split(plain, ""), F.ascii)})
     d = d.withColumns({"_n": F.greatest(F.size("_codes"), F.lit(1)).cast("double"), "_k": k.cast("double")})
     d = d.withColumn("_squares", F.aggregate(
         F.array_distinct("_codes"), F.lit(0.0),
         lambda a, c: a + F.pow(F.size(F.filter(F.col("_codes"), lambda x: x == c)).cast("double"), F.lit(2.0)),
     ))
-    pairs = F.zip_with(F.slice("_codes", 1, F.greatest(F.size("_codes") - 1, F.lit(0))), F.slice("_codes", 2, F.greatest(F.size("_codes") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    d = d.withColumn("_pairs", pairs).withColumn("_mean", F.aggregate("_codes", F.lit(0.0), lambda a, c: a + rank(c)) / F.col("_n"))
+    pairs = lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    d = d.withColumns({"_pairs": pairs("_codes"), "_joins": pairs("_plain")}).withColumn("_mean", F.aggregate("_codes", F.lit(0.0), lambda a, c: a + rank(c)) / F.col("_n"))
     d = d.withColumns({
         "chi2": F.col("_k") * F.col("_squares") / F.col("_n") - F.col("_n"),
-        "runs": F.size(F.filter("_pairs", lambda p: kind(p["a"]) != kind(p["b"]))) + 1,
+        "runs": F.size(F.filter("_joins", lambda p: kind(p["a"]) != kind(p["b"]))) + 1,
         "_var": F.aggregate("_codes", F.lit(0.0), lambda a, c: a + F.pow(rank(c) - F.col("_mean"), F.lit(2.0))),
         "_cov": F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + (rank(p["a"]) - F.col("_mean")) * (rank(p["b"]) - F.col("_mean"))),
     })
@@ -106,15 +110,15 @@ def battery(tokens: DataFrame) -> DataFrame:
     mean, sd = F.col("_k") - 1 + F.col("_n") * excess, F.sqrt(2 * (F.col("_k") - 1) + 4 * F.col("_n") * excess)
     ln_uniform = _upper_normal((mean - F.col("chi2")) / sd)
     m = F.greatest(F.col("_n") - 1, F.lit(1.0))
-    ln_runs = _upper_normal((F.col("runs") - 1 - m / 12) / F.sqrt(m * 11 / 144))
+    c = F.greatest(F.size("_plain") - 1, F.lit(1)).cast("double")
+    ln_runs = _upper_normal((F.col("runs") - 1 - c / 12) / F.sqrt(c * 11 / 144))
     ln_serial = _upper_normal((0.25 - F.abs("serial")) * F.sqrt(m))
     # Fisher: X = -sum ln p is a gamma variable with shape 3; its tail is exp(-X) (1 + X + X^2 / 2).
     x = -(ln_uniform + ln_runs + ln_serial)
     evidence = F.greatest(x - F.log(1 + x + x * x / 2), F.lit(0.0))
-    classes = (F.col("_upper") > 0).cast("int") + (F.col("_lower") > 0).cast("int") + (F.col("_digit") > 0).cast("int")
-    # A run of decimals is a number and one class of letters alone is a word: neither says anything about a key.
-    d = d.withColumn("evidence", F.when(F.col("encoding").isin("none", "decimal") | (classes < 2) | (F.col("_digit") < 2), 0.0).otherwise(evidence))
-    return d.drop("_codes", "_upper", "_lower", "_digit", "_n", "_k", "_squares", "_pairs", "_mean", "_var", "_cov")
+    # A run of decimals is a number, which says nothing about a key; all other tokens are left to the tests.
+    d = d.withColumn("evidence", F.when(F.col("encoding").isin("none", "decimal"), 0.0).otherwise(evidence))
+    return d.drop("_codes", "_plain", "_n", "_k", "_squares", "_pairs", "_joins", "_mean", "_var", "_cov")
 
 
 def band(length: Column) -> Column:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import duckdb
 import pytest
@@ -84,3 +86,13 @@ def test_redact(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in K.redact(d).collect()}
     assert got[1] == ("my [secret] ok", 14) and got[2] == ("clean", 5) and got[3] == (None, None) and got[None] == ("[secret]", 8)
     assert K.scan(docs(spark, [])).count() == 0 and K.redact(docs(spark, [])).count() == 0
+
+
+def test_battery_leaves_no_key_out_for_its_classes(spark):
+    rng = random.Random(5)
+    draw = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    keys = [draw(string.ascii_letters, 40) for _ in range(100)] + [draw(string.ascii_letters + string.digits + "+/", 32) for _ in range(100)] + [draw(string.ascii_letters, 31) + "7" for _ in range(100)]
+    words = ["getElementByIdFromDocumentRoot", "AbstractSingletonProxyFactoryBean", "MAX_CONNECTION_POOL_SIZE_LIMIT_10", "src/main/java/com/example/service", "the_quick_brown_fox_jumps_over", "Donaudampfschifffahrtsgesellschaft"] * 10
+    got = {r.doc_id: [s for s in r.spans if s.kind == "random"] for r in K.scan(docs(spark, list(enumerate(keys + words)))).collect()}
+    found = [bool(got[i]) for i in range(len(keys) + len(words))]
+    assert sum(found[:100]) > 90 and sum(found[100:200]) > 95 and sum(found[200:300]) > 85 and not any(found[300:])
