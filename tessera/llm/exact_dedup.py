@@ -29,7 +29,7 @@ def _best(n: Column, doc_id: Column) -> Column:
 
 
 def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, n_chars (of the original text).
 
     Null texts count as empty; empty texts form one group like any other.  Of equal texts the one with the most
     code points stays, then the smallest doc_id; a null doc_id comes after all others.  Rows that repeat one doc_id
@@ -58,22 +58,26 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     hot = marked.filter("best IS NOT NULL").select("doc_id", "text_sha256", "n", "group_size", "best")
     return hot.unionByName(light).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size",
-        F.col("best").eqNullSafe(_best(F.col("n"), F.col("doc_id"))).alias("kept"), "text_sha256",
+        F.col("best").eqNullSafe(_best(F.col("n"), F.col("doc_id"))).alias("kept"), "text_sha256", F.col("n").alias("n_chars"),
     )
 
 
 def deduplicate(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Of rows that repeat a kept doc_id one stays; rows without a doc_id cannot be named by a decision and all stay.
+    A decision holds for a doc_id, the hash of its normalised text and its length together, so different texts under
+    one doc_id are different documents; of rows that repeat all three one stays.  Rows without a doc_id cannot be
+    named by a decision and all stay.  Whole rows are shuffled once, by doc_id, at any size.
     """
-    kept = exact_duplicates(docs, support).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    n, key = F.char_length(text_or_empty()).cast("long"), ["_id", "_sha", "_n"]
+    kept = materialize(exact_duplicates(docs, support).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n")).distinct(), "kept")
+    rows = docs.filter("doc_id IS NOT NULL").select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.sha2(normalized(text_or_empty()), 256).alias("_sha"), n.alias("_n"))
+    named = rows.hint("merge").join(kept, key, "left_semi").dropDuplicates(key)
+    return named.select("_row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+    return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("n_chars")
 
 
 ORACLE_SQL = {

@@ -2,15 +2,19 @@
 
 A text is lower-cased, everything but letters becomes one space, and its byte n-grams of ``NGRAMS`` are hashed into
 ``BUCKETS`` rows of an embedding table.  Their mean feeds a softmax.  Table and weights are trained by stochastic
-gradient descent in numpy on a bounded, evenly spread sample of labelled rows; part of it sets the
-temperature that makes scores probabilities, and low ones are rejected.  Embedding times weights is folded into one small table of logits per bucket, so scoring a
-text is a gather and a mean over all of it.
+gradient descent in numpy on a bounded, evenly spread sample of labelled rows, in one task of its own; a part of it that
+is not fitted sets the temperature that makes scores probabilities and the score below which an answer is rejected.
+Embedding times weights is folded into one small table of logits per bucket, so scoring a text is a gather and a mean
+over all of it, and the folded table is all that the driver ever sees.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,9 @@ SAMPLE_ROWS = 3000
 #: More labelled languages than this are refused, as each has a row of the quota and a column of the logits.
 MAX_LANGUAGES = 1000
 EPOCHS, STEPS, RATE, BATCH = 60, 40_000, 4.0, 32
-#: A text is rejected when its calibrated probability is below this: it is then likelier wrong than right.
-LEAST_SCORE = 0.5
+#: Rejection: at most MISSED of the right answers on validation rows may be refused, and none that is likelier right
+#: than wrong, so the threshold is never above LEAST_SCORE.
+MISSED, LEAST_SCORE = 0.002, 0.5
 UNKNOWN = "und"
 
 
@@ -37,15 +42,22 @@ def is_training_row(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
 
 
-def _letter_table() -> np.ndarray:
-    """Bytes to bytes: letters of ASCII and all of UTF-8's longer forms stay, others become a space."""
-    table = np.full(256, 32, np.uint8)
-    table[97:123] = np.arange(97, 123)
-    table[128:] = np.arange(128, 256)
-    return table
+def _beyond_ascii_no_letters() -> re.Pattern:
+    """Runs of characters from 128 on that are punctuation, symbols, spaces, numbers or controls, by their category."""
+    dull = [c for c in range(128, 1 << 16) if unicodedata.category(chr(c))[0] in "PSZN" or unicodedata.category(chr(c)) == "Cc"]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(dull), lambda x: x[1] - x[0])]
+    return re.compile("[" + "".join(f"\\u{r[0]:04x}-\\u{r[-1]:04x}" for r in runs) + "]+")
 
 
-_LETTERS = _letter_table()
+_DULL = _beyond_ascii_no_letters()
+#: Bytes to bytes: lower-case letters of ASCII and UTF-8's longer forms stay, others become a space.
+_LETTERS = np.array([c if 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
+
+
+def clean(text: str) -> bytes:
+    """Lower-cased UTF-8 in which only letters, marks and what ``subwords`` makes a space are left."""
+    text = text.lower()
+    return (text if text.isascii() else _DULL.sub(" ", text)).encode()
 
 
 def subwords(text: bytes) -> np.ndarray:
@@ -85,7 +97,7 @@ class Model:
         if not has_letter(text):
             return UNKNOWN, 0.0
         z = self.bias.astype(np.float64).copy()
-        found = subwords(text.lower().encode())
+        found = subwords(clean(text))
         if len(found):
             total = np.zeros(len(z))
             for at in range(0, len(found), 1 << 18):
@@ -101,9 +113,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets with weights: the same mean as of all n-grams, and it fits however long the text is."""
+    found = subwords(clean(text))
+    ids, n = np.unique(found, return_counts=True)
+    return ids.astype(np.int32), (n / max(len(found), 1)).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Fit on four fifths of the rows, calibrate on the rest.  Without usable rows the model has one answer, ``und``."""
-    rows = [(subwords(t.lower().encode()), y) for t, y in zip(texts, labels, strict=True) if has_letter(t)]
+    rows = [(_bag(t), y) for t, y in zip(texts, labels, strict=True) if has_letter(t)]
     languages = sorted({y for _, y in rows})
     if not languages:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
@@ -111,11 +130,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5] if len(rows) >= 50 else order
     kept = order[len(rows) // 5 :] if len(rows) >= 50 else order
-    # A bag of distinct buckets with weights has the same mean as all n-grams, and fits however long the text is.
-    bags = []
-    for found, _ in rows:
-        ids, n = np.unique(found, return_counts=True)
-        bags.append((ids, (n / max(len(found), 1)).astype(np.float32)))
+    bags = [b for b, _ in rows]
     y = np.array([languages.index(v) for _, v in rows])
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
@@ -139,11 +154,33 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     grid = np.geomspace(0.25, 16, 49)
     nll = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(nll))])
-    return Model(languages, (table @ weights).astype(np.float32), bias, temperature, LEAST_SCORE)
+    return Model(languages, (table @ weights).astype(np.float32), bias, temperature, rejection_threshold(_softmax(z / temperature), y[held]))
+
+
+def rejection_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The score below which an answer is refused, from calibrated probabilities ``p`` of rows with the labels ``y``."""
+    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
+    return float(min(LEAST_SCORE, right[int(MISSED * len(right))])) if len(right) else LEAST_SCORE
+
+
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
+    """The model of the sample of ``docs``, trained in one task that holds the sample; its folded table is fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by([("lang", "ascending"), ("r", "ascending")])
+        m = train(table["text"].to_pylist(), table["lang"].to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([m.languages]), pa.array([m.logits.tobytes()]), pa.array([m.bias.astype(np.float64).tobytes()]), pa.array([m.temperature]), pa.array([m.threshold])], ["languages", "logits", "bias", "temperature", "threshold"])
+
+    chosen = sample(docs, rows, max_languages)
+    if chosen is None:
+        return train([], [])
+    m = chosen.repartition(1).mapInArrow(run, "languages array<string>, logits binary, bias binary, temperature double, threshold double").first()
+    languages = list(m["languages"])
+    return Model(languages, np.frombuffer(bytes(m["logits"]), np.float32).reshape(BUCKETS, len(languages)), np.frombuffer(bytes(m["bias"])), m["temperature"], m["threshold"])
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], list[str]]:
-    """Texts and labels of the labelled rows, at most ``rows // languages`` (one at least) for each language.
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> DataFrame | None:
+    """text, lang, r: of the labelled rows at most ``rows // languages`` (one at least) for each language; None if there are none.
 
     They are the first by a hash of doc_id, doc_id and a hash of the text, whatever the order of the table.  A filter on the hash
     leaves a little over the quota of each language, so that no window takes a whole one.  Raises over ``max_languages``.
@@ -152,29 +189,22 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, max_languages: int = MAX_LA
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(max_languages + 1).collect()}
     if not counts:
-        return [], []
+        return None
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages are labelled")
     quota = max(1, rows // len(counts))
-    first = Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text"), "text")
-
-    def chosen(shares: dict[str, float]) -> DataFrame:
-        share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])
-        near = labelled.filter(place < share[F.col("lang")]).select("text", "lang", "doc_id")
-        return near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= quota).select("text", "lang", "doc_id", "r")
-
     # Eight standard deviations over the quota; where ids repeat that can still fall short, and the share is widened.
-    wanted = {k: min(n, quota) for k, n in counts.items()}
     shares = {k: min(1.0, (quota + 8 * quota**0.5 + 32) / n) for k, n in counts.items()}
-    found: dict[str, list] = {}
-    while shares:
-        got: dict[str, list] = {}
-        for r in chosen(shares).collect():
-            got.setdefault(r["lang"], []).append(r)
-        found |= {k: got.get(k, []) for k in shares if len(got.get(k, [])) >= wanted[k] or shares[k] >= 1.0}
-        shares = {k: min(1.0, 4 * v) for k, v in shares.items() if k not in found}
-    picked = [r for k in sorted(found) for r in sorted(found[k], key=lambda r: r["r"])]
-    return [r["text"] for r in picked], [r["lang"] for r in picked]
+    while True:
+        share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])
+        near = labelled.filter(place < share[F.col("lang")])
+        got = {r["lang"]: r["count"] for r in near.groupBy("lang").count().collect()}
+        short = [k for k, v in shares.items() if v < 1.0 and got.get(k, 0) < min(counts[k], quota)]
+        if not short:
+            break
+        shares |= {k: min(1.0, 4 * shares[k]) for k in short}
+    first = Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text"), "text")
+    return near.select("text", "lang", "doc_id").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= quota).select(F.col("text").cast("string"), F.col("lang").cast("string"), "r")
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,5 +244,5 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = identify(docs, train(*sample(docs)))
+    found = identify(docs, fit(docs))
     return found.select("doc_id", (~is_training_row()).alias("held_out"), "lang_pred", "score", "rejected")

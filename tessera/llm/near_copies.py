@@ -1,18 +1,17 @@
-"""Near copies of a given similarity on word shingles: SimHash with covering tables and MinHash bands find, sketches verify.
+"""Near copies of a given similarity on word shingles: SimHash with covering tables and MinHash bands find, sets verify.
 
 Where single words are changed, a copy that shares 0.8 of its five-word shingles still shares about 0.97 of its distinct
 words, so the fingerprints are SimHashes of the set of words: several with different seeds, each with the covering tables
 of ``simhash``.  Text added, cut or replaced as a block changes far more words; there the bands of a MinHash of the
 shingles find the copy, whatever the edit: a pair of similarity s misses all bands with probability
-``(1 - s ** BAND_ROWS) ** BANDS``, 6e-5 at 0.8, at any length.  What
-meets in a bucket is a candidate; a link also asks that the one-permutation MinHash sketches of the five-word shingles
-agree as often as the similarity demands, less two standard errors; a text of fewer shingles than the sketch has
-places is compared almost exactly, and its margin shrinks with the share of filled places.  Buckets with the same members are searched once.
-
-Texts with equal fingerprints, bands and sketch are one class, which one doc_id stands for.  A bucket of over
-``bucket_limit`` members is dealt into blocks by a hash of the id, each with the same few pivots; where that leaves it in
-several components, those outside the largest are compared with all of its members, block by block.  So no task takes
-more than about twice ``bucket_limit`` members of a bucket together, and no pair of a bucket is left out.
+``(1 - s ** BAND_ROWS) ** BANDS``, 6e-5 at 0.8, at any length.  What meets in a bucket is a candidate; a link asks that
+the sets of five-word shingles, as 32-bit hashes, have the similarity.  That is exact for texts of up to ``SET_LIMIT``
+distinct shingles; of longer ones those with small hashes are compared, a half, a quarter and so on, so that a row never
+grows with its text: at 0.8 their similarity is known to about 0.015.  Buckets with the same members are searched once.
+
+A bucket of over ``bucket_limit`` members is dealt into blocks by a hash of the id, each with the same few pivots; where
+that leaves it in several components, those outside the largest are compared with all of its members, block by block.
+So no task takes more than about twice ``bucket_limit`` members of a bucket together, and no pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -22,16 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, slices, text_or_empty, utf8_rows
+from tessera.llm.common import materialize, release, slices, text_or_empty, utf8_rows
 from tessera.llm.simhash import BUCKET_LIMIT, RADIUS, SEED, _signed, connected_components, covering_masks
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Independent fingerprints per text, and places of the sketch.
-FINGERPRINTS, BINS = 6, 512
+#: Independent fingerprints per text.
+FINGERPRINTS = 2
+#: Shingles of a text that are kept for the comparison, at most.
+SET_LIMIT = 1024
 #: Members of a large bucket that all of its blocks see.
 PIVOTS = 4
 #: Bands of the MinHash, the hash functions of each, and shingles that are hashed together.
@@ -56,13 +57,20 @@ def _bands(h: np.ndarray) -> list[int]:
     return [_signed(xxh64_intdigest(row.tobytes(), SEED + 1 + i)) for i, row in enumerate(low.reshape(BANDS, BAND_ROWS))]
 
 
-def _describe(text: bytes, shingle: int, count: int) -> tuple[list[int], list[int], bytes]:
-    """Fingerprints of the set of words; bands and sketch of the set of shingles (one byte a bin, 0 for empty)."""
+def _kept_shingles(h: np.ndarray, limit: int) -> bytes:
+    """The level, then the sorted distinct 32-bit hashes below ``2 ** (32 - level)``: the lowest level with ``limit`` at most."""
+    u, level = np.unique((h >> np.uint64(32)).astype(np.uint32)), 0
+    while len(u) > limit:
+        level += 1
+        u = u[: np.searchsorted(u, 1 << (32 - level))]
+    return np.concatenate([np.array([level], np.uint32), u]).astype("<u4").tobytes()
+
+
+def _describe(text: bytes, shingle: int, count: int, limit: int) -> tuple[list[int], list[int], bytes]:
+    """Fingerprints of the set of words; bands and kept hashes of the set of shingles."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
-    if not words:
-        return [0] * count, [0] * BANDS, bytes(BINS)
     of_words = np.array([xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
     fps = []
     for turn in range(count):
@@ -74,46 +82,29 @@ def _describe(text: bytes, shingle: int, count: int) -> tuple[list[int], list[in
     k = min(shingle, len(words))
     starts = np.concatenate([[0], ends[: len(words) - k]]).tolist()
     stops = (ends[k - 1 :] - 1).tolist()
-    h = np.sort(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
-    bins, first = np.unique(h >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
-    sketch = np.zeros(BINS, np.uint8)
-    sketch[bins.astype(np.int64)] = 1 + _mixed(h[first], 99) % np.uint64(255)
-    return fps, _bands(h), sketch.tobytes()
+    h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return fps, _bands(h), _kept_shingles(h, limit)
 
 
-def describe(docs: DataFrame, shingle: int = SHINGLE, count: int = FINGERPRINTS) -> DataFrame:
-    """doc_id, fps and bands (array<bigint>) and sketch of each text with a doc_id; texts without a word are left out."""
+def describe(docs: DataFrame, shingle: int = SHINGLE, count: int = FINGERPRINTS, limit: int = SET_LIMIT) -> DataFrame:
+    """doc_id, fps and bands (array<bigint>) and shingles (binary) of each text with a doc_id; texts without a word are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [_describe(t, shingle, count) for t in utf8_rows(part, "text")]
+                found = [_describe(t, shingle, count, limit) for t in utf8_rows(part, "text")]
                 arrays = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "fps", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "fps", "bands", "shingles"])
 
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fps array<bigint>, bands array<bigint>, sketch binary")
-
-
-def classes(described: DataFrame) -> DataFrame:
-    """One row for texts with equal fps, bands and sketch: the smallest doc_id, the number n of texts, and ``cls``."""
-    same = described.groupBy("fps", "bands", "sketch").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    return same.withColumn("cls", F.xxhash64("fps", "bands", "sketch"))
-
-
-def class_links(described: DataFrame, same: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Links (a, b) from the texts of a class to the one that stands for it; large classes, which are few, are broadcast."""
-    rows = described.select("doc_id", F.xxhash64("fps", "bands", "sketch").alias("cls"))
-    named = same.filter("n > 1").select("cls", F.col("doc_id").alias("b"), "n")
-    large = F.broadcast(named.filter(F.col("n") > bucket_limit))
-    small = rows.join(large, "cls", "left_anti").join(named.filter(F.col("n") <= bucket_limit), "cls")
-    return rows.join(large, "cls").unionByName(small).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fps array<bigint>, bands array<bigint>, shingles binary")
 
 
 def _buckets(described: DataFrame, radius: int, count: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bucket, doc_id) of the buckets of 2 to ``limit`` members; (bucket, n, key, pivots) of the larger; their members.
 
-    The larger are ``keys / limit`` at most, a row each, so they are broadcast; their members never meet in a task.
+    The larger are ``keys / limit`` at most, a row each, which Spark broadcasts if their written size allows; their
+    members never meet in a task, as joins split their partitions.
     """
     masks = covering_masks(list(range(64)), radius)
     cells = [F.xxhash64(F.lit(i * len(masks) + t), F.col("fps")[i].bitwiseAND(F.lit(_signed(m)))) for i in range(count) for t, m in enumerate(masks)]
@@ -121,13 +112,13 @@ def _buckets(described: DataFrame, radius: int, count: int, limit: int) -> tuple
     hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("key"), "hot-keys")
     together = Window.partitionBy("key")
     x, y = F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64(F.lit(1), "doc_id"))
-    counted = keyed.join(F.broadcast(hot), "key", "left_anti").select("doc_id", F.count(F.lit(1)).over(together).alias("n"), x.over(together).alias("x"), y.over(together).alias("y"))
+    counted = keyed.join(hot, "key", "left_anti").select("doc_id", F.count(F.lit(1)).over(together).alias("n"), x.over(together).alias("x"), y.over(together).alias("y"))
     small = counted.filter("n > 1").select(F.xxhash64("n", "x", "y").alias("bucket"), "doc_id").distinct()
     pivots = F.array(*(F.min(F.struct(F.xxhash64(F.lit(2 + k), "doc_id").alias("h"), "doc_id"))["doc_id"] for k in range(PIVOTS)))
-    sums = keyed.join(F.broadcast(hot), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), x.alias("x"), y.alias("y"), pivots.alias("pivots"))
+    sums = keyed.join(hot, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), x.alias("x"), y.alias("y"), pivots.alias("pivots"))
     large = sums.groupBy(F.xxhash64("n", "x", "y").alias("bucket")).agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("pivots").alias("pivots"))
     large = materialize(large, "large-buckets")
-    return small, large, keyed.join(F.broadcast(large), "key").select("bucket", "doc_id", "n")
+    return small, large, keyed.join(large, "key").select("bucket", "doc_id", "n")
 
 
 def _blocks(n: str, limit: int) -> Column:
@@ -148,7 +139,7 @@ def _crossed(members: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
     parts = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     split = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most")).filter("n > most.c")
     split = split.select("bucket", F.col("most.root").alias("main"), _blocks("n", limit).alias("every"), F.ceil((F.col("n") - F.col("most.c")) / limit).cast("int").alias("rest"))
-    rows = known.join(F.broadcast(materialize(split, "split-buckets")), "bucket")
+    rows = known.join(materialize(split, "split-buckets"), "bucket")
     mine = F.pmod(F.xxhash64(F.lit(-2), "doc_id"), F.col("every")).cast("int")
     all_rows = rows.select("bucket", "doc_id", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), mine.alias("j"))
     outer = rows.filter("root <> main").select("bucket", "doc_id", F.pmod(F.xxhash64(F.lit(-3), "doc_id"), F.col("rest")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("every") - 1)).alias("j"))
@@ -161,30 +152,54 @@ def candidates(described: DataFrame, radius: int = RADIUS, count: int = FINGERPR
     return small.unionByName(_dealt(large, members, bucket_limit))
 
 
-def _forest(ids: np.ndarray, sketches: np.ndarray, similarity: float, error: float) -> list[tuple]:
-    """Links that connect the members of a bucket whose sketches agree, steps between included."""
-    links, alive, eighth = [], np.ones(len(ids), bool), np.ascontiguousarray(sketches[:, ::8])
+def _forest(ids: np.ndarray, shingles: list[bytes], similarity: float) -> list[tuple]:
+    """Links that connect the members of a bucket whose sets of shingles are similar, steps between included.
+
+    Hashes get small numbers within the bucket; a member marks its own, and the marks that the others hit are counted.
+    """
+    sets = [np.frombuffer(s, "<u4") for s in shingles]
+    levels, sets = np.array([int(s[0]) for s in sets]), [s[1:] for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    known, flat = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    at = np.cumsum(sizes) - sizes
+    # By level that occurs: how many hashes a member has below its bound.
+    held = {int(v): np.bincount(owner[values < 1 << (32 - int(v))], minlength=len(sets)) for v in set(levels.tolist())}
+    links, alive, mark = [], np.ones(len(ids), bool), np.zeros(len(known), bool)
+
+    def near(root: int) -> np.ndarray:
+        here = flat[at[root] : at[root] + sizes[root]]
+        out = []
+        for other in held:
+            level = max(other, int(levels[root]))
+            low = here[known[here] < 1 << (32 - level)]
+            mark[low] = True
+            hits = np.bincount(owner[mark[flat]], minlength=len(sets))
+            mark[low] = False
+            union = held[level] + len(low) - hits
+            out.append(np.flatnonzero(alive & (levels == other) & (hits >= similarity * union - 1e-9)))
+        return np.concatenate(out)
+
     for root in range(len(ids)):
         if not alive[root]:
             continue
         alive[root] = False
         front = [root]
-        while front:
-            at = front.pop()
-            rest = np.flatnonzero(alive)
-            if not len(rest):
-                break
-            # An eighth of the places, with four of its standard errors, spares most of the full comparisons.
-            here, there = sketches[at, ::8], eighth[rest]
-            filled = ((there > 0) | (here > 0)).sum(axis=1)
-            rest = rest[((there == here) & (there > 0)).sum(axis=1) >= similarity * filled - 4 * np.sqrt(similarity * (1 - similarity) * filled)]
-            here, there = sketches[at], sketches[rest]
-            same = ((there == here) & (there > 0)).sum(axis=1)
-            filled = ((there > 0) | (here > 0)).sum(axis=1)
-            near = rest[same >= (similarity - error * filled / BINS) * filled]
-            alive[near] = False
-            links += [(ids[at], ids[j]) for j in near]
-            front += near.tolist()
+        while front and alive.any():
+            a = front.pop()
+            found = near(a)
+            alive[found] = False
+            links += [(ids[a], ids[j]) for j in found]
+            front += found.tolist()
+            if 2 * alive[owner].sum() < len(owner):  # only those left are looked at from now on
+                kept = alive[owner]
+                for member in front:
+                    kept[at[member] : at[member] + sizes[member]] = True
+                owner, flat = owner[kept], flat[kept]
+                values = values[kept]
+                sizes = np.bincount(owner, minlength=len(ids))
+                at = np.cumsum(sizes) - sizes
     return links
 
 
@@ -193,15 +208,14 @@ def near_links(described: DataFrame, similarity: float = SIMILARITY, radius: int
     small, large, members = _buckets(described, radius, count, bucket_limit)
     if large.isEmpty():
         return _linked(described, small, similarity)
-    links = materialize(_linked(described, small.unionByName(_dealt(large, members, bucket_limit)), similarity), "near-links")
+    links = _linked(described, small.unionByName(_dealt(large, members, bucket_limit)), similarity)
     return links.unionByName(_linked(described, _crossed(members, connected_components(links), bucket_limit), similarity))
 
 
 def _linked(described: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that span each bucket of ``members`` (bucket, doc_id)."""
     members = materialize(members, "members")
-    rows = members.join(described.select("doc_id", "sketch"), "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    error = 2 * (similarity * (1 - similarity) / BINS) ** 0.5
+    rows = members.join(described.select("doc_id", "shingles"), "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -216,25 +230,29 @@ def _linked(described: DataFrame, members: DataFrame, similarity: float) -> Data
 
     def linked(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         bounds, out = np.concatenate([[0], cuts]).astype(int), []
-        ids = rows["doc_id"].to_numpy()
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        ids, sets = rows["doc_id"].to_numpy(), rows["shingles"].tolist()
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a > 1:
-                sketches = np.frombuffer(b"".join(rows["sketch"].iloc[a:b]), np.uint8).reshape(b - a, BINS)
-                out += _forest(ids[a:b], sketches, similarity, error)
+                out += _forest(ids[a:b], sets[a:b], similarity)
         return pd.DataFrame(out, columns=["a", "b"], dtype=rows["doc_id"].dtype)
 
     kind = described.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    links = materialize(rows.mapInPandas(run, f"a {kind}, b {kind}").distinct(), "near-links")
+    release(members)
+    return links
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """The rows of ``docs`` without those that have a near copy of smaller doc_id in their group.
 
     Rows with a null doc_id and texts without a word all stay; rows that repeat a doc_id share its fate.  An empty
-    table gives an empty result; columns other than doc_id and text pass through.
+    table gives an empty result; columns other than doc_id and text pass through.  Whole rows are shuffled once, by
+    doc_id: what goes grows with the table, so it is never broadcast and the plan is the same at every size.
     """
     described = materialize(describe(docs, shingle), "described")
-    same = materialize(classes(described), "classes")
-    links = near_links(same, similarity, bucket_limit=bucket_limit).unionByName(class_links(described, same, bucket_limit))
-    gone = connected_components(links).filter("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    links = near_links(described, similarity, bucket_limit=bucket_limit)
+    gone = materialize(connected_components(links).filter("node <> root").select(F.col("node").alias("_gone")), "gone")
+    release(described)
+    rows = docs.filter("doc_id IS NOT NULL")
+    kept = rows.hint("merge").join(gone, rows["doc_id"] == gone["_gone"], "left_anti")
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))

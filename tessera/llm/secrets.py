@@ -37,15 +37,19 @@ FDR = 0.01
 BANDS = [24, 32, 48, 64, 128]
 #: Bins of -ln p for the Benjamini-Hochberg bound, BIN_WIDTH wide.
 BINS, BIN_WIDTH = 400, 0.25
+#: Matches that are placed together.
+RUN = 64
+_FOUND = "array<struct<start:int,end:int,found:string>>"
 
 
 def spans(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` as array<struct<start, end, found>> in code points, end exclusive.
 
-    The pieces between the matches and the matches themselves alternate, so running lengths give the places.
+    The pieces between the matches and the matches themselves alternate, so running lengths give the places.  They are
+    taken in runs of ``RUN``, so that no array grows by one element at a time.
     """
     parts = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    start = lambda at, kind: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         begin = acc["at"] + F.coalesce(part["gap"], F.lit(0))
@@ -53,7 +57,12 @@ def spans(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), part["found"].alias("found")))
         return F.struct(end.alias("at"), F.when(part["found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def run(acc: Column, some: Column) -> Column:
+        return F.aggregate(some, start(acc["at"], _FOUND), step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    runs = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(RUN)), lambda i: F.slice(parts, i, RUN))
+    long = F.aggregate(runs, start(F.lit(0), f"array<{_FOUND}>"), run, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(parts) <= RUN, F.aggregate(parts, start(F.lit(0), _FOUND), step, lambda acc: acc["out"])).otherwise(long)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -138,30 +147,32 @@ def discovery_bounds(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def _text_key() -> Column:
-    return F.xxhash64(text_or_empty())
+def _hit(text: Column) -> Column:
+    """Whether a text can hold anything that is looked for."""
+    return ((text.contains("=") | text.contains(":")) & text.rlike(ASSIGN)) | (text.contains("AKIA") & text.rlike(ACCESS)) | text.rlike(HEX) | text.rlike(TOKEN)
 
 
-def _found(docs: DataFrame, fdr: float) -> DataFrame:
-    """doc_id, _text (hash of the text) and spans of the texts that have any; one row for equal pairs of the two."""
-    text = F.col("text")
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    hit = ((text.contains("=") | text.contains(":")) & text.rlike(ASSIGN)) | (text.contains("AKIA") & text.rlike(ACCESS)) | text.rlike(HEX) | text.rlike(TOKEN)
-    found = rows.filter(hit).withColumns({**{f"_{k}": v for k, v in base_spans(text).items()}, "_random": spans(text, TOKEN)})
-    tag = lambda k: F.transform(f"_{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), m["end"].alias("end")))
-    found = found.select("doc_id", _text_key().alias("_text"), F.concat(*map(tag, KINDS[:3])).alias("base"), "_random")
-    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "secret-rows")
-    token = F.explode(F.filter("_random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
-    tokens = battery(found.select("row", token.alias("m")).select("row", "m.start", "m.end", "m.found"))
-    tokens = materialize(tokens.withColumn("band", band(F.col("end") - F.col("start"))).drop("found"), "secret-tokens")
-    passed = tokens.join(F.broadcast(discovery_bounds(tokens, fdr)), "band").filter(F.col("evidence") >= F.col("bound"))
-    added = passed.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), F.lit("random").alias("kind"), "end")).alias("added"))
-    marked = found.join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {_SPANS})")))))
-    return marked.filter(F.size("spans") > 0).groupBy("doc_id", "_text").agg(F.any_value("spans").alias("spans"))
+def _base_and_tokens(text: Column) -> tuple[Column, Column]:
+    """Spans of the fixed kinds, and the candidates of the battery that touch none of them."""
+    tag = lambda k, found: F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), m["end"].alias("end")))
+    return F.concat(*(tag(k, v) for k, v in base_spans(text).items())), spans(text, TOKEN)
 
 
-def _same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["_text"] == right["_text"])
+def _judged(rows: DataFrame, fdr: float) -> DataFrame:
+    """``rows`` (base, tokens, ...) with ``spans``: the base ones and the tokens that the battery discovers, in order.
+
+    Tokens are named by their row, so what is shuffled is tokens, and the rows that have one.
+    """
+    free = F.filter("tokens", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    rows = rows.withColumn("tokens", free).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "secret-rows")
+    found = battery(rows.filter(F.size("tokens") > 0).select("row", F.explode("tokens").alias("m")).select("row", "m.start", "m.end", "m.found"))
+    found = materialize(found.withColumn("band", band(F.col("end") - F.col("start"))).drop("found"), "secret-tokens")
+    passed = found.join(F.broadcast(discovery_bounds(found, fdr)), "band").filter(F.col("evidence") >= F.col("bound"))
+    added = passed.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), F.lit("random").alias("kind"), "end")).alias("added"))
+    none = F.expr(f"cast(array() as {_SPANS})")
+    some = rows.filter(F.size("tokens") > 0).join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", none)))).drop("added")
+    return some.unionByName(rows.filter(F.size("tokens") == 0).withColumn("spans", F.array_sort("base"))).drop("row", "base", "tokens")
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -169,32 +180,36 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
     ``rank`` is the kind's place in KINDS.  Kinds are matched on their own, so spans of different kinds may overlap;
     a random token that touches a base span is left out.  Null and empty texts have no spans; an empty table gives
-    an empty result; a repeated doc_id with equal text gets equal rows; other columns of ``docs`` are not read.
+    an empty result; rows that repeat a text get equal spans; other columns of ``docs`` are not read.  Texts are read
+    once and never shuffled.
     """
-    found = _found(docs, fdr)
-    every = docs.select("doc_id", _text_key().alias("_text"))
-    return every.join(found, _same_row(every, found), "left").select(every["doc_id"], F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
+    base, tokens = _base_and_tokens(F.col("text"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hit", _hit(F.col("text")))
+    empty = lambda kind: F.expr(f"cast(array() as {kind})")
+    return _judged(rows.select("doc_id", F.when(F.col("hit"), base).otherwise(empty(_SPANS)).alias("base"), F.when(F.col("hit"), tokens).otherwise(empty(_FOUND)).alias("tokens")), fdr)
 
 
 def redact(docs: DataFrame, fdr: float = FDR, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; other columns and rows stay; n_chars follows the text.
 
-    Rows are told apart by doc_id and text.  Where spans overlap or touch, one mask stands for all of them.
+    Where spans overlap or touch, one mask stands for all of them.  Rows without a candidate pass through where they
+    are read; the others are kept whole beside their spans, so no text has to be joined back by a key.
     """
-    found = _found(docs, fdr).withColumnRenamed("spans", "_spans")
+    text = F.col("text")
+    base, tokens = _base_and_tokens(text)
+    rows = docs.select(F.struct("*").alias("doc"), text_or_empty().alias("text"))
+    found = _judged(rows.filter(_hit(text)).select("doc", "text", base.alias("base"), tokens.alias("tokens")), fdr)
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        plain = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mask))
+        plain = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(plain).alias("out"))
 
-    masked = F.aggregate("_spans", empty, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    every = docs.withColumn("_text", _text_key())
-    joined = every.join(found, _same_row(every, found), "left").select(*(every[c] for c in docs.columns), "_spans")
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(docs.columns)
+    masked = F.aggregate("spans", empty, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    found = found.select("doc", F.when(F.size("spans") > 0, masked).alias("new"))
+    new = {"text": F.col("new")} | ({"n_chars": F.char_length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    changed = found.select(*(F.when(F.col("new").isNull(), F.col("doc")[c]).otherwise(new[c]).alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
+    return rows.filter(~_hit(text)).select("doc.*").unionByName(changed)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, read_table, slices, text_or_empty, utf8_rows
+from tessera.llm.common import materialize, read_table, release, slices, text_or_empty, utf8_rows
 
 RADIUS = 3
 SHINGLE = 3
@@ -134,26 +134,30 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_
     return links.unionByName(_links(split, radius)).distinct()
 
 
+def _settled(state: DataFrame) -> bool:
+    """Whether each node of the links (u, v), u > v, has one partner below it or none, and no such partner one itself."""
+    ends = state.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(state.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("root").alias("r")).filter("c > 1 OR c = 1 AND r = 1").isEmpty()
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, for every node of a link.
 
-    Large-star and small-star rounds; every round is written to the shared folder, none passes through the driver.
+    Large-star and small-star rounds, until all components are stars; every round is written to the shared folder, none
+    passes through the driver.
     """
-    state = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    state = materialize(state, "links")
-    seen = None
+    state = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     for _ in range(max_rounds):
+        if _settled(state):
+            break
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lows")
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lows = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lows")
+        large = both.filter("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "large-star")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        state = materialize(small.filter("u <> v").distinct(), "small-star")
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        before, state = state, materialize(small.filter("u <> v").distinct(), "small-star")
+        release(before, lows, large, least)
     else:
         raise RuntimeError("the star contraction did not settle")
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import duckdb
 import pytest
@@ -45,6 +46,12 @@ def test_deduplicate_keeps_columns(spark):
     assert sorted((r.doc_id for r in out if r.doc_id is not None)) == [1, 5, 6, 8] and out[0].kept == "clash"
 
 
+def test_different_texts_under_one_id_all_stay(spark):
+    rows = [(1, "one text"), (1, "another text"), (1, "another text"), (2, "another  text"), (None, "x"), (None, "x")]
+    got = sorted((str(r.doc_id), r.text) for r in E.deduplicate(docs(spark, rows).withColumn("_row", F.lit(1)).withColumn("_id", F.lit(2))).collect())
+    assert got == [("1", "one text"), ("2", "another  text"), ("None", "x"), ("None", "x")]
+
+
 def test_exact_oracle(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = duckdb.sql(E.ORACLE_SQL["op1_exact_dedup"]).df().sort_values("doc_id").reset_index(drop=True)
@@ -96,3 +103,51 @@ def test_battery_leaves_no_key_out_for_its_classes(spark):
     got = {r.doc_id: [s for s in r.spans if s.kind == "random"] for r in K.scan(docs(spark, list(enumerate(keys + words)))).collect()}
     found = [bool(got[i]) for i in range(len(keys) + len(words))]
     assert sum(found[:100]) > 90 and sum(found[100:200]) > 95 and sum(found[200:300]) > 85 and not any(found[300:])
+
+
+def plain_battery(token):
+    """Encoding, chi-squared, runs and serial correlation, written down again with plain Python."""
+    body = token.rstrip("=")
+    size = 10 if token.isdecimal() else 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else 32 if re.fullmatch("[A-Z2-7]+=*", token) else 64
+    n = len(body)
+    chi2 = sum((c - n / size) ** 2 / (n / size) for c in Counter(body).values()) + (size - len(set(body))) * n / size
+    plain = re.sub(r"(?<=[A-Za-z])[-_/+=](?=[A-Za-z])", "", body)
+    plain = re.sub(r"(?<![A-Z])[A-Z](?=[a-z])", "a", plain)
+    kind = lambda c: 0 if c.isdecimal() else 1 if c.isupper() else 2 if c.islower() else 3
+    runs = 1 + sum(kind(a) != kind(b) for a, b in zip(plain, plain[1:]))
+    rank = [ord(c) - (48 if c <= "9" else 55 if c <= "Z" else 61) for c in body]
+    mean = sum(rank) / n
+    var = sum((r - mean) ** 2 for r in rank)
+    return chi2, runs, sum((a - mean) * (b - mean) for a, b in zip(rank, rank[1:])) / var if var else 1.0
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(11)
+    draw = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    kinds = [string.ascii_letters + string.digits + "+/", string.hexdigits[:16], string.ascii_uppercase + "234567", string.digits, "aab_-/", string.ascii_letters]
+    tokens = [draw(k, n) for k in kinds for n in (20, 24, 33, 64, 200)] + ["a" * 30, "DEADBEEF" * 4, "ABCDEFGH2345" * 2 + "=="]
+    got = {r.found: (r.chi2, r.runs, r.serial) for r in K.battery(spark.createDataFrame([(t,) for t in tokens], "found string")).collect()}
+    for t in tokens:
+        assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for a, b in zip(got[t], plain_battery(t))), t
+
+
+def test_recall_and_false_discoveries_on_planted_keys(spark):
+    """Planted random keys among ordinary long words: found by length, and the share of words among the finds."""
+    rng = random.Random(12)
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in re.findall("[A-Za-z]{4,}", r.text or "")})
+    prose = lambda: rng.choice(["", "_", "-"]).join(rng.choice(words).capitalize() for _ in range(3))
+    plain = [t for t in (prose() for _ in range(6000)) if len(t) >= 20][:4000]
+    symbols = string.ascii_letters + string.digits + "+/"
+    keys = ["".join(rng.choice(symbols) for _ in range(n)) for n in (24, 32, 48) for _ in range(200)]
+    got = {r.doc_id for r in K.scan(docs(spark, list(enumerate(keys + plain)))).collect() if any(s.kind == "random" for s in r.spans)}
+    found = [sum(i in got for i in range(k, k + 200)) / 200 for k in (0, 200, 400)]
+    false = sum(i >= len(keys) for i in got)
+    assert found[0] >= 0.85 and found[1] >= 0.95 and found[2] >= 0.97 and false <= max(2, 2 * K.FDR * len(got))
+
+
+def test_many_matches_and_clashing_names(spark):
+    text = " ".join(f"token={i:016x}" for i in range(20_000))
+    d = spark.createDataFrame([(1, text, "a", 7), (2, "plain", "b", 8)], "doc_id bigint, text string, _text string, _spans int")
+    assert len(K.scan(d).filter("doc_id = 1").first().spans) == 40_000
+    got = {r.doc_id: r for r in K.redact(d).collect()}
+    assert got[1].text == " ".join(["[secret]"] * 20_000) and (got[1]._text, got[1]._spans) == ("a", 7) and got[2].text == "plain"

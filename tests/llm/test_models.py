@@ -62,9 +62,23 @@ def test_sample_does_not_follow_the_order_of_the_table(spark):
     rows = [(1000 * k + i, f"text {i} of {k}", f"l{k}") for k in range(7) for i in range(400)] + [(9000, "only one", "l8"), (9001, "and two", "l8"), (9002, "and three", "l8")]
     forward = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     backward = spark.createDataFrame(rows[::-1], "doc_id bigint, text string, lang string").repartition(3)
-    got = L.sample(forward, rows=80)
-    assert got == L.sample(backward, rows=80)
+    got = sorted(map(tuple, L.sample(forward, rows=80).collect()))
+    assert got == sorted(map(tuple, L.sample(backward, rows=80).collect()))
     few = sum(not held(i) for i in (9000, 9001, 9002))
-    assert {k: got[1].count(k) for k in set(got[1])} == {**{f"l{k}": 10 for k in range(7)}, "l8": few}
+    assert {k: [g[1] for g in got].count(k) for k in {g[1] for g in got}} == {**{f"l{k}": 10 for k in range(7)}, "l8": few}
+    one, two = L.fit(forward, rows=80), L.fit(backward, rows=80)
+    assert (one.logits == two.logits).all() and one.languages == two.languages and one.threshold == two.threshold
+    assert L.sample(forward.limit(0)) is None
     with pytest.raises(ValueError):
         L.sample(forward, max_languages=7)
+
+
+def test_rejection_threshold():
+    p = np.array([[0.9, 0.1]] * 600 + [[0.4, 0.3], [0.45, 0.3]])
+    assert L.rejection_threshold(p, np.zeros(602, int)) == 0.45  # one of 602 right answers may be refused
+    assert L.rejection_threshold(p[:600], np.zeros(600, int)) == L.LEAST_SCORE == L.rejection_threshold(p, np.ones(602, int))
+
+
+def test_only_letters_count():
+    assert L.clean("Été – «OUI» 12…") == "été    oui  12 ".encode() and list(L.subwords(L.clean("a—b"))) == list(L.subwords(b"a b"))
+    assert not L.has_letter("— «» 12") and len(L.subwords(L.clean("— «» 12"))) == 0
