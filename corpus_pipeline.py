@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialize, read_table
+from tessera.llm.common import materialize, read_table, release
 from tessera.llm.exact_dedup import deduplicate
-from tessera.llm.language_id import drop_rejected, sample, train
+from tessera.llm.language_id import drop_rejected, fit
 from tessera.llm.near_copies import drop_near_copies
 from tessera.llm.packing import default_vocabulary, pack_documents
 from tessera.llm.secrets import redact
@@ -16,7 +16,7 @@ from tessera.llm.secrets import redact
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go; it is trained on a bounded sample of the stage's own input."""
-    return drop_rejected(docs, train(*sample(docs)))
+    return drop_rejected(docs, fit(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("secrets", secrets), ("packing", packing),
 ]
 
-#: Language, near copies and tokens have no SQL form; tests compare the stages with brute force.
+#: Language, near copies and tokens have no SQL form.
 ORACLE_SQL = None
 
 
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again as the next one's input."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return docs
