@@ -215,7 +215,8 @@ def near_links(described: DataFrame, similarity: float = SIMILARITY, radius: int
 def _linked(described: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that span each bucket of ``members`` (bucket, doc_id)."""
     members = materialize(members, "members")
-    rows = members.join(described.select("doc_id", "shingles"), "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    # Members grow with the table, so they are not broadcast: the plan is the same at every size.
+    rows = members.join(described.select("doc_id", "shingles").hint("merge"), "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None

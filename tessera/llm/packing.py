@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import array
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from tessera.llm.common import materialize, read_table, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
-#: Ranks within one length are counted in this many lots, so that no length has to meet in one task.
-LOTS = 64
+#: Pieces of one length are ranked in lots of about so many, however many there are.
+LOT_ROWS = 100_000
 #: Words whose ids a Python worker remembers.
 CACHED_WORDS = 300_000
 
@@ -36,7 +37,9 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary (a tokenizers json file), as little-endian unsigned 32-bit bytes.
 
     A single space that stands between two other characters always begins a new pre-token, so a text without two
-    spaces in a row is the concatenation of its space-led words, whose ids are remembered.
+    spaces in a row is the concatenation of its space-led words, whose ids are remembered.  Added tokens of the
+    vocabulary, such as its end mark, have their own id wherever a text holds them, and what stands between them is
+    encoded on its own.
     """
 
     def __init__(self, path: str):
@@ -44,11 +47,16 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            said = json.load(f)
+        vocab, added = said["model"]["vocab"], said.get("added_tokens") or []
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t["content"]: array.array("I", [t["id"]]).tobytes() for t in added}
+        self.mark = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token not in self.added}
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words: dict[str, bytes] = {}
 
@@ -56,6 +64,11 @@ class Encoder:
         return array.array("I", self.encode(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added[x] if x in self.added else self._plain(x) for x in self.mark.split(text) if x)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if "  " in text or not text:
             return self._ids(text)
         first, *rest = text.split(" ")
@@ -174,27 +187,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to ``parts`` (doc_id, piece, length <= capacity, ...); reads ``parts`` twice."""
-    lot = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(LOTS)).cast("int")
-    marked = parts.withColumn("_lot", lot)
-    counted = sorted((r["length"], r["_lot"], r["count"]) for r in marked.groupBy("length", "_lot").count().collect())
-    totals: dict[int, int] = {}
-    base = np.zeros((capacity + 1, LOTS), np.int64)
-    for s, k, n in counted:
-        base[s, k] = totals.get(s, 0)
-        totals[s] = totals.get(s, 0) + n
-    shared = parts.sparkSession.sparkContext.broadcast((plan(totals, capacity), base))
-    order = Window.partitionBy("length", "_lot").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in parts.columns])
-    ranked = marked.withColumn("_rank", F.row_number().over(order))
+    """Adds sequence_id and offset to ``parts`` (doc_id, piece, length <= capacity, ...).
+
+    Only the histogram of lengths, ``capacity`` rows, reaches the driver.  Pieces of one length are ranked in lots of
+    about ``LOT_ROWS``, and a running sum over the sizes of the lots makes the ranks those of the whole length.
+    """
+    rows = materialize(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    shared = parts.sparkSession.sparkContext.broadcast(plan(counts, capacity))
+    lots = parts.sparkSession.createDataFrame([(s, -(-n // LOT_ROWS)) for s, n in sorted(counts.items())], "length bigint, _lots bigint")
+    marked = rows.join(F.broadcast(lots), "length").withColumn("_lot", F.pmod(F.xxhash64("_row"), F.col("_lots")))
+    sizes = marked.groupBy("length", "_lot").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("length").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", "_lot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_lot").orderBy("_row")))
+    ranked = ranked.join(bases, ["length", "_lot"]).withColumn("_rank", F.col("_base") + F.col("_rank") - 1)
 
     columns = parts.columns
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, base = shared.value
+        segments = shared.value
         starts = segments[:, 0] << 44 | segments[:, 1]
         for batch in batches:
-            length, lots, rank = (batch.column(c).to_numpy() for c in ("length", "_lot", "_rank"))
-            rank = base[length, lots] + rank - 1
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
             s = segments[np.searchsorted(starts, length << 44 | rank, "right") - 1]
             i = rank - s[:, 1]
             found = [pa.array(s[:, 3] + i // s[:, 4]), pa.array(s[:, 5] + i % s[:, 4] * length)]
@@ -210,7 +225,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
     A null text counts as empty and is the single id ``end_id``.  Rows that repeat a doc_id are packed as they come;
     an empty table gives an empty result; other columns are not read.
     """
-    return pack(materialize(pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)
+    return pack(pieces(docs, vocabulary, capacity, end_id), capacity)
 
 
 def default_vocabulary() -> str:

@@ -44,6 +44,7 @@ class Lattices:
         names = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
+        self.all_bytes = frozenset(self.byte_ids.values())
         if len(self.byte_ids) < 256:
             raise ValueError("lossless decoding asks for a vocabulary with byte fallback")
         self.weight = {names[i]: (i, alpha * model.get_score(i)) for i in plain}
@@ -200,10 +201,24 @@ def sample(texts: list[str], keys: np.ndarray, path: str, alpha: float = ALPHA)
     return np.split(found.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
 
 
+def encode_texts(texts: list[str], keys: np.ndarray, path: str, alpha: float = ALPHA) -> list[np.ndarray]:
+    """Ids of each text; one that holds the word mark itself is the mark and then bytes only."""
+    model = lattices(path, alpha)
+    ids = sample(["" if MARK in t else t for t in texts], keys, path, alpha)
+    return [np.array([model.weight[MARK][0], *(model.byte_ids[b] for b in t.encode())], np.int32) if MARK in t else x for t, x in zip(texts, ids, strict=True)]
+
+
 def decode(ids: np.ndarray, path: str, alpha: float = ALPHA) -> str:
-    """The text of ids; of any segmentation of a text, that text."""
-    raw = b"".join(map(lattices(path, alpha).bytes_of.__getitem__, ids.tolist())).decode()
-    return raw.replace(MARK, " ")[1:]
+    """The text of ids; of any segmentation of a text, that text.
+
+    Bytes only, after the first mark, are the text as it is.  Where a text without a mark gives such ids, it holds no
+    space, and both ways of reading them agree.
+    """
+    model, found = lattices(path, alpha), ids.tolist()
+    raw = b"".join(map(model.bytes_of.__getitem__, found[1:])).decode() if found else ""
+    if found and found[0] == model.weight[MARK][0] and model.all_bytes.issuperset(found[1:]):
+        return raw
+    return (model.bytes_of[found[0]].decode() + raw).replace(MARK, " ")[1:] if found else ""
 
 
 def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -216,14 +231,10 @@ def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattices(path, alpha)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                texts = part.column("text").to_pylist()
-                marked = [MARK in t for t in texts]
                 keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-                ids = sample(["" if m else t for m, t in zip(marked, texts, strict=True)], keys, path, alpha)
-                ids = [np.array([model.weight[MARK][0], *(model.byte_ids[b] for b in t.encode())], np.int32) if m else x for m, t, x in zip(marked, texts, ids, strict=True)]
+                ids = encode_texts(part.column("text").to_pylist(), keys, path, alpha)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), lists], ["doc_id", "text", "ids"])
@@ -233,33 +244,26 @@ def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>")
 
 
-def decode_rows(encoded: DataFrame, path: str, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit), decoded text, and whether it is the text."""
+def decode_rows(encoded: DataFrame, path: str, alpha: float = ALPHA, texts: bool = True) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit), decoded text (null unless ``texts``), its SHA-256,
+    and whether that is the hash of ``text``; only doc_id and ids are decoded from, the text's hash passes by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattices(path, alpha)
-        byte_id = set(model.byte_ids.values())
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                ids = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in part.column("ids")]
-                texts = part.column("text").to_pylist()
-                found = []
-                for x, t in zip(ids, texts, strict=True):
-                    if MARK in t and all(i in byte_id for i in x[1:].tolist()):
-                        found.append(b"".join(map(model.bytes_of.__getitem__, x[1:].tolist())).decode())
-                    else:
-                        found.append(decode(x, path, alpha) if len(x) else "")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                        pa.array(found, pa.string()), pa.array([f == t for f, t in zip(found, texts, strict=True)], pa.bool_()),
-                        pa.array([hashlib.sha256(f.encode()).hexdigest() for f in found], pa.string()),
-                    ],
-                    ["doc_id", "n_pieces", "ids_crc32", "decoded", "lossless", "decoded_sha256"],
-                )
+            ids = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in batch.column("ids")]
+            found = [decode(x, path, alpha) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                    pa.array(found if texts else [None] * len(found), pa.string()), pa.array([hashlib.sha256(f.encode()).hexdigest() for f in found], pa.string()), batch.column("text_sha256"),
+                ],
+                ["doc_id", "n_pieces", "ids_crc32", "decoded", "decoded_sha256", "text_sha256"],
+            )
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids_crc32 bigint, decoded string, lossless boolean, decoded_sha256 string")
+    rows = encoded.select("doc_id", "ids", F.sha2(F.col("text"), 256).alias("text_sha256"))
+    done = rows.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids_crc32 bigint, decoded string, decoded_sha256 string, text_sha256 string")
+    return done.select("doc_id", "n_pieces", "ids_crc32", "decoded", (F.col("decoded_sha256") == F.col("text_sha256")).alias("lossless"), "decoded_sha256")
 
 
 def default_model() -> str:
@@ -270,4 +274,4 @@ def default_model() -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return decode_rows(encode(docs, default_model()), default_model()).select("doc_id", "n_pieces", "ids_crc32", "lossless", "decoded_sha256")
+    return decode_rows(encode(docs, default_model()), default_model(), texts=False).select("doc_id", "n_pieces", "ids_crc32", "lossless", "decoded_sha256")

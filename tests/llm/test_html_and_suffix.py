@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -17,14 +18,77 @@ PAGES = {
 }
 
 
+STORY = "The story is long, and it goes on. " * 8
+PAGES |= {
+    '<article><div class="meta-analysis"><p>body text here</p></div></article>': "body text here",
+    '<article><section class="search-algorithms"><p>body, and more.</p></section></article>': "body, and more.",
+    "<article><p>Long text, is here. And more.</p><figure><img><figcaption>The caption.</figcaption></figure><p>so <math><mi>x</mi></math> is</p></article>": "Long text, is here. And more. The caption. so x is",
+    f"<body><article class=teaser><p>Short card, one line.</p></article><div><h2>Story</h2><p>{STORY}</p><p>{STORY}</p></div></body>": f"Story {STORY}{STORY}".strip(),
+    f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h1>Title</h1><div class=t><p>{STORY}</p></div></div><div>Buy now!</div></body>": f"Title {STORY}".strip(),
+    f"<div id=sidebar><p>{STORY}</p></div>": STORY.strip(),
+    f"<div id=sidebar><p>{STORY}</p></div><article><p>{STORY}</p></article>": STORY.strip(),
+    f"<div class=comments><p>{STORY}</p></div>": "", "<div class=ad>Buy now, it is cheap.</div><footer>(c)</footer>": "",
+    f"<body><h1>T</h1><p>{STORY}</p><ul><li>a point</li></ul><p>{STORY}</p><div><a>one</a></div></body>": f"T {STORY}a point {STORY}".strip(),
+}
+
+
 @pytest.mark.parametrize("html", PAGES)
 def test_extract(html):
     assert X.extract(html) == PAGES[html]
 
 
+def test_the_ratios_decide(monkeypatch):
+    """Without ratios no path is content, and with text alone or marks alone a page without an article reads differently."""
+    page = f"<body><div class=a>{'word ' * 15}</div><div class=b><p>{STORY}</p><p>{STORY}</p></div></body>"
+    assert X.extract(page) == (STORY + STORY).strip()
+    monkeypatch.setattr(X, "PUNCTUATION", X.re.compile("(?!)"))
+    assert X.extract(page) != (STORY + STORY).strip()
+    monkeypatch.setattr(X, "SHARE", 1e9)
+    assert not any(X.extract(h) for h in PAGES)
+
+
+def test_path_sums_against_brute_force():
+    rng = random.Random(3)
+    tags = ["div", "p", "a", "ul", "li", "b", "section", "article"]
+
+    def tree(depth):
+        tag, name = rng.choice(tags), rng.choice(["", " class=x", " id=y"])
+        return (tag, name, ["".join(rng.choice("ab,. ") for _ in range(rng.randrange(8))) if rng.random() < 0.5 or not depth else tree(depth - 1) for _ in range(rng.randrange(4))])
+
+    def html(t):
+        return t if isinstance(t, str) else f"<{t[0]}{t[1]}>{''.join(map(html, t[2]))}</{t[0]}>"
+
+    for _ in range(300):
+        page = X.read(html(("body", "", [tree(4) for _ in range(4)])))
+        naive = {}
+        for element, text, link in page.blocks:
+            chain, e = [], element
+            while e > 0:
+                chain.append(e)
+                e = page.parents[e]
+            s = naive.setdefault(page.paths[element], [0, 0, 0, 0])
+            for i, v in enumerate((len(text), 1, sum(c in ".,;:!?" for c in text), link)):
+                s[i] += v
+            assert [page.tags[c] for c in chain][-1:] == ["body"]
+        assert dict(X.path_sums(page)) == naive
+        same = {}
+        for e in range(1, len(page.tags)):  # equal tags and names from the root, equal path numbers
+            chain, up = [], e
+            while up > 0:
+                chain.append((page.tags[up]))
+                up = page.parents[up]
+            assert len(chain) == len(same.setdefault(page.paths[e], chain)) and chain == same[page.paths[e]]
+
+
+def test_work_does_not_grow_with_depth():
+    began = time.perf_counter()
+    assert X.extract("<div>" * 20_000 + "<p>x</p>" * 20_000).startswith("x x")
+    assert X.extract("<b><div>" * 3000 + "</b>" * 3000 + "x") == "x" and time.perf_counter() - began < 20
+
+
 def test_pages_rows(spark):
-    rows = [(1, "u", None, "clash"), (2, None, "<p>x y</p>", "clash"), (2, None, "<p>x y</p>", "clash"), (None, "u", "<p>" + "long, text. " * 20_000, "clash")]
-    got = X.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    rows = [(1, "u", None, "clash", 9), (2, None, "<p>x y</p>", "clash", 9), (2, None, "<p>x y</p>", "clash", 9), (None, "u", "<p>" + "long, text. " * 20_000, "clash", 9)]
+    got = X.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")).collect()
     assert [(r.page_id, r.text[:5], r.n_chars) for r in got] == [(1, "", 0), (2, "x y", 3), (2, "x y", 3), (None, "long,", 12 * 20_000 - 1)]
     assert X.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
