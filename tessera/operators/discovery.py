@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,23 +53,61 @@ def radius_summary(df: DataFrame, columns: list[str], radius: float) -> DataFram
     return pairs.agg(F.count(F.lit(1)).alias("pairs")).join(F.broadcast(touched))
 
 
+def covering_masks(limit: int, width: int) -> list[int]:
+    """Masks of the ``width`` low bits such that any two words that differ in ``limit`` of them agree under one.
+
+    Each place has a non-zero vector of limit + 1 bits; a mask keeps the places whose vector has an odd product with its
+    number.  ``limit`` differing places leave some number orthogonal to all of theirs.
+    """
+    numbers = range(1, 1 << (limit + 1))
+    return [sum(1 << p for p in range(width) if (numbers[p % len(numbers)] & v).bit_count() % 2) for v in numbers]
+
+
 def hamming_pairs(df: DataFrame, bits: str, limit: int, width: int = 64) -> DataFrame:
     """(a, b, distance) of distinct fingerprints with a < b that differ in at most ``limit`` bits; none is missed.
 
-    ``limit + 1`` bands of the bits: two such fingerprints agree on one band at least, so the join is on (band, value);
-    a pair is taken from the first band it agrees on.
+    Two such fingerprints agree under one of the covering masks at least, each of which keeps about half of the bits, so
+    the join is on (mask, kept bits); a pair is taken from the first mask it agrees under.
     """
-    size = -(-width // (limit + 1))
-    masks = [((1 << min(size, width - k)) - 1) << k for k in range(0, width, size)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(limit, width)]
     fps = df.filter(F.col(bits).isNotNull()).select(F.col(bits).alias("fp")).distinct()
-    cells = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)))).alias("c")).select("fp", "c.*")
-    joined = cells.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b"), ["band", "value"]).filter("a < b")
+    cells = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for i, m in enumerate(signed)))).alias("c")).select("fp", "c.*")
+    joined = cells.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b"), ["mask", "kept"]).filter("a < b")
     x = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(len(masks))
+    near = joined.withColumn("distance", F.bit_count(x).cast("int")).filter(F.col("distance") <= limit)
+    first = F.lit(len(signed))
     for i, m in reversed(list(enumerate(signed))):
         first = F.when(x.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
-    return joined.withColumn("distance", F.bit_count(x).cast("int")).filter((F.col("distance") <= limit) & (F.col("band") == first)).select("a", "b", "distance")
+    return near.filter(F.col("mask") == first).select("a", "b", "distance")
+
+
+def group_distances(df: DataFrame, group: str, bits: str, other: str, near: int = 4, width: int = 60) -> DataFrame:
+    """Distances of the fingerprints ``bits`` over all pairs of rows of a group: (distance, pairs, different), where
+    ``different`` counts the pairs whose ``other`` differs.  Distances over ``near`` come as one row, distance ``near`` + 1.
+
+    No pair of rows is formed: equal fingerprints are counted, near ones are met as distinct fingerprints under covering
+    masks within their group, and what is left of n (n - 1) / 2 is farther.  Rows with a null are left out.
+    """
+    rows = df.dropna(subset=[group, bits, other]).select(F.col(group).alias("g"), F.col(bits).alias("fp"), F.col(other).alias("o"))
+    cells = cut(rows.groupBy("g", "fp", "o").agg(F.count(F.lit(1)).alias("c")))
+    two = lambda n: F.sum(n * (n - 1) / 2).cast("long")
+    fps = cut(cells.groupBy("g", "fp").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("alike")))
+    equal = fps.agg(two(F.col("n")).alias("pairs"), F.sum("alike").alias("alike")).select(F.lit(0).alias("distance"), "pairs", (F.col("pairs") - F.col("alike")).alias("different"))
+    signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(near, width)]
+    kept = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for i, m in enumerate(signed))))
+    met = fps.select("g", F.col("fp").alias("a"), F.col("n").alias("na"), kept.alias("k")).join(fps.select("g", F.col("fp").alias("b"), F.col("n").alias("nb"), kept.alias("k")), ["g", "k"]).filter("a < b")
+    met = met.select("g", "a", "b", "na", "nb", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int").alias("distance")).filter(F.col("distance") <= near).distinct()
+    met = cut(met)
+    left = cells.select("g", F.col("fp").alias("a"), "o", F.col("c").alias("ca"))
+    right = cells.select("g", F.col("fp").alias("b"), "o", F.col("c").alias("cb"))
+    alike = met.join(left, ["g", "a"]).join(right, ["g", "b", "o"]).groupBy("distance").agg(F.sum(F.col("ca") * F.col("cb")).alias("alike"))
+    close = met.groupBy("distance").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs")).join(alike, "distance", "left").select("distance", "pairs", (F.col("pairs") - F.coalesce("alike", F.lit(0))).alias("different"))
+    seen = cut(equal.unionByName(close).filter("pairs > 0"))
+    alike_all = cells.groupBy("g", "o").agg(F.sum("c").alias("c")).agg(two(F.col("c")).alias("alike"))
+    whole = cells.groupBy("g").agg(F.sum("c").alias("c")).agg(two(F.col("c")).alias("all")).join(F.broadcast(alike_all))
+    rest = whole.join(F.broadcast(seen.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("p"), F.coalesce(F.sum("different"), F.lit(0)).alias("d"))))
+    rest = rest.select(F.lit(near + 1).alias("distance"), (F.col("all") - F.col("p")).alias("pairs"), (F.col("all") - F.col("alike") - F.col("d")).alias("different"))
+    return seen.unionByName(rest.filter("pairs > 0"))
 
 
 def greedy_clusters(df: DataFrame, key: str, bits: str, limit: int, max_rounds: int = 100) -> DataFrame:
@@ -84,7 +122,7 @@ def greedy_clusters(df: DataFrame, key: str, bits: str, limit: int, max_rounds:
     near = hamming_pairs(df, bits, limit)
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     order = nodes.select(F.col("fp").alias("a"), F.col("seen").alias("sa")).join(both, "a").join(nodes.select(F.col("fp").alias("b"), F.col("seen").alias("sb")), "b")
-    earlier = order.filter("sb < sa").select("a", "b", "sb").persist(StorageLevel.MEMORY_AND_DISK)
+    earlier = cut(order.filter("sb < sa").select("a", "b", "sb"))
     state = nodes.select("fp", F.lit(None).cast("boolean").alias("head"))
     for _ in range(max_rounds):
         seen = earlier.join(state.select(F.col("fp").alias("b"), F.col("head").alias("_h")), "b").groupBy("a").agg(F.coalesce(F.max(F.col("_h")), F.lit(False)).alias("covered"), F.max(F.col("_h").isNull()).alias("waiting"))
@@ -98,6 +136,13 @@ def greedy_clusters(df: DataFrame, key: str, bits: str, limit: int, max_rounds:
     return out.select("fp", F.when(F.col("head"), F.col("fp")).otherwise(F.col("to")).alias("head"), "n")
 
 
-def strongest_unit(a_groups: int, b_groups: int, c_groups: int) -> str:
-    """Which comparison the data supports best."""
-    return "same_person_same_cloth" if a_groups else "same_person_near_cloth" if b_groups else "same_person" if c_groups else "none"
+def unit_tiers(df: DataFrame, units: dict[str, list[str]]) -> DataFrame:
+    """Per unit of comparison, strongest first (name -> keys): groups of several rows, their rows, and whether it is the
+    strongest that has any."""
+    parts = []
+    for place, (name, keys) in enumerate(units.items()):
+        several = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        parts.append(several.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).select(F.lit(name).alias("unit"), F.lit(place).alias("place"), "groups", "rows"))
+    table = reduce(DataFrame.unionByName, parts)
+    strongest = table.filter("groups > 0").agg(F.min("place").alias("_s"))
+    return table.join(F.broadcast(strongest)).select("unit", "groups", "rows", F.coalesce(F.col("place") == F.col("_s"), F.lit(False)).alias("strongest"))

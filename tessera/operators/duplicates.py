@@ -17,17 +17,23 @@ def key_statistics(df: DataFrame, key: str, split: str, train: str = "train", he
     )
 
 
-def annotate(df: DataFrame, keys: dict[str, str], split: str = "split") -> DataFrame:
-    """Adds duplicate_<name> and leakage_<name> for each ``keys`` entry name -> key column.  Null keys are neither.
+def annotate(df: DataFrame, keys: dict[str, str | list[str]], split: str = "split", leaks: list[str] | None = None) -> DataFrame:
+    """Adds duplicate_<name> and leakage_<name> for each ``keys`` entry name -> key column, or columns of a joint key.
 
-    Only keys that repeat are joined back; they are few next to the rows, and the join is left to the optimizer.
+    A key with a null part is neither.  ``leaks`` names the entries that get a leakage column (default: all).  Rows of
+    all keys are counted by one aggregation over (entry, key); of its result only keys that repeat are joined back.
     """
     out = df
     for name, key in keys.items():
-        stats = key_statistics(df, key, split).filter("n > 1").select(F.col(key).alias(f"_k_{name}"), F.col("both").alias(f"_b_{name}"))
-        out = out.join(stats, out[key] == stats[f"_k_{name}"], "left").withColumns({
-            f"duplicate_{name}": F.col(f"_k_{name}").isNotNull(), f"leakage_{name}": F.coalesce(F.col(f"_b_{name}"), F.lit(False)),
-        }).drop(f"_k_{name}", f"_b_{name}")
+        parts = [key] if isinstance(key, str) else key
+        known = reduce(lambda a, b: a & b, (F.col(p).isNotNull() for p in parts))
+        joint = F.when(known, F.struct(*parts)) if len(parts) > 1 else F.col(parts[0])
+        out = out.withColumn("_key", joint)
+        stats = key_statistics(out, "_key", split).filter("n > 1").select(F.col("_key").alias("_k"), F.col("both").alias("_b"))
+        out = out.join(stats, out["_key"] == stats["_k"], "left").withColumn(f"duplicate_{name}", F.col("_k").isNotNull())
+        if leaks is None or name in leaks:
+            out = out.withColumn(f"leakage_{name}", F.coalesce(F.col("_b"), F.lit(False)))
+        out = out.drop("_k", "_b", "_key")
     return out
 
 

@@ -28,8 +28,9 @@ def lattice_summary(rows: DataFrame, keys: list[str], errors: str) -> DataFrame:
     return counts.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("repeated"), F.sum("bad").alias("failed"))
 
 
-def calibration_gates(rows: DataFrame, family: str, intended: str, realized: str, side: list[str], close: float = 0.15, near: float = 0.5, share: float = 0.35) -> DataFrame:
-    """Per family: executability, accuracy, monotonicity over >= 3 levels, locality, reproducibility, and the decision."""
+def calibration_gates(rows: DataFrame, family: str, intended: str, realized: str, side: list[str], spec: str | None = None, close: float = 0.15, near: float = 0.5, share: float = 0.35) -> DataFrame:
+    """Per family: executability, accuracy, monotonicity over >= 3 levels, locality, sensitivity (as many
+    distinct ``spec`` as levels but one, three at least), reproducibility, and the decision."""
     level = F.round(F.col(intended), 3)
     error = F.abs(F.col(realized) - F.col(intended))
     magnitude = F.when(F.abs(F.col(intended)) == 0, 1.0).otherwise(F.abs(F.col(intended)))
@@ -38,7 +39,7 @@ def calibration_gates(rows: DataFrame, family: str, intended: str, realized: str
     order = Window.partitionBy(family).orderBy("level")
     steps = levels.withColumn("rises", F.col("mean") > F.lag("mean").over(order))
     shape = steps.groupBy(family).agg(F.count(F.lit(1)).alias("levels"), F.coalesce(F.bool_and("rises"), F.lit(False)).alias("monotone"), F.max(F.when(F.col("n") >= 3, F.col("spread"))).alias("spread"))
-    base = rows.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col(realized).isNotNull()).alias("executable"), F.max(error).alias("max_error"), F.avg(error).alias("mean_error"), F.bool_or(leak).alias("leaks"))
+    base = rows.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col(realized).isNotNull()).alias("executable"), F.max(error).alias("max_error"), F.avg(error).alias("mean_error"), F.bool_or(leak).alias("leaks"), (F.count_distinct(spec) if spec else F.lit(None).cast("bigint")).alias("specs"))
     g = base.join(shape, family)
     accuracy = F.when(F.col("max_error") < close, "PASS").when(F.col("max_error") < near, "PARTIAL").otherwise("FAIL")
     rising = F.col("monotone") & (F.col("levels") >= 3)
@@ -46,7 +47,8 @@ def calibration_gates(rows: DataFrame, family: str, intended: str, realized: str
     repro = F.when(F.col("spread").isNull(), "NOT_RUN").when(F.col("spread") < 1e-6, "PASS").when(F.col("spread") < 0.05, "PARTIAL").otherwise("FAIL")
     return g.select(
         family, "n", "max_error", "mean_error", "levels", F.when(F.col("executable"), "PASS").otherwise("FAIL").alias("g1"), accuracy.alias("g2"), F.when(rising, "PASS").otherwise("FAIL").alias("g3"),
-        F.when(F.col("leaks"), "FAIL").otherwise("PARTIAL").alias("g4"), repro.alias("g6"), F.when(sound & (accuracy == "PASS"), "GO").when(sound, "PARTIAL").otherwise("NO-GO").alias("decision"),
+        F.when(F.col("leaks"), "FAIL").otherwise("PARTIAL").alias("g4"),
+        F.when(F.col("specs").isNull(), "NOT_RUN").when(F.col("specs") >= F.greatest(F.lit(3), F.col("levels") - 1), "PASS").otherwise("FAIL").alias("g5"), repro.alias("g6"), F.when(sound & (accuracy == "PASS"), "GO").when(sound, "PARTIAL").otherwise("NO-GO").alias("decision"),
     )
 
 

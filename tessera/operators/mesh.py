@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Brute-force distances are taken in blocks of this many cloth vertices.
-BLOCK = 512
+from tessera.functions.prefix import exact_percentiles
+from tessera.functions.scratch import cut
 
 
 def align_units(v: DataFrame, mesh: str = "mesh_id") -> DataFrame:
@@ -27,50 +29,82 @@ def regions(v: DataFrame, mesh: str = "mesh_id") -> DataFrame:
     return v.withColumn("_h", h).withColumn("_side", side).withColumn("region", F.when(F.col("_side"), "sleeve").when(F.col("_h") >= 0.6, "chest").when(F.col("_h") >= 0.3, "waist").otherwise("hem")).drop("_h", "_side")
 
 
-def nearest_distance(cloth: DataFrame, body: DataFrame, pair: str = "mesh_id") -> DataFrame:
-    """Adds ``clearance``, the distance of each cloth vertex to its mesh's nearest body vertex; null without a body.
+def nearest(points: DataFrame, others: DataFrame, group: str, k: int = 1) -> DataFrame:
+    """(``pid``, ``near``): of each point (group, pid, x, y, z) the ``k`` nearest of the ``others`` (group, oid, x, y, z)
+    of its group, array<struct<d2, oid, x, y, z>> from near to far, fewer where there are fewer.  A point is no neighbour
+    of its own id.
 
-    Many meshes run side by side; one mesh is a unit of work and fits a task by nature.
+    Points meet in cells: in each round a point looks at the 27 cells around it, and is done when its k-th neighbour is no
+    farther than a cell is wide, as nothing beyond these cells can be nearer; for the rest, cells get three times as
+    wide.  The first width gives a cell about ``k`` others, so the join is on (group, cell), however large a group is.
     """
-    kind = cloth.schema
+    box = lambda d, p: d.groupBy(group).agg(*(f(c).alias(f"{p}{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))), F.count(F.lit(1)).alias(f"{p}n"))
+    sizes = box(others, "o").join(box(points, "p"), group)
+    own = F.greatest(*(F.col(f"oh{c}") - F.col(f"ol{c}") for c in "xyz"))
+    all_of_it = F.greatest(*(F.greatest(f"oh{c}", f"ph{c}") - F.least(f"ol{c}", f"pl{c}") for c in "xyz"))
+    width = own / F.greatest(F.lit(1.0), F.pow(F.col("on") / k, F.lit(1 / 3)))
+    sizes = cut(sizes.select(group, F.when(width > 0, width).otherwise(F.greatest(all_of_it, F.lit(1.0))).alias("w"), all_of_it.alias("span"), "on"))
+    left = cut(points.select(group, "pid", "x", "y", "z").join(sizes, group))
+    there = cut(others.select(group, "oid", *(F.col(c).alias(f"o{c}") for c in "xyz")).join(sizes.select(group, F.col("w").alias("_w")), group))
+    done, factor = None, 1.0
+    cell = lambda c, w: F.floor(F.col(c) / (F.col(w) * factor))
+    around = F.array(*(F.struct(*(F.lit(v).alias(f"d{c}") for c, v in zip("xyz", (i, j, h), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for h in (-1, 0, 1)))
+    while not left.isEmpty():
+        mine = left.withColumn("_d", F.explode(around)).withColumns({f"_c{c}": cell(c, "w") + F.col(f"_d.d{c}") for c in "xyz"}).drop("_d")
+        held = there.withColumns({f"_c{c}": cell(f"o{c}", "_w") for c in "xyz"}).drop("_w")
+        met = mine.join(held, [group, "_cx", "_cy", "_cz"]).filter(~F.col("pid").eqNullSafe(F.col("oid")))
+        d2 = sum((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in "xyz")
+        met = met.select("pid", d2.alias("d2"), "oid", "ox", "oy", "oz")
+        best = met.withColumn("_r", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "oid"))).filter(F.col("_r") <= k)
+        best = best.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d2", "oid", F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("oz").alias("z")))).alias("near"))
+        reach = F.col("w") * factor
+        seen = cut(left.join(best, "pid", "left"))
+        sure = (F.size(F.coalesce("near", F.array())) >= k) & (F.element_at("near", k)["d2"] <= reach * reach) | (reach > F.col("span"))
+        now = seen.filter(F.coalesce(sure, F.lit(False))).select("pid", F.coalesce("near", F.array().cast(seen.schema["near"].dataType)).alias("near"))
+        done = now if done is None else done.unionByName(now)
+        left, factor = seen.filter(~F.coalesce(sure, F.lit(False))).drop("near"), 3 * factor
+    kind = "array<struct<d2:double,oid:bigint,x:double,y:double,z:double>>"
+    return done if done is not None else points.limit(0).select("pid", F.lit(None).cast(kind).alias("near"))
 
-    def both(c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = c.copy()
-        out["clearance"] = np.nan
-        if len(c) and len(b):
-            there = b[["bx", "by", "bz"]].to_numpy()
-            here = c[["x", "y", "z"]].to_numpy()
-            out["clearance"] = np.concatenate([np.sqrt(((here[i : i + BLOCK, None] - there[None]) ** 2).sum(axis=2)).min(axis=1) for i in range(0, len(here), BLOCK)])
-        return out
 
-    # Own names: both sides may come from one table, whose columns could not be told apart.
-    points = body.select(F.col(pair).alias("_body"), *(F.col(c).cast("double").alias(f"b{c}") for c in "xyz"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", clearance double"
-    return cloth.groupBy(pair).cogroup(points.groupBy("_body")).applyInPandas(both, schema).withColumn("clearance", F.nanvl("clearance", F.lit(None).cast("double")))
+def nearest_distance(cloth: DataFrame, body: DataFrame, pair: str = "mesh_id") -> DataFrame:
+    """Adds ``clearance``, the distance of each cloth vertex to its mesh's nearest body vertex; null without a body."""
+    xyz = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    rows = cut(cloth.withColumn("_pid", F.monotonically_increasing_id()))
+    points = rows.select(pair, F.col("_pid").alias("pid"), *xyz)
+    # Equal body vertices are one; their ids are below all of the cloth's, so none is taken for a cloth vertex itself.
+    there = cut(body.select(pair, *xyz).distinct()).withColumn("oid", -1 - F.monotonically_increasing_id())
+    found = nearest(points, there, pair).select(F.col("pid").alias("_pid"), F.sqrt(F.get("near", F.lit(0))["d2"]).alias("clearance"))
+    return rows.join(found, "_pid", "left").select(*cloth.columns, "clearance")
 
 
 def outcomes(v: DataFrame, by: list[str], contact: float = 0.3, tight: float = 1.0) -> DataFrame:
+    """Per group of ``by``: vertices with a clearance, its mean, p10 and least, and the shares in contact and tight."""
     c = F.col("clearance")
-    return v.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.1)).alias("p10"), F.min(c).alias("least"), F.avg((c < contact).cast("double")).alias("contact_ratio"), F.avg((c < tight).cast("double")).alias("tight_ratio"))
+    known = cut(v.filter(c.isNotNull()).select(*by, "clearance"))
+    p10 = exact_percentiles(known.groupBy(*by, "clearance").agg(F.count(F.lit(1)).alias("n")), by, "clearance", "n", (0.1,), ["p10"])
+    rest = known.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.avg((c < contact).cast("double")).alias("contact_ratio"), F.avg((c < tight).cast("double")).alias("tight_ratio"))
+    return rest.join(p10, by).select(*by, "n", "mean", "p10", "least", "contact_ratio", "tight_ratio")
 
 
-def wrinkle(v: DataFrame, mesh: str = "mesh_id", neighbours: int = 8) -> DataFrame:
-    """Per mesh the mean distance of a vertex to the plane of its nearest neighbours; 0 below nine vertices."""
+def _plane_distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distance of each point to the plane through its neighbours: the direction in which they spread least."""
+    for batch in batches:
+        if len(batch):
+            near = np.stack([np.stack(list(batch[f"n{c}"])) for c in "xyz"], axis=2)
+            centre = near.mean(axis=1)
+            spread = near - centre[:, None]
+            normal = np.linalg.eigh(np.einsum("nki,nkj->nij", spread, spread))[1][:, :, 0]
+            own = batch[["x", "y", "z"]].to_numpy()
+            yield pd.DataFrame({"pid": batch["pid"], "off": np.abs(np.einsum("ni,ni->n", own - centre, normal))})
 
-    def one(m: pd.DataFrame) -> pd.DataFrame:
-        p = m[["x", "y", "z"]].to_numpy()
-        out = []
-        if len(p) > neighbours:
-            for i in range(len(p)):
-                near = np.argpartition(((p - p[i]) ** 2).sum(axis=1), neighbours)[: neighbours + 1]
-                near = near[near != i][:neighbours]
-                centred = p[near] - p[near].mean(axis=0)
-                normal = np.linalg.svd(centred, full_matrices=False)[2][-1]
-                out.append(abs(float((p[i] - p[near].mean(axis=0)) @ normal)))
-        return pd.DataFrame({mesh: m[mesh].iloc[:1], "wrinkle": [float(np.mean(out)) if out else 0.0]})
 
-    return v.groupBy(mesh).applyInPandas(one, f"{mesh} {v.schema[mesh].dataType.simpleString()}, wrinkle double")
-
-
-def ratio_share(cond: Column) -> Column:
-    return F.avg(cond.cast("double"))
+def wrinkle(v: DataFrame, mesh: str = "mesh_id", neighbours: int = 8) -> DataFrame:
+    """Per mesh the mean distance of a vertex to the plane of its nearest neighbours; 0 below nine vertices."""
+    rows = cut(v.select(mesh, *(F.col(c).cast("double").alias(c) for c in "xyz")).withColumn("pid", F.monotonically_increasing_id()))
+    enough = rows.groupBy(mesh).agg((F.count(F.lit(1)) > neighbours).alias("_enough"))
+    points = rows.join(enough.filter("_enough"), mesh).drop("_enough")
+    found = nearest(points, points.withColumnRenamed("pid", "oid"), mesh, neighbours)
+    sides = points.join(found, "pid").select("pid", "x", "y", "z", *(F.col(f"near.{c}").alias(f"n{c}") for c in "xyz"))
+    off = sides.mapInPandas(_plane_distances, "pid bigint, off double")
+    return rows.join(off, "pid", "left").groupBy(mesh).agg(F.coalesce(F.avg("off"), F.lit(0.0)).alias("wrinkle"))

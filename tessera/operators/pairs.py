@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import flags, pair_id
+from tessera.functions.scratch import cut
 from tessera.operators.stats import purity
 
 #: All pairs up to this group size, else neighbours, and this many of them.
 ALL_PAIRS_UP_TO, NEIGHBOUR_CAP = 6, 32
 FAMILY_BITS = 4
+#: The leaks that take a held-out sample away, and those of a member that count against a pair.
+LEAKS = ("leakage_person", "leakage_cloth", "leakage_target", "leakage_pair")
+PAIR_LEAKS = LEAKS[:3]
 
 
 @dataclass(frozen=True)
@@ -31,21 +35,24 @@ class Measures:
         return (self.ease, self.garment[0], "id")
 
 
-def limited_pairs(samples: DataFrame, group: list[str], order: tuple[str, ...]) -> DataFrame:
+def limited_pairs(samples: DataFrame, group: list[str], order: tuple[str, ...], whole: bool = False) -> DataFrame:
     """(group..., a, b) ids of the pairs of each group: all up to six members, else at most 32 neighbours in order,
     and first with last when the neighbours do not use up the cap.  Null group keys form no group.
 
-    The cap is a rule of the method; beyond it a group's work is one sort.
+    With ``whole``, a and b are structs of all columns instead of ids, so that no sample has to be joined back.  The
+    rule never looks past the place NEIGHBOUR_CAP + 1: places are cut there, which Spark does before it shuffles, and
+    sizes are counted apart, so a hot group costs its task no more than others.
     """
     keyed = reduce(lambda d, g: d.filter(F.col(g).isNotNull()), group, samples)
-    w = Window.partitionBy(*group)
-    numbered = keyed.select(*group, "id", F.row_number().over(w.orderBy(*order)).alias("i"), F.count(F.lit(1)).over(w).alias("n")).filter("n > 1")
+    member = F.struct(*samples.columns) if whole else F.col("id")
+    places = keyed.select(*group, member.alias("member"), F.row_number().over(Window.partitionBy(*group).orderBy(*order)).alias("i")).filter(F.col("i") <= NEIGHBOUR_CAP + 1)
+    numbered = places.join(keyed.groupBy(*group).agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1"), group)
     # Each member names the places it is compared with, so the join is on (group, place) and never on a group alone.
     small = F.when(F.col("n") <= ALL_PAIRS_UP_TO, F.when(F.col("i") < F.col("n"), F.sequence(F.col("i") + 1, F.col("n"))))
     ends = F.when((F.col("i") == 1) & (F.col("n") - 1 < NEIGHBOUR_CAP), F.array(F.col("i") + 1, F.col("n"))).when((F.col("i") < F.col("n")) & (F.col("i") <= NEIGHBOUR_CAP), F.array(F.col("i") + 1))
     partners = F.when(F.col("n") <= ALL_PAIRS_UP_TO, small).otherwise(ends)
-    left = numbered.select(*group, F.col("id").alias("a"), F.explode(partners).alias("i"))
-    return left.join(numbered.select(*group, F.col("id").alias("b"), "i"), [*group, "i"]).drop("i")
+    left = numbered.select(*group, F.col("member").alias("a"), F.explode(partners).alias("i"))
+    return left.join(numbered.select(*group, F.col("member").alias("b"), "i"), [*group, "i"]).drop("i")
 
 
 def _constant(fields: tuple[str, ...], tolerance: float = 1e-6) -> Column:
@@ -56,14 +63,11 @@ def _either(flag: str) -> Column:
     return F.coalesce(F.col(f"a.{flag}"), F.lit(False)) | F.coalesce(F.col(f"b.{flag}"), F.lit(False))
 
 
-def pair_records(samples: DataFrame, links: DataFrame, m: Measures, tier: Column) -> DataFrame:
-    """Records of linked samples (a, b): the anchor is the one of lower ease, then bust, then id; same target or no
-    changed garment measure is no pair."""
-    joined = links.select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(samples.alias("x"), F.col("_a") == F.col("x.id")).join(samples.alias("y"), F.col("_b") == F.col("y.id"))
-    cols = samples.columns
-    x, y = (F.struct(*(F.col(f"{s}.{c}").alias(c) for c in cols)) for s in ("x", "y"))
-    first = F.struct(*(F.col(f"x.{c}").alias(f"k{i}") for i, c in enumerate(m.order))) <= F.struct(*(F.col(f"y.{c}").alias(f"k{i}") for i, c in enumerate(m.order)))
-    p = joined.select(F.when(first, x).otherwise(y).alias("a"), F.when(first, y).otherwise(x).alias("b"))
+def pair_records(links: DataFrame, m: Measures, tier: Column) -> DataFrame:
+    """Records of linked samples (structs a, b): the anchor is the one of lower ease, then bust, then id; same target or
+    no changed garment measure is no pair."""
+    first = F.struct(*(F.col(f"a.{c}").alias(f"k{i}") for i, c in enumerate(m.order))) <= F.struct(*(F.col(f"b.{c}").alias(f"k{i}") for i, c in enumerate(m.order)))
+    p = links.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
     varying = flags([(f, F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) > 0.01) for f in m.garment])
     same_cloth = F.col("a.cloth") == F.col("b.cloth")
     bits = F.coalesce(F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))), F.lit(64)).cast("int")
@@ -77,7 +81,7 @@ def pair_records(samples: DataFrame, links: DataFrame, m: Measures, tier: Column
         (F.size("varying") == 1).alias("single_variable"), F.concat(F.lit("garment_"), F.array_join("varying", "_and_"), F.when(F.size("varying") == 1, "_only").otherwise("")).alias("intervention"),
         *((F.col(f"b.{f}") - F.col(f"a.{f}")).alias(f"delta_{f}") for f in (*m.garment, m.ease)), F.col(f"a.{m.ease}").alias("anchor_ease"),
         ((F.col("a.quality_status") == "VALID") & (F.col("b.quality_status") == "VALID")).alias("both_valid"), (F.col("a.usable") & F.col("b.usable")).alias("both_usable"),
-        dup.alias("contaminated"), (_either("leakage_person") | _either("leakage_cloth") | _either("leakage_target")).alias("leaks"),
+        dup.alias("contaminated"), reduce(lambda x, y: x | y, map(_either, PAIR_LEAKS)).alias("leaks"),
         (F.col("a.split") != F.col("b.split")).alias("cross_split"), F.col("a.split").alias("anchor_split"), F.col("a.shard").alias("anchor_shard"), F.col("a.quality_status").alias("anchor_quality"),
     )
 
@@ -85,6 +89,7 @@ def pair_records(samples: DataFrame, links: DataFrame, m: Measures, tier: Column
 def with_controls(pairs: DataFrame) -> DataFrame:
     """Adds confound_flags (fixed order), control_score in [0, 1] and a reason text."""
     t = F.col("tier")
+    # The names of the confounds and their order.
     rules = [
         ("person_image_differs", ~F.col("same_person")), ("cloth_image_differs", ~F.col("same_cloth")), ("body_measurement_not_constant", ~F.col("body_constant")),
         ("no_garment_measurement_change", F.size("varying") == 0), ("multi_variable_garment_change", F.size("varying") > 1), ("cross_split_pair", F.col("cross_split")),
@@ -107,10 +112,12 @@ def build_pairs(samples: DataFrame, m: Measures) -> DataFrame:
 
     Each unordered pair keeps its strongest tier; A needs equal and B / C different cloths, so that needs no ranking.
     """
-    usable = samples.filter("usable").dropna(subset=[*m.body, *m.garment, m.ease])
-    a = pair_records(usable, limited_pairs(usable, ["person", "cloth"], m.order), m, F.lit("A")).filter("same_cloth AND body_constant")
+    needed = ["id", "split", "shard", "person", "cloth", "target", "fingerprint", *m.body, *m.garment, m.ease, "quality_status", "usable", *(f for f in samples.columns if f.startswith(("duplicate_", "leakage_")))]
+    # Both tiers number the same narrow rows; whatever made them is run once.
+    usable = cut(samples.filter("usable").dropna(subset=[*m.body, *m.garment, m.ease]).select(needed))
+    a = pair_records(limited_pairs(usable, ["person", "cloth"], m.order, whole=True), m, F.lit("A")).filter("same_cloth AND body_constant")
     tier = F.when(F.col("hamming") <= FAMILY_BITS, "B").otherwise("C")
-    bc = pair_records(usable, limited_pairs(usable, ["person"], m.order), m, tier).filter("same_person AND NOT same_cloth")
+    bc = pair_records(limited_pairs(usable, ["person"], m.order, whole=True), m, tier).filter("same_person AND NOT same_cloth")
     return with_controls(a.unionByName(bc))
 
 
@@ -147,7 +154,7 @@ def shortcut_audit(pairs: DataFrame, delta: str) -> DataFrame:
     return base.withColumns({"raw_verdict": raw, "verdict": F.when(lonely, "PARTIAL_CONFOUND").otherwise(raw)})
 
 
-def controlled_ids(samples: DataFrame, flags_: tuple[str, ...] = ("leakage_person", "leakage_cloth", "leakage_target"), held: str = "eval") -> DataFrame:
+def controlled_ids(samples: DataFrame, flags_: tuple[str, ...] = LEAKS, held: str = "eval") -> DataFrame:
     """Held-out ids without any of the leaks."""
     leak = reduce(lambda a, b: a | b, (F.col(f) for f in flags_))
     return samples.filter((F.col("split") == held) & ~leak).select("id")

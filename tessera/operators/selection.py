@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scratch import cut
+
 
 def spread_states(states: DataFrame, group: str, value: str, width: float, key: str, k: int) -> DataFrame:
     """``k`` states spread over (group, bin of value): the first of each bin before any second."""
@@ -14,32 +16,41 @@ def spread_states(states: DataFrame, group: str, value: str, width: float, key:
     return states.withColumn("_r", F.row_number().over(w)).orderBy("_r", group, key).limit(k).drop("_r")
 
 
-def stratified_pilot(pairs: DataFrame, stratum: str, shards: list[str], key: str, size: int, shard_cap: int, pool: int = 4000) -> DataFrame:
-    """A pilot of ``size`` pairs that touches at most ``shard_cap`` shards.
+def stratified_pilot(pairs: DataFrame, stratum: str, shards: list[str], key: str, size: int, shard_cap: int, forced: Column | None = None) -> DataFrame:
+    """A pilot of ``size`` pairs (with ``score``) that touches at most ``shard_cap`` shards.
 
-    Every stratum is forced in with its best pair.  The rest is a greedy choice, which is sequential: Spark ranks the
-    pairs of each stratum and hands the driver ``pool`` at most, a documented bound, not one that grows with the input.
+    Pairs that ``forced`` marks come first, the best first, as long as size and cap allow; by default these are the best
+    of each stratum.  The rest is greedy: of the pairs that fit, the one with the fewest new shards, then of the stratum
+    with the fewest pairs so far, then of the highest score, then of the smallest key.  A choice depends on nothing else,
+    so only the best ``size`` pairs of each (stratum, shards) can ever be chosen; they are kept on the executors, and
+    each round takes one minimum of them.  The driver sees one row a round.
     """
-    per = Window.partitionBy(stratum).orderBy(F.desc("score"), key)
-    ranked = pairs.withColumn("_r", F.row_number().over(per)).orderBy("_r", stratum, key).limit(pool).collect()
-    taken, used, counts = [], set(), {}
-    rest = []
-    for r in ranked:
-        need = {r[s] for s in shards}
-        if r["_r"] == 1 and len(used | need) <= shard_cap and len(taken) < size:
-            taken.append(r[key])
-            used |= need
-            counts[r[stratum]] = 1
-        else:
-            rest.append(r)
+    touched = F.array_sort(F.array_distinct(F.array(*shards)))
+    must = F.coalesce(forced, F.lit(False)) if forced is not None else F.lit(False)
+    rows = pairs.select(F.col(key).alias("k"), F.col(stratum).alias("s"), F.col("score"), touched.alias("shards"), must.alias("must"))
+    if forced is None:
+        rows = rows.withColumn("must", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("score"), "k")) == 1)
+    place = F.row_number().over(Window.partitionBy("s", "shards", "must").orderBy(F.desc("score"), "k"))
+    pool = cut(rows.withColumn("_r", place).filter(F.col("_r") <= size).drop("_r"))
+    taken: list = []
+    used: list = []
+    counts: dict = {}
+    forced_left = True
     while len(taken) < size:
-        best = min((r for r in rest if len(used | {r[s] for s in shards}) <= shard_cap), key=lambda r: (len({r[s] for s in shards} - used), counts.get(r[stratum], 0), -r["score"], r[key]), default=None)
+        left = pool.filter(~F.col("k").isin(taken)) if taken else pool
+        new = F.size(F.array_except("shards", F.array(*map(F.lit, used)))) if used else F.size("shards")
+        fits = left.filter(new + len(used) <= shard_cap)
+        held = F.coalesce(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))[F.col("s")], F.lit(0)) if counts else F.lit(0)
+        order = [F.desc("score"), F.col("k")] if forced_left else [new, held, F.desc("score"), F.col("k")]
+        best = (fits.filter("must") if forced_left else fits).orderBy(*order).first()
         if best is None:
-            break
-        rest.remove(best)
-        taken.append(best[key])
-        used |= {best[s] for s in shards}
-        counts[best[stratum]] = counts.get(best[stratum], 0) + 1
+            if not forced_left:
+                break
+            forced_left = False
+            continue
+        taken.append(best["k"])
+        used = sorted({*used, *best["shards"]})
+        counts[best["s"]] = counts.get(best["s"], 0) + 1
     return pairs.filter(F.col(key).isin(taken)) if taken else pairs.limit(0)
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.prefix import running_sums
+from tessera.functions.prefix import exact_percentiles, running_sums
 from tessera.functions.scalars import half_even, on_grid
+from tessera.functions.scratch import cut
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -17,24 +18,32 @@ def long_form(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
     return df.unpivot([F.col(k) for k in keep], [F.col(f).cast("double").alias(f) for f in fields], "field", "value")
 
 
+def value_counts(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
+    """(field, keep..., value, n): every distinct value of each field, nulls too.  What the statistics below start from."""
+    return cut(long_form(df, fields, keep).groupBy("field", *keep, "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def distribution(df: DataFrame, fields: list[str], split: str) -> DataFrame:
     """Per field and split, and per field over all: count, missing, mean, sd (n - 1), min, percentiles, max."""
-    long = long_form(df, fields, [split])
-    exact = F.percentile("value", F.array(*(F.lit(p) for p in PERCENTILES)))
-    grouped = long.groupingSets([["field"], ["field", split]], "field", split).agg(
-        F.count("value").alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), exact.alias("p"), F.max("value").alias("max"), F.grouping(split).alias("over_all"),
-    )
+    counts = value_counts(df, fields, [split])
+    parts = counts.withColumn("part", F.explode(F.array(F.col(split), F.lit("ALL")))).groupBy("field", "part", "value").agg(F.sum("n").alias("n"))
+    parts = cut(parts)
+    v, n = F.col("value"), F.col("n")
+    known = F.sum(F.when(v.isNotNull(), n).otherwise(0))
+    mean = parts.groupBy("field", "part").agg(known.alias("n"), F.sum(F.when(v.isNull(), n).otherwise(0)).alias("missing"), (F.sum(v * n) / known).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    spread = parts.join(mean.select("field", "part", "mean"), ["field", "part"]).groupBy("field", "part").agg(F.sqrt(F.try_divide(F.sum((v - F.col("mean")) ** 2 * n), known - 1)).alias("sd"))
     names = [f"p{round(100 * p)}" for p in PERCENTILES]
-    return grouped.select("field", F.when(F.col("over_all") == 1, "ALL").otherwise(F.col(split)).alias("part"), "n", "missing", "mean", "sd", "min", *(F.col("p")[i].alias(n) for i, n in enumerate(names)), "max")
+    percentiles = exact_percentiles(parts, ["field", "part"], "value", "n", PERCENTILES, names)
+    out = mean.join(spread, ["field", "part"]).join(percentiles, ["field", "part"], "left")
+    return out.select("field", "part", "n", "missing", "mean", "sd", "min", *names, "max")
 
 
 def shift(df: DataFrame, fields: list[str], split: str, train: str = "train", held: str = "eval") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and Wasserstein-1 distance per field, by running sums of distinct values."""
-    counts = long_form(df, fields, [split]).filter(F.col("value").isNotNull()).groupBy("field", "value").agg(
+    counts = cut(long_form(df, fields, [split]).filter(F.col("value").isNotNull()).groupBy("field", "value").agg(
         F.sum((F.col(split) == train).cast("long")).alias("a"), F.sum((F.col(split) == held).cast("long")).alias("b"),
-    )
-    totals = counts.groupBy("field").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.collect_list(F.lit(1)).alias("_")).drop("_")
+    ))
+    totals = counts.groupBy("field").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     gaps = running_sums(counts, ["field"], "value", ["a", "b"]).join(F.broadcast(totals), "field")
     gap = F.abs(F.col("cum_a") / F.col("na") - F.col("cum_b") / F.col("nb"))
     # The distance is the integral of the gap: by parts, each value counts with the gap before it less the gap after.
@@ -54,9 +63,15 @@ def top_values(df: DataFrame, value: Column | str, k: int, by: list[str] | None
 
 def quantization(df: DataFrame, fields: list[str], split: str) -> DataFrame:
     """Per field and split: distinct values raw and at 3, 2, 1 decimals, and the share of the most frequent 15 at 2."""
-    long = long_form(df, fields, [split]).filter(F.col("value").isNotNull())
-    counts = long.groupBy("field", split).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("raw"), *(F.count_distinct(half_even("value", d)).alias(f"at_{d}dp") for d in (3, 2, 1)))
-    top = top_values(long, half_even("value", 2), 15, ["field", split]).groupBy("field", split).agg(F.sum("n").alias("top"))
+    values = value_counts(df, fields, [split]).filter(F.col("value").isNotNull())
+    counts = None
+    for name, v in (("raw", F.col("value")), *((f"at_{d}dp", half_even("value", d)) for d in (3, 2, 1))):
+        level = values.groupBy("field", split, v.alias("v")).agg(F.sum("n").alias("n"))
+        if name == "at_2dp":
+            order = Window.partitionBy("field", split).orderBy(F.desc("n"), "v")
+            top = level.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 15).groupBy("field", split).agg(F.sum("n").alias("top"))
+        one = level.groupBy("field", split).agg(F.count(F.lit(1)).alias(name), *([F.sum("n").alias("n")] if name == "raw" else []))
+        counts = one if counts is None else counts.join(one, ["field", split])
     return counts.join(top, ["field", split]).withColumn("top_share", F.col("top") / F.col("n"))
 
 
@@ -87,11 +102,15 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: list[str] | None =
 
 def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     """How large the groups of ``keys`` are: groups, rows, groups of several, percentiles, least and most."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("size").alias("rows"), F.sum((F.col("size") > 1).cast("long")).alias("several"), F.min("size").alias("least"),
-        *(F.percentile("size", F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.99)), F.max("size").alias("most"),
-    )
+    sizes = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n")))
+    size, n = F.col("size"), F.col("n")
+    row = sizes.agg(F.sum("n").alias("groups"), F.sum(size * n).alias("rows"), F.sum(F.when(size > 1, n).otherwise(0)).alias("several"), F.min("size").alias("least"), F.max("size").alias("most"))
+    return row.join(exact_percentiles(sizes, [], "size", "n", (0.5, 0.9, 0.99), ["p50", "p90", "p99"])).select("groups", "rows", "several", "least", "p50", "p90", "p99", "most")
+
+
+def size_histogram(df: DataFrame, keys: list[str], first: int = 20) -> DataFrame:
+    """(size, groups) of the ``first`` sizes that occur, from the smallest."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups")).orderBy("size").limit(first)
 
 
 def purity(df: DataFrame, key: Column | str, label: str) -> DataFrame:
@@ -110,16 +129,20 @@ def auroc(df: DataFrame, score: str, label: Column) -> DataFrame:
 
 
 def risk_coverage(df: DataFrame, score: str, key: str, right: Column, steps: int = 10) -> DataFrame:
-    """Accuracy of what is left when the k highest scores abstain, for k in tenths; ties by ``key``."""
-    # Ranks come from running counts of distinct scores, and only rows near a cut need their order within a score.
-    rows = df.select(F.col(score).alias("_s"), F.col(key).alias("_k"), right.cast("double").alias("_ok"))
-    counts = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_m"))
-    above = running_sums(counts.withColumn("_neg", -F.col("_s")), [], "_neg", ["_m"]).select("_s", (F.col("cum__m") - F.col("_m")).alias("_above"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_k"))).join(above, "_s")
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    placed = ranked.join(F.broadcast(total)).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / steps)))
-    slot = F.floor((F.col("_above") + F.col("_r") - 1) / F.col("_step"))
-    parts = placed.groupBy(slot.cast("int").alias("slot"), "_n", "_step").agg(F.sum("_ok").alias("ok"), F.count(F.lit(1)).alias("m"))
+    """Accuracy of what is left when the k highest scores abstain, for k in tenths; ties by ``key``, a unique number."""
+    # A score's rows take the places from the number of higher ones on.  Where all of these fall into one slot, no order
+    # is needed; the few scores that a cut goes through are ranked by running sums over the key, in many tasks.
+    rows = df.select(F.col(score).cast("double").alias("_s"), F.col(key).alias("_k"), right.cast("double").alias("_ok"))
+    counts = cut(rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_m"), F.sum("_ok").alias("_hits")))
+    total = counts.agg(F.sum("_m").alias("_n"))
+    above = running_sums(counts.withColumn("_neg", -F.col("_s")), [], "_neg", ["_m"]).withColumn("_above", F.col("cum__m") - F.col("_m"))
+    above = above.join(F.broadcast(total)).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / steps)))
+    slot = lambda place: F.floor(place / F.col("_step")).cast("int")
+    above = cut(above.withColumn("whole", slot(F.col("_above")) == slot(F.col("_above") + F.col("_m") - 1)))
+    whole = above.filter("whole").select(slot(F.col("_above")).alias("slot"), "_n", "_step", F.col("_hits").alias("ok"), F.col("_m").alias("m"))
+    torn = running_sums(cut(rows.join(above.filter("NOT whole").select("_s", "_above", "_n", "_step"), "_s").withColumn("_one", F.lit(1))), ["_s"], "_k", ["_one"])
+    torn = torn.select(slot(F.col("_above") + F.col("cum__one") - 1).alias("slot"), "_n", "_step", F.col("_ok").alias("ok"), F.lit(1).cast("long").alias("m"))
+    parts = whole.unionByName(torn).groupBy("slot", "_n", "_step").agg(F.sum("ok").alias("ok"), F.sum("m").alias("m"))
     rest = Window.orderBy("slot").rowsBetween(0, Window.unboundedFollowing)  # at most steps + 1 rows are left here
     out = parts.withColumns({"kept": F.sum("m").over(rest), "hits": F.sum("ok").over(rest)})
     return out.select("slot", (F.col("kept") / F.col("_n")).alias("coverage"), (F.col("hits") / F.col("kept")).alias("selective_accuracy"), (1 - F.col("kept") / F.col("_n")).alias("abstention_rate"))
@@ -130,23 +153,38 @@ def errors(df: DataFrame, truth: Column, guess: Column, by: list[str] | None = N
     return df.groupBy(*(by or [])).agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def bootstrap(df: DataFrame, value: Column, key: str, replicates: int = 800, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean: Poisson(1) weights from a hash of (seed, key, replicate), summed in one pass.
-
-    Every row carries its ``replicates`` weights through one partial aggregation, so what is shuffled does not grow
-    with the rows.
-    """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")), F.lit(1 << 30)) / float(1 << 30)
+def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
+    """Poisson(1) weight of a row in a replicate, from a hash of (seed, key, replicate)."""
+    u = F.pmod(F.xxhash64(F.lit(seed), key, replicate), F.lit(1 << 30)) / float(1 << 30)
     cumulative, p, weight = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(7):
         cumulative += p
         weight = weight + (u >= cumulative).cast("int")
         p /= k + 1
-    rows = df.select(F.col(key), value.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    means = rows.withColumn("_w", weight).groupBy("replicate").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("m"))
+    return weight
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    return F.sum(weight * value) / F.sum(weight)
+
+
+def bootstrap(
+    df: DataFrame, value: Column, key: str, replicates: int = 800, level: float = 0.95, seed: int = 0, by: list[str] | None = None,
+    statistic: Callable[[Column, Column], Column] = weighted_mean,
+) -> DataFrame:
+    """Percentile interval of a statistic, the mean unless ``statistic`` (value, weight) builds another, per group of ``by``.
+
+    Resamples are Poisson(1) weights, summed in one pass: every row carries its ``replicates`` weights through one partial
+    aggregation, so what is shuffled does not grow with the rows.
+    """
+    keys = by or []
+    rows = df.select(*keys, F.col(key).alias("_k"), value.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    means = rows.withColumn("_w", poisson_weight(F.col("_k"), F.col("replicate"), seed)).groupBy(*keys, "replicate").agg(statistic(F.col("_x"), F.col("_w")).alias("m"))
     tail = (1 - level) / 2
-    interval = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(F.broadcast(interval))
+    # At most ``replicates`` values a group meet here.
+    interval = means.groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    whole = df.groupBy(*keys).agg(F.count(value).alias("n"), statistic(value, F.lit(1)).alias("mean"))
+    return whole.join(interval, keys, "left") if keys else whole.join(F.broadcast(interval))
 
 
 def sign_rate(df: DataFrame, a: Column, b: Column) -> DataFrame:

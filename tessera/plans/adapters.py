@@ -12,6 +12,8 @@ from tessera.operators.quality import classify, missing_and_bounds
 
 MEASURES = Measures(body=("body_a", "body_b"), garment=("bust", "length", "sleeve"))
 FIELDS = ["bust", "length", "sleeve", "ease", "ease_ratio"]
+KEYS = {"person": "person", "cloth": "cloth", "target": "target", "pair": ["person", "cloth"], "record": ["person", "cloth", "target"]}
+LEAKING = ["person", "cloth", "target", "pair"]
 BOUNDS = {"bust": (2.0, 49.0), "length": (0.0, 10.0), "sleeve": (0.0, 8.0)}
 
 
@@ -38,7 +40,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = missing_and_bounds(BOUNDS)
     doubtful = [("extreme_ease", ~F.col("ease").between(-40.0, 40.0)), ("extreme_ease_ratio", ~F.col("ease_ratio").between(-0.9, 20.0))]
     tiers = classify(samples(spark, sf_dir), rules, [], doubtful, [("sleeveless", F.col("sleeve") == 0)])
-    return annotate(tiers, {"person": "person", "cloth": "cloth", "target": "target"})
+    return annotate(tiers, KEYS, leaks=LEAKING)
 
 
 SAMPLES = """
@@ -61,10 +63,12 @@ MANIFEST = (
     list_filter([CASE WHEN NOT ease BETWEEN -40 AND 40 THEN 'extreme_ease' END, CASE WHEN NOT ease_ratio BETWEEN -0.9 AND 20 THEN 'extreme_ease_ratio' END], lambda x: x IS NOT NULL) AS doubtful,
     list_filter([CASE WHEN sleeve = 0 THEN 'sleeveless' END], lambda x: x IS NOT NULL) AS notes
   FROM samples
-), manifest AS (
+), manifest AS MATERIALIZED (
   SELECT * EXCLUDE (bad, doubtful, notes), CASE WHEN len(bad) > 0 THEN 'INVALID' WHEN len(doubtful) > 0 THEN 'SUSPICIOUS' ELSE 'VALID' END AS quality_status,
     CASE WHEN len(bad) > 0 THEN bad || notes ELSE doubtful || notes END AS quality_flags, len(bad) = 0 AS usable,
     count(person) OVER (PARTITION BY person) > 1 AS duplicate_person, count(cloth) OVER (PARTITION BY cloth) > 1 AS duplicate_cloth, count(target) OVER (PARTITION BY target) > 1 AS duplicate_target,
+    count(*) OVER (PARTITION BY person, cloth) > 1 AS duplicate_pair, count(*) OVER (PARTITION BY person, cloth, target) > 1 AS duplicate_record,
+    max(split = 'train') OVER (PARTITION BY person, cloth) AND max(split = 'eval') OVER (PARTITION BY person, cloth) AS leakage_pair,
     max(split = 'train') OVER (PARTITION BY person) AND max(split = 'eval') OVER (PARTITION BY person) AS leakage_person,
     max(split = 'train') OVER (PARTITION BY cloth) AND max(split = 'eval') OVER (PARTITION BY cloth) AS leakage_cloth,
     max(split = 'train') OVER (PARTITION BY target) AND max(split = 'eval') OVER (PARTITION BY target) AS leakage_target

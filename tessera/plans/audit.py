@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.functions.prefix import exact_percentiles
 from tessera.operators import duplicates as D
 from tessera.operators import quality as Q
 from tessera.operators import stats as T
-from tessera.plans.adapters import FIELDS, MANIFEST, SAMPLES, manifest, samples, table
+from tessera.plans.adapters import FIELDS, KEYS, LEAKING, MANIFEST, SAMPLES, manifest, samples, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,10 +72,10 @@ def documents_content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", h.alias("digest"), S.image_identity("text", h).alias("identity"), F.concat("source", F.lit("#text:embedded")).alias("ref"))
 
 
-@query("sample_manifest", "WITH " + MANIFEST + """SELECT id, split, quality_status, array_to_string(quality_flags, ',') AS quality_flags, usable, duplicate_person, duplicate_cloth, duplicate_target, leakage_person, leakage_cloth, leakage_target FROM manifest""")
+@query("sample_manifest", "WITH " + MANIFEST + """SELECT id, split, quality_status, array_to_string(quality_flags, ',') AS quality_flags, usable, duplicate_person, duplicate_cloth, duplicate_target, duplicate_pair, duplicate_record, leakage_person, leakage_cloth, leakage_target, leakage_pair FROM manifest""")
 def sample_manifest(spark, sf_dir):
     """C1, C2, E1, E2 on samples."""
-    flags = [f"{p}_{k}" for p in ("duplicate", "leakage") for k in ("person", "cloth", "target")]
+    flags = [*(f"duplicate_{k}" for k in KEYS), *(f"leakage_{k}" for k in LEAKING)]
     return manifest(spark, sf_dir).select("id", "split", "quality_status", F.array_join("quality_flags", ",").alias("quality_flags"), "usable", *flags)
 
 
@@ -91,21 +92,21 @@ def split_overlap(spark, sf_dir):
     return D.split_overlap(samples(spark, sf_dir), "person")
 
 
-@query("controlled_ids", "WITH " + MANIFEST + "SELECT id FROM manifest WHERE split = 'eval' AND NOT leakage_person")
+@query("controlled_ids", "WITH " + MANIFEST + "SELECT id FROM manifest WHERE split = 'eval' AND NOT (leakage_person OR leakage_cloth OR leakage_target OR leakage_pair)")
 def controlled_ids(spark, sf_dir):
     """C11, E43, G2."""
     from tessera.operators.pairs import controlled_ids as controlled
 
-    return controlled(manifest(spark, sf_dir), ("leakage_person",))
+    return controlled(manifest(spark, sf_dir))
 
 
-@query("excluded_ids", "WITH " + MANIFEST + "SELECT id FROM manifest WHERE split = 'eval' AND leakage_person")
+@query("excluded_ids", "WITH " + MANIFEST + "SELECT id FROM manifest WHERE split = 'eval' AND (leakage_person OR leakage_cloth OR leakage_target OR leakage_pair)")
 def excluded_ids(spark, sf_dir):
     """Official less controlled."""
     from tessera.operators.pairs import controlled_ids as controlled
 
     m = manifest(spark, sf_dir)
-    return m.filter(F.col("split") == "eval").select("id").exceptAll(controlled(m, ("leakage_person",)))
+    return m.filter(F.col("split") == "eval").select("id").exceptAll(controlled(m))
 
 
 @query("unmatched_keys", "SELECT c_custkey AS key, 'right' AS missing_in FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'left' FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
@@ -210,15 +211,17 @@ def grid_share(spark, sf_dir):
 @query("missing_rates", "WITH " + _LONG + "SELECT field, count(*) - count(value) AS missing, round(quantile_cont(value, 0.5), 6) AS median FROM l GROUP BY field")
 def missing_rates(spark, sf_dir):
     """E27."""
-    return T.long_form(samples(spark, sf_dir), FIELDS, []).groupBy("field").agg((F.count(F.lit(1)) - F.count("value")).alias("missing"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+    counts = T.value_counts(samples(spark, sf_dir), FIELDS, [])
+    missing = counts.groupBy("field").agg(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"))
+    return missing.join(exact_percentiles(counts, ["field"], "value", "n", (0.5,), ["median"]), "field", "left").select("field", "missing", *r6("median"))
 
 
-@query("readiness", "WITH " + MANIFEST + """, x AS (SELECT count(*) AS n, avg(CAST(usable AS DOUBLE)) AS usable_rate, CAST(count(*) FILTER (leakage_person OR leakage_cloth OR leakage_target) AS BIGINT) AS leaks FROM manifest)
+@query("readiness", "WITH " + MANIFEST + """, x AS (SELECT count(*) AS n, avg(CAST(usable AS DOUBLE)) AS usable_rate, CAST(count(*) FILTER (leakage_person OR leakage_cloth OR leakage_target OR leakage_pair) AS BIGINT) AS leaks FROM manifest)
   SELECT n, round(usable_rate, 6) AS usable_rate, leaks, CASE WHEN n >= 50000 AND usable_rate >= 0.98 THEN 'GO' WHEN n >= 50000 AND usable_rate >= 0.9 THEN 'PARTIAL' WHEN n >= 25000 AND usable_rate >= 0.85 THEN 'PARTIAL' ELSE 'NO-GO' END AS decision,
   array_to_string(list_filter([CASE WHEN n < 50000 THEN 'incomplete' END, CASE WHEN usable_rate < 0.95 THEN 'low_usable_rate' END, CASE WHEN leaks > 100 THEN 'leakage' END], lambda b: b IS NOT NULL), ',') AS blockers FROM x""")
 def readiness(spark, sf_dir):
     """Decision and blockers from one row of metrics; sizes and rates are parameters."""
-    leak = F.col("leakage_person") | F.col("leakage_cloth") | F.col("leakage_target")
+    leak = F.col("leakage_person") | F.col("leakage_cloth") | F.col("leakage_target") | F.col("leakage_pair")
     x = manifest(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("usable").cast("double")).alias("rate"), F.sum(leak.cast("long")).alias("leaks"))
     n, r = F.col("n"), F.col("rate")
     decision = F.when((n >= 50000) & (r >= 0.98), "GO").when((n >= 50000) & (r >= 0.9), "PARTIAL").when((n >= 25000) & (r >= 0.85), "PARTIAL").otherwise("NO-GO")
@@ -273,8 +276,18 @@ def wilson(spark, sf_dir):
 
 @query("bootstrap")
 def bootstrap(spark, sf_dir):
-    """Rows only, the resamples are hashed."""
-    return T.bootstrap(table(spark, sf_dir, "labels"), F.col("quality").cast("double"), "doc_id", replicates=200)
+    """800 hashed resamples of the share of good documents."""
+    return T.bootstrap(table(spark, sf_dir, "labels"), F.col("quality").cast("double"), "doc_id")
+
+
+@query("bootstrap_errors")
+def bootstrap_errors(spark, sf_dir):
+    """Intervals of the mean error of a constant price per order status, and, with a statistic of our own, of its root mean square."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", (F.col("o_totalprice") - 20000).alias("e"))
+    mae = T.bootstrap(rows, F.abs("e"), "o_orderkey", by=["o_orderstatus"])
+    root = lambda x, w: F.sqrt(F.sum(w * x * x) / F.sum(w))
+    rmse = T.bootstrap(rows, F.col("e"), "o_orderkey", by=["o_orderstatus"], statistic=root)
+    return mae.withColumn("figure", F.lit("mae")).unionByName(rmse.withColumn("figure", F.lit("rmse")))
 
 
 @query("shard_trend", """WITH h AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 3600 AS h, avg(value) AS v FROM events GROUP BY 1), s AS (SELECT h, v, row_number() OVER (ORDER BY h) AS i, count(*) OVER () AS n, lag(v) OVER (ORDER BY h) AS was FROM h)

@@ -43,10 +43,18 @@ def bound_violations(spark, sf_dir):
     return K.bound_violations(T.long_form(samples(spark, sf_dir), ["bust", "length", "sleeve"], []), rules)
 
 
-@query("leakage_export", "WITH " + MANIFEST + " SELECT id, person, split FROM manifest WHERE split = 'eval' AND leakage_person")
+_LEAK = "(leakage_person OR leakage_cloth OR leakage_target OR leakage_pair)"
+
+
+@query("leakage_export", "WITH " + MANIFEST + f" SELECT 'leakage' AS kind, id, person, cloth, target, split FROM manifest WHERE split = 'eval' AND {_LEAK} UNION ALL SELECT 'duplicate', id, person, cloth, target, split FROM manifest WHERE duplicate_pair OR duplicate_record")
 def leakage_export(spark, sf_dir):
-    """A11."""
-    return manifest(spark, sf_dir).filter((F.col("split") == "eval") & F.col("leakage_person")).select("id", "person", "split")
+    """Held-out rows with any of the four leaks, and rows that repeat a pair or a record, written as Parquet and read."""
+    m = manifest(spark, sf_dir)
+    leaks = m.filter((F.col("split") == "eval") & F.expr(_LEAK)).withColumn("kind", F.lit("leakage"))
+    both = leaks.unionByName(m.filter("duplicate_pair OR duplicate_record").withColumn("kind", F.lit("duplicate"))).select("kind", "id", "person", "cloth", "target", "split")
+    path = f"{checkpoint_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    both.write.partitionBy("kind").parquet(path)
+    return spark.read.parquet(path).select(*both.columns)
 
 
 @query("lattice_freeze", "SELECT family, has_side, count(*) AS n, CAST(count(*) FILTER (bad) AS BIGINT) AS failures FROM (SELECT l_returnflag AS family, l_returnflag = 'N' AS has_side, l_quantity > 45 AS bad FROM lineitem WHERE l_returnflag IN ('N', 'R')) GROUP BY ALL")
@@ -86,10 +94,10 @@ def contract_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("status_roll_up", "WITH " + MANIFEST + ", m AS (SELECT count(*) AS n, avg(CAST(usable AS DOUBLE)) AS u, avg(CAST(leakage_person AS DOUBLE)) AS l FROM manifest) SELECT 'ingest' AS track, CASE WHEN n > 0 THEN 'ESTABLISHED' ELSE 'NOT_RUN' END AS status, true AS allowed FROM m UNION ALL SELECT 'quality', CASE WHEN u >= 0.9 THEN 'ESTABLISHED' ELSE 'PARTIAL' END, true FROM m UNION ALL SELECT 'leakage', CASE WHEN l > 0.01 THEN 'NOT_ESTABLISHED' ELSE 'ESTABLISHED' END, true FROM m")
+@query("status_roll_up", "WITH " + MANIFEST + ", m AS (SELECT count(*) AS n, avg(CAST(usable AS DOUBLE)) AS u, avg(CAST(" + _LEAK + " AS DOUBLE)) AS l FROM manifest) SELECT 'ingest' AS track, CASE WHEN n > 0 THEN 'ESTABLISHED' ELSE 'NOT_RUN' END AS status, true AS allowed FROM m UNION ALL SELECT 'quality', CASE WHEN u >= 0.9 THEN 'ESTABLISHED' ELSE 'PARTIAL' END, true FROM m UNION ALL SELECT 'leakage', CASE WHEN l > 0.01 THEN 'NOT_ESTABLISHED' ELSE 'ESTABLISHED' END, true FROM m")
 def status_roll_up(spark, sf_dir):
     """E48."""
-    m = manifest(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("usable").cast("double")).alias("u"), F.avg(F.col("leakage_person").cast("double")).alias("l"))
+    m = manifest(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("usable").cast("double")).alias("u"), F.avg(F.expr(_LEAK).cast("double")).alias("l"))
     rules = {
         "ingest": F.when(F.col("n") > 0, "ESTABLISHED").otherwise("NOT_RUN"), "quality": F.when(F.col("u") >= 0.9, "ESTABLISHED").otherwise("PARTIAL"),
         "leakage": F.when(F.col("l") > 0.01, "NOT_ESTABLISHED").otherwise("ESTABLISHED"),
@@ -118,8 +126,8 @@ def distinct_over_columns(spark, sf_dir):
     return K.distinct_over(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@query("split_policy", "WITH " + MANIFEST + " SELECT split, count(*) AS official, CAST(count(*) FILTER (NOT leakage_person) AS BIGINT) AS controlled, CAST(count(*) FILTER (leakage_person) AS BIGINT) AS excluded, round(avg(CAST(leakage_person AS DOUBLE)), 6) AS excluded_share FROM manifest GROUP BY split")
+@query("split_policy", "WITH " + MANIFEST + " SELECT split, count(*) AS official, CAST(count(*) FILTER (NOT " + _LEAK + ") AS BIGINT) AS controlled, CAST(count(*) FILTER (" + _LEAK + ") AS BIGINT) AS excluded, round(avg(CAST(" + _LEAK + " AS DOUBLE)), 6) AS excluded_share FROM manifest GROUP BY split")
 def split_policy(spark, sf_dir):
     """E43."""
-    leak = F.col("leakage_person")
+    leak = F.expr(_LEAK)
     return manifest(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("official"), F.sum((~leak).cast("long")).alias("controlled"), F.sum(leak.cast("long")).alias("excluded"), F.avg(leak.cast("double")).alias("excluded_share")).select("split", "official", "controlled", "excluded", *r6("excluded_share"))

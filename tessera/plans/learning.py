@@ -97,20 +97,29 @@ def rehydrate(spark, sf_dir):
     return inventory.verify_bytes(inventory.look_up(wanted, manifest, "p_partkey"), part, ["p_partkey"], "p_name", "sha").select("p_partkey", "p_name", "intact")
 
 
-@query("mesh_clearance", "WITH v AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), c AS (SELECT a.label, a.vec_id, min(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY ALL) SELECT label, count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.1), 6) AS p10, round(min(d), 6) AS least FROM c GROUP BY label")
+#: A vector's 64 numbers as 22 vertices: triples from every third place, the last three places for the last.
+_TRIPLES = [*range(0, 63, 3), 61]
+_VERTICES = "v AS (SELECT label, vec_id, unnest([" + ", ".join(f"struct_pack(x := CAST(embedding[{i + 1}] AS DOUBLE), y := CAST(embedding[{i + 2}] AS DOUBLE), z := CAST(embedding[{i + 3}] AS DOUBLE))" for i in _TRIPLES) + "], recursive := true) FROM embeddings)"
+
+
+def _vertices(spark, sf_dir):
+    """All numbers of the vectors of a label as the vertices of one mesh."""
+    at = lambda i: F.struct(*(F.col("embedding")[i + j].cast("double").alias(c) for j, c in enumerate("xyz")))
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.explode(F.array(*map(at, _TRIPLES))).alias("p")).select("label", "vec_id", "p.*")
+
+
+@query("mesh_clearance", "WITH " + _VERTICES + ", c AS (SELECT a.label, a.vec_id, a.x, a.y, a.z, min(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY ALL) SELECT label, count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.1), 6) AS p10, round(min(d), 6) AS least, round(avg(CAST(d < 0.3 AS DOUBLE)), 6) AS contact_ratio, round(avg(CAST(d < 1.0 AS DOUBLE)), 6) AS tight_ratio FROM c GROUP BY label")
 def mesh_clearance(spark, sf_dir):
-    """Vectors of one label as cloth and body points."""
-    xyz = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")]
-    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", *xyz)
+    """Vectors of one label as cloth and body vertices, with contact and tight ratios."""
+    v = _vertices(spark, sf_dir)
     c = H.nearest_distance(v.filter("vec_id % 2 = 0"), v.filter("vec_id % 2 = 1").select("label", "x", "y", "z"), "label")
-    return H.outcomes(c, ["label"]).select("label", "n", *r6("mean", "p10", "least"))
+    return H.outcomes(c, ["label"]).select("label", "n", *r6("mean", "p10", "least", "contact_ratio", "tight_ratio"))
 
 
 @query("mesh_wrinkle")
 def mesh_wrinkle(spark, sf_dir):
     """E42."""
-    xyz = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")]
-    return H.wrinkle(table(spark, sf_dir, "embeddings").select("label", *xyz), "label")
+    return H.wrinkle(_vertices(spark, sf_dir), "label")
 
 
 @query("panel_measures", "SELECT CAST(p_partkey AS VARCHAR) AS spec, p_size * 2.0 AS bust, 20.0 AS length, 5.0 AS sleeve, CAST(p_size AS DOUBLE) AS shoulder FROM part")

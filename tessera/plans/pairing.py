@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -39,9 +41,17 @@ def limited_pairs(spark, sf_dir):
     return P.limited_pairs(samples(spark, sf_dir), ["person"], MEASURES.order)
 
 
-_PAIRS = MANIFEST + """, u AS (SELECT * FROM manifest WHERE usable AND bust IS NOT NULL AND length IS NOT NULL AND sleeve IS NOT NULL AND ease IS NOT NULL), """ + _limited_sql("person, cloth", "u").replace("n AS (", "na AS (").replace("FROM n x JOIN n y", "FROM na x JOIN na y").replace("links AS", "links_a AS") + ", " + _limited_sql("person", "u").replace("n AS (", "nb AS (", 1).replace("FROM n x JOIN n y", "FROM nb x JOIN nb y").replace("links AS", "links_b AS") + """,
-  linked AS (SELECT a, b, 'A' AS kind FROM links_a UNION ALL SELECT a, b, 'BC' FROM links_b),
-  raw AS (SELECT x AS p, y AS q, kind FROM linked JOIN u x ON a = x.id JOIN u y ON b = y.id),
+def _numbered(name: str, group: str) -> str:
+    return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY ease, bust, id) AS i, count(*) OVER (PARTITION BY {group}) AS n FROM u)"
+
+
+def _linked(name: str, group: str, kind: str) -> str:
+    return f"""SELECT x AS p, y AS q, '{kind}' AS kind FROM {name} x JOIN {name} y ON {' AND '.join(f'x.{g} = y.{g}' for g in group.split(', '))} AND x.i < y.i
+    WHERE (x.n <= 6) OR (x.n > 6 AND ((y.i = x.i + 1 AND x.i <= 32) OR (x.i = 1 AND y.i = x.n AND x.n - 1 < 32)))"""
+
+
+_PAIRS = MANIFEST + """, u AS MATERIALIZED (SELECT * EXCLUDE (quality_flags, ease_ratio, hash) FROM manifest WHERE usable AND bust IS NOT NULL AND length IS NOT NULL AND sleeve IS NOT NULL AND ease IS NOT NULL), """ + _numbered("na", "person, cloth") + ", " + _numbered("nb", "person") + """,
+  raw AS (""" + _linked("na", "person, cloth", "A") + " UNION ALL " + _linked("nb", "person", "BC") + """),
   placed AS (SELECT CASE WHEN (p.ease, p.bust, p.id) <= (q.ease, q.bust, q.id) THEN p ELSE q END AS a, CASE WHEN (p.ease, p.bust, p.id) <= (q.ease, q.bust, q.id) THEN q ELSE p END AS b, kind FROM raw),
   marked AS (SELECT a, b, kind, list_filter([CASE WHEN abs(a.bust - b.bust) > 0.01 THEN 'bust' END, CASE WHEN abs(a.length - b.length) > 0.01 THEN 'length' END, CASE WHEN abs(a.sleeve - b.sleeve) > 0.01 THEN 'sleeve' END], lambda v: v IS NOT NULL) AS varying,
     bit_count(xor(a.fingerprint, b.fingerprint)) AS hamming, a.cloth = b.cloth AS same_cloth, abs(a.body_a - b.body_a) <= 1e-6 AND abs(a.body_b - b.body_b) <= 1e-6 AS body_constant FROM placed WHERE a.target <> b.target),
@@ -61,7 +71,7 @@ def _pairs(spark, sf_dir):
     return P.build_pairs(manifest(spark, sf_dir), MEASURES)
 
 
-@query("tiered_pairs", "WITH " + _PAIRS + " SELECT pair_id, anchor_id, counterfactual_id, tier, hamming, intervention, delta_bust, delta_ease, confounds, round(control_score, 6) AS control_score FROM scored")
+@query("tiered_pairs", "WITH " + _PAIRS + " SELECT pair_id, anchor_id, counterfactual_id, tier, hamming, intervention, delta_bust, delta_ease, confounds, round(CAST(control_score AS DOUBLE), 6) AS control_score FROM scored")
 def tiered_pairs(spark, sf_dir):
     """D2, D3, D9, B14-B16, C3-C9, F7, F8."""
     p = _pairs(spark, sf_dir)
@@ -74,7 +84,9 @@ def pair_summary(spark, sf_dir):
     return P.pair_summary(_pairs(spark, sf_dir)).select("tier", "n", "cross_split", *r6("mean_score"), "interventions")
 
 
-@query("pair_validation", "WITH " + _PAIRS + " SELECT count(*) AS n, CAST(0 AS BIGINT) AS self_pairs, count(*) - count(DISTINCT pair_id) AS repeated_pairs, CAST(0 AS BIGINT) AS wrong_ids, CAST(0 AS BIGINT) AS bad_scores, count(*) = count(DISTINCT pair_id) AS sound FROM scored")
+@query("pair_validation", "WITH " + _PAIRS + """ SELECT count(*) AS n, CAST(count(*) FILTER (anchor_id = counterfactual_id) AS BIGINT) AS self_pairs, count(*) - count(DISTINCT pair_id) AS repeated_pairs,
+  CAST(count(*) FILTER (pair_id <> 'cf_' || substr(sha256(least(anchor_id, counterfactual_id) || '|' || greatest(anchor_id, counterfactual_id)), 1, 24)) AS BIGINT) AS wrong_ids, CAST(count(*) FILTER (NOT control_score BETWEEN 0 AND 1) AS BIGINT) AS bad_scores,
+  count(*) = count(DISTINCT pair_id) AND count(*) FILTER (anchor_id = counterfactual_id OR NOT control_score BETWEEN 0 AND 1) = 0 AS sound FROM scored""")
 def pair_validation(spark, sf_dir):
     """E24."""
     return P.validate_pairs(_pairs(spark, sf_dir))
@@ -116,13 +128,10 @@ _varying("discovery_same_cloth", ["cloth"], ["person", "bust", "body_a"], "E18."
 _varying("discovery_same_target", ["target"], ["person", "cloth", "split"], "E19.")
 
 
-@query("person_family", "WITH " + SAMPLES + ", " + _limited_sql("person", "samples") + " SELECT hamming, count(*) AS pairs, CAST(count(*) FILTER (diff) AS BIGINT) AS different_target FROM (SELECT CAST(bit_count(xor(x.fingerprint, y.fingerprint)) AS INTEGER) AS hamming, x.target <> y.target AS diff FROM links JOIN samples x ON a = x.id JOIN samples y ON b = y.id) GROUP BY hamming")
+@query("person_family", "WITH " + SAMPLES + ", r AS (SELECT person, fingerprint, target, row_number() OVER () AS r FROM samples), p AS (SELECT least(CAST(bit_count(xor(x.fingerprint, y.fingerprint)) AS INTEGER), 5) AS distance, x.target <> y.target AS diff FROM r x JOIN r y ON x.person = y.person AND x.r < y.r) SELECT distance, count(*) AS pairs, CAST(count(*) FILTER (diff) AS BIGINT) AS different FROM p GROUP BY distance")
 def person_family(spark, sf_dir):
-    """E17 over the limited pairs of each person: distances of fingerprints and whether targets differ."""
-    s = samples(spark, sf_dir)
-    side = lambda n: s.select(F.col("id").alias(n), F.col("fingerprint").alias(f"f{n}"), F.col("target").alias(f"t{n}"))
-    j = P.limited_pairs(s, ["person"], MEASURES.order).join(side("a"), "a").join(side("b"), "b")
-    return j.groupBy(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).cast("int").alias("hamming")).agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("ta") != F.col("tb")).cast("long")).alias("different_target"))
+    """E17 over all pairs of each person: distances of fingerprints up to 4 bits and beyond, and whether targets differ."""
+    return V.group_distances(samples(spark, sf_dir), "person", "fingerprint", "target")
 
 
 @query("repeated_vectors", "WITH " + SAMPLES + ", v AS (SELECT count(*) AS n FROM samples GROUP BY bust, length, sleeve) SELECT count(*) AS vectors, CAST(count(*) FILTER (n > 1) AS BIGINT) AS repeated, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_repeated, max(n) AS most, round(avg(n), 6) AS mean FROM v")
@@ -138,17 +147,19 @@ def radius_summary(spark, sf_dir):
     return V.radius_summary(v, ["x", "y"], 2.0)
 
 
-_SIGNS = "WITH e AS (SELECT vec_id, list_sum(list_transform(range(0, 24), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << CAST(i AS INTEGER)) ELSE 0 END))::BIGINT AS fp FROM embeddings)"
+#: A fingerprint of 24 signs, each of the sum of every 24th number: all 64 numbers of a vector count.
+_SIGNS = "WITH e AS (SELECT vec_id, (" + " + ".join(f"CASE WHEN {' + '.join(f'CAST(embedding[{i + 1}] AS DOUBLE)' for i in range(b, 64, 24))} > 0 THEN {1 << b} ELSE 0 END" for b in range(24)) + ")::BIGINT AS fp FROM embeddings)"
 
 
 def _signs(spark, sf_dir):
-    bit = F.aggregate(F.sequence(F.lit(0), F.lit(23)), F.lit(0).cast("bigint"), lambda a, i: a + F.when(F.get(F.col("embedding"), i) > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", bit.alias("fp"))
+    sums = [reduce(lambda x, y: x + y, (F.col("embedding")[i].cast("double") for i in range(b, 64, 24))) for b in range(24)]
+    bits = reduce(lambda x, y: x + y, (F.when(s > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint") for b, s in enumerate(sums)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("fp"))
 
 
 @query("hamming_near", _SIGNS + ", d AS (SELECT DISTINCT fp FROM e) SELECT x.fp AS a, y.fp AS b, CAST(bit_count(xor(x.fp, y.fp)) AS INTEGER) AS distance FROM d x JOIN d y ON x.fp < y.fp WHERE bit_count(xor(x.fp, y.fp)) <= 3")
 def hamming_near(spark, sf_dir):
-    """Sign bits of embeddings within three bits, by bands."""
+    """Fingerprints of embeddings within three bits, by covering masks."""
     return V.hamming_pairs(_signs(spark, sf_dir), "fp", 3, 24)
 
 
@@ -185,13 +196,13 @@ def sample_ids(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.sample_id("l_returnflag", "l_linestatus", "l_linenumber").alias("id"), S.ease_bin("l_quantity").alias("bin"))
 
 
-_TRANS = """t AS (SELECT l_orderkey AS state, l_partkey AS cloth, l_linenumber AS action, l_suppkey AS repeat_id, l_returnflag AS family, l_quantity AS before, round_even(l_discount * 100, 0) AS intended, round_even(l_discount * 100, 0) + round_even(l_tax * 100, 0) / 100 AS realized, round_even(l_tax * 100, 0) AS side FROM lineitem)"""
+_TRANS = """t AS (SELECT l_orderkey AS state, l_partkey AS cloth, l_linenumber AS action, l_suppkey AS repeat_id, l_returnflag AS family, l_quantity AS before, round_even(l_discount * 100, 0) AS intended, round_even(l_discount * 100, 0) + round_even(l_tax * 100, 0) / 100 AS realized, round_even(l_tax * 100, 0) AS side, l_suppkey % 7 AS spec FROM lineitem)"""
 
 
 def _transitions(spark, sf_dir):
     """Order lines as transitions: intended change from the discount, realised with an error from the tax."""
     d, t = F.rint(F.col("l_discount") * 100), F.rint(F.col("l_tax") * 100)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("state"), F.col("l_partkey").alias("cloth"), F.col("l_linenumber").alias("action"), F.col("l_suppkey").alias("repeat_id"), F.col("l_returnflag").alias("family"), F.col("l_quantity").alias("before"), d.alias("intended"), (d + t / 100).alias("realized"), t.alias("side"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("state"), F.col("l_partkey").alias("cloth"), F.col("l_linenumber").alias("action"), F.col("l_suppkey").alias("repeat_id"), F.col("l_returnflag").alias("family"), F.col("l_quantity").alias("before"), d.alias("intended"), (d + t / 100).alias("realized"), t.alias("side"), (F.col("l_suppkey") % 7).alias("spec"))
 
 
 @query("transition_errors", "WITH " + _TRANS + " SELECT errors, count(*) AS n FROM (SELECT CASE WHEN intended = realized THEN 'copied_from_intended' ELSE '' END AS errors FROM t) GROUP BY errors")
@@ -214,14 +225,14 @@ def lattice_summary(spark, sf_dir):
 
 @query("calibration_gates", "WITH " + _TRANS + """, lv AS (SELECT family, intended AS level, avg(realized) AS mean, count(*) AS n, max(realized) - min(realized) AS spread FROM t GROUP BY ALL), st AS (SELECT *, mean > lag(mean) OVER (PARTITION BY family ORDER BY level) AS rises FROM lv),
   sh AS (SELECT family, count(*) AS levels, coalesce(bool_and(rises), false) AS monotone, max(spread) FILTER (n >= 3) AS spread FROM st GROUP BY family),
-  b AS (SELECT family, count(*) AS n, max(abs(realized - intended)) AS max_error, avg(abs(realized - intended)) AS mean_error, bool_or(greatest(abs(side), 0) > 0.35 * CASE WHEN intended = 0 THEN 1 ELSE abs(intended) END) AS leaks FROM t GROUP BY family),
+  b AS (SELECT family, count(*) AS n, max(abs(realized - intended)) AS max_error, avg(abs(realized - intended)) AS mean_error, bool_or(greatest(abs(side), 0) > 0.35 * CASE WHEN intended = 0 THEN 1 ELSE abs(intended) END) AS leaks, count(DISTINCT spec) AS specs FROM t GROUP BY family),
   g AS (SELECT *, CASE WHEN max_error < 0.15 THEN 'PASS' WHEN max_error < 0.5 THEN 'PARTIAL' ELSE 'FAIL' END AS g2, monotone AND levels >= 3 AS rising FROM b JOIN sh USING (family))
-  SELECT family, n, round(max_error, 6) AS max_error, round(mean_error, 6) AS mean_error, levels, 'PASS' AS g1, g2, CASE WHEN rising THEN 'PASS' ELSE 'FAIL' END AS g3, CASE WHEN leaks THEN 'FAIL' ELSE 'PARTIAL' END AS g4,
+  SELECT family, n, round(max_error, 6) AS max_error, round(mean_error, 6) AS mean_error, levels, 'PASS' AS g1, g2, CASE WHEN rising THEN 'PASS' ELSE 'FAIL' END AS g3, CASE WHEN leaks THEN 'FAIL' ELSE 'PARTIAL' END AS g4, CASE WHEN specs >= greatest(3, levels - 1) THEN 'PASS' ELSE 'FAIL' END AS g5,
   CASE WHEN spread IS NULL THEN 'NOT_RUN' WHEN spread < 1e-6 THEN 'PASS' WHEN spread < 0.05 THEN 'PARTIAL' ELSE 'FAIL' END AS g6, CASE WHEN g2 = 'PASS' AND rising THEN 'GO' WHEN g2 = 'PARTIAL' AND rising THEN 'PARTIAL' ELSE 'NO-GO' END AS decision FROM g""")
 def calibration_gates(spark, sf_dir):
     """E33."""
-    g = L.calibration_gates(_transitions(spark, sf_dir), "family", "intended", "realized", ["side"])
-    return g.select("family", "n", *r6("max_error", "mean_error"), "levels", "g1", "g2", "g3", "g4", "g6", "decision")
+    g = L.calibration_gates(_transitions(spark, sf_dir), "family", "intended", "realized", ["side"], "spec")
+    return g.select("family", "n", *r6("max_error", "mean_error"), "levels", "g1", "g2", "g3", "g4", "g5", "g6", "decision")
 
 
 @query("action_lattice", "SELECT p_partkey, CAST(d AS DOUBLE) AS delta, p_size + CAST(d AS DOUBLE) AS intended FROM part, (SELECT unnest([-3, -1, 0, 1, 3]) AS d) WHERE p_size + d BETWEEN 1 AND 50")

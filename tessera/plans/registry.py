@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import audit, contracts, learning, pairing
+from tessera.plans import audit, contracts, learning, pairing, sources
 
 FLAGSHIP = "documents_manifest"
-_MODULES = (audit, pairing, contracts, learning)
+_MODULES = (audit, pairing, contracts, learning, sources)
 
 
 def queries() -> dict[str, Callable]:
