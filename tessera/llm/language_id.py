@@ -42,6 +42,11 @@ def is_training_row(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
 
 
+def is_held_out(doc_id: str = "doc_id") -> Column:
+    """Rows with an id whose crc32 is 0 modulo 5; a row without an id is neither held out nor learned from."""
+    return F.coalesce(~is_training_row(doc_id), F.lit(False))
+
+
 def _beyond_ascii_no_letters() -> re.Pattern:
     """Runs of characters from 128 on that are punctuation, symbols, spaces, numbers or controls, by their category."""
     dull = [c for c in range(128, 1 << 16) if unicodedata.category(chr(c))[0] in "PSZN" or unicodedata.category(chr(c)) == "Cc"]
@@ -245,4 +250,4 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
-    return found.select("doc_id", (~is_training_row()).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -28,7 +28,7 @@ from tessera.llm.common import materialize, read_table, slices, text_or_empty, u
 LEAST = 400
 KMER = 128
 #: Distinct contexts of one owner that one task takes, and bytes of contexts that are searched together.
-CONTEXT_LIMIT = 500
+CONTEXT_LIMIT = 200
 CHUNK_BYTES = 4 << 20
 #: Places share 64 bits with hashes, so texts are read in pieces of so many bytes that all places fit.
 _POSITION = np.uint64((1 << 24) - 1)
@@ -378,4 +378,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, kmer: int = KMER, contex
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))
