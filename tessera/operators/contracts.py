@@ -19,7 +19,7 @@ def set_errors(items: Column, names: Column, allowed: list[str], order: Column)
 
 def ranking_errors(ranking: Column, candidates: Column, oracle: Column) -> Column:
     """A ranking must hold every candidate once, and start with the oracle."""
-    return flags([("not_all_candidates", F.array_sort(ranking) != F.array_sort(candidates)), ("oracle_not_first", F.get(ranking, F.lit(0)) != oracle)])
+    return flags([("not_all_candidates", F.array_sort(ranking) != F.array_sort(candidates)), ("oracle_not_first", ~F.get(ranking, F.lit(0)).eqNullSafe(oracle))])
 
 
 def bound_violations(long: DataFrame, rules: DataFrame, field: str = "field", value: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import flags
+from tessera.functions.scratch import cut
 
 
 def enumerate_actions(states: DataFrame, deltas: list[float], value: str, low: float, high: float) -> DataFrame:
@@ -108,6 +109,17 @@ def flip_rate(rows: DataFrame, state: str, condition: str, action: str, utility:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col(f"{default}.a") != F.col(f"{other}.a")).cast("long")).alias("flips"), F.avg((F.col(f"{default}.a") != F.col(f"{other}.a")).cast("double")).alias("flip_rate"))
 
 
+def necessity_verdict(flips: DataFrame, accuracies: DataFrame, base: str, whole: str, least_pairs: int = 8, least_gain: float = 0.02) -> DataFrame:
+    """One row from a row of ``flip_rate`` and accuracies (features, accuracy, low, high): the claim that ``whole`` is needed
+    beside ``base`` stands if there are enough pairs, one flips at least, and accuracy rises with separated intervals."""
+    side = lambda name, p: accuracies.filter(F.col("features") == name).select(*(F.col(c).alias(f"{p}_{c}") for c in ("accuracy", "low", "high")))
+    row = flips.select("pairs", "flips").join(F.broadcast(side(base, "b"))).join(F.broadcast(side(whole, "w")))
+    gain, separated = F.col("w_accuracy") - F.col("b_accuracy"), F.col("w_low") > F.col("b_high")
+    few, still, flat = F.col("pairs") < least_pairs, F.col("flips") < 1, F.col("w_accuracy") <= F.col("b_accuracy") + least_gain
+    reason = F.when(few, "too_few_pairs").when(still, "no_flips").when(~separated, "intervals_overlap").when(flat, "no_gain").otherwise("gain_with_separated_intervals")
+    return row.select("pairs", "flips", gain.alias("gain"), separated.alias("separated"), (~few & ~still & ~flat & separated).alias("established"), reason.alias("reason"))
+
+
 def ladder_acceptance(rows: DataFrame, ladder: str, level: str, invariants: list[str], target: str, levels: list[str]) -> DataFrame:
     """Per ladder: complete, controls invariant, value rises over the levels, targets unique, accepted."""
     at = [F.max(F.when(F.col(level) == v, F.col("value"))).alias(f"v{i}") for i, v in enumerate(levels)]
@@ -129,3 +141,24 @@ def rater_agreement(votes: DataFrame, item: str, category: str) -> DataFrame:
     observed = per.agg(F.count(F.lit(1)).alias("items"), F.avg(F.col("agree") / (F.col("r") * (F.col("r") - 1))).alias("agreement"))
     shares = counts.join(per.select(item), item, "left_semi").groupBy(category).agg(F.sum("n").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("chance"))
     return observed.join(F.broadcast(shares)).withColumn("kappa", F.try_divide(F.col("agreement") - F.col("chance"), 1 - F.col("chance")))
+
+
+def rater_verdicts(votes: DataFrame, item: str, category: str, reversed_: str) -> DataFrame:
+    """Per item: votes, the category that more than half chose, and RESOLVED, REVERSED (it is ``reversed_``) or UNRESOLVED."""
+    counts = votes.groupBy(F.col(item).alias("item"), F.col(category).alias("cat")).agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("item").agg(F.sum("n").alias("votes"), F.max(F.struct("n", "cat")).alias("top"))
+    clear = 2 * F.col("top.n") > F.col("votes")
+    status = F.when(~clear, "UNRESOLVED").when(F.col("top.cat") == reversed_, "REVERSED").otherwise("RESOLVED")
+    return per.select("item", "votes", F.when(clear, F.col("top.cat")).alias("majority"), status.alias("status"))
+
+
+def median_ranks(votes: DataFrame, item: str, rank: str, answer: str) -> DataFrame:
+    """Per item: the median of its ranks, and whether no two raters gave the same answer."""
+    counts = cut(votes.groupBy(F.col(item).alias("item"), F.col(rank).alias("r")).agg(F.count(F.lit(1)).alias("n")))
+    kinds = votes.groupBy(F.col(item).alias("item")).agg(F.count_distinct(answer).alias("kinds"), F.count(F.lit(1)).alias("votes"))
+    # An item has as many distinct ranks as the scale, so its running counts fit one window.
+    up = Window.partitionBy("item").orderBy("r")
+    placed = counts.withColumns({"c": F.sum("n").over(up), "t": F.sum("n").over(Window.partitionBy("item"))})
+    at = lambda k: F.min(F.when(F.col("c") > k, F.col("r")))
+    middle = placed.groupBy("item").agg(((at(F.floor((F.col("t") - 1) / 2)) + at(F.ceil((F.col("t") - 1) / 2))) / 2).alias("median_rank"))
+    return middle.join(kinds, "item").select("item", "median_rank", ((F.col("votes") > 1) & (F.col("kinds") == F.col("votes"))).alias("unresolved"))

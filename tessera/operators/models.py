@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.splits import ridge_weights
 from tessera.operators.stats import errors
 
 
@@ -18,11 +19,18 @@ def _held_out(model, rows: DataFrame, label: str, part: str, name: str) -> DataF
 
 
 def linear(rows: DataFrame, features: list[str], label: str, part: str, alpha: float = 0.0) -> DataFrame:
-    """Errors per part of OLS (alpha 0) or ridge on standardised features, fitted on the part called train."""
-    train = rows.filter(F.col(part) == "train")
-    n = max(1, train.count())
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LinearRegression(featuresCol="_x", labelCol=label, solver="normal", regParam=alpha / n, standardization=False)]
-    return _held_out(Pipeline(stages=stages).fit(train), rows, label, part, "ridge" if alpha else "ols")
+    """Errors per part of OLS (alpha 0) or ridge on standardised features, fitted on the part called train.
+
+    Means, deviations and the normal equations are one aggregation each; their size is that of the features.
+    """
+    known = rows.dropna(subset=[*features, label])
+    train = known.filter(F.col(part) == "train")
+    m = train.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_samp(f).alias(f"s_{f}") for f in features)).first()
+    scaled = lambda d: d.select(part, label, *(((F.col(f) - m[f"m_{f}"]) / (m[f"s_{f}"] or 1.0)).alias(f) for f in features))
+    w = ridge_weights(scaled(train), features, label, alpha) if m[f"m_{features[0]}"] is not None else [0.0] * (len(features) + 1)
+    guess = sum((F.col(f) * v for f, v in zip(features, w[:-1], strict=True)), F.lit(w[-1]))
+    out = scaled(known) if m[f"m_{features[0]}"] is not None else known
+    return errors(out, F.col(label), guess, [part]).withColumn("model", F.lit("ridge" if alpha else "ols"))
 
 
 def boosted(rows: DataFrame, features: list[str], label: str, part: str, trees: int = 200, seed: int = 0) -> DataFrame:

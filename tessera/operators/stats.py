@@ -219,3 +219,19 @@ def grid_share(df: DataFrame, fields: list[str], steps: list[float]) -> DataFram
 def aggregate_with(df: DataFrame, by: list[str], statistic: Callable[[Column], Column], value: str) -> DataFrame:
     """A user's statistic, given as a builder of an aggregate column, per group."""
     return df.groupBy(*by).agg(statistic(F.col(value)).alias("statistic"))
+
+
+def findings(df: DataFrame, split: str, zero: str, measures: list[str], medians: list[str], shift_limit: float = 0.05, invalid_limit: float = 0.01, train: str = "train", held: str = "eval") -> DataFrame:
+    """(finding, figure, found): zeros of a measure, missing rates, relative shifts of medians between splits, invalid share."""
+    rows = cut(df)
+    base = rows.agg(
+        F.sum((F.col(zero) == 0).cast("double")).alias(f"{zero}_zero"), F.avg((F.col("quality_status") == "INVALID").cast("double")).alias("invalid_rate"),
+        *(F.avg(F.col(m).isNull().cast("double")).alias(f"missing_{m}") for m in measures),
+    )
+    counts = value_counts(rows, medians, [split])
+    middle = exact_percentiles(counts, ["field", split], "value", "n", (0.5,), ["m"]).groupBy("field").pivot(split, [train, held]).agg(F.first("m"))
+    moved = middle.select(F.concat(F.lit("shift_"), "field").alias("finding"), F.try_divide(F.abs(F.col(train) - F.col(held)), F.nullif(F.abs(train), F.lit(0.0))).alias("figure"))
+    moved = moved.withColumn("found", F.coalesce(F.col("figure") > shift_limit, F.lit(False)))
+    limits = {f"{zero}_zero": 0.0, "invalid_rate": invalid_limit} | {f"missing_{m}": 0.0 for m in measures}
+    rest = base.select(F.explode(F.array(*(F.struct(F.lit(n).alias("finding"), F.col(n).alias("figure"), (F.col(n) > v).alias("found")) for n, v in limits.items()))).alias("x")).select("x.*")
+    return rest.unionByName(moved).withColumn("figure", F.round("figure", 6))

@@ -195,6 +195,36 @@ def group_sizes(spark, sf_dir):
     return T.group_sizes(samples(spark, sf_dir), ["person"])
 
 
+@query("size_histogram", "WITH " + SAMPLES + " SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM samples GROUP BY person) GROUP BY size ORDER BY size LIMIT 20")
+def size_histogram(spark, sf_dir):
+    """The first twenty sizes of groups."""
+    return T.size_histogram(samples(spark, sf_dir), ["person"])
+
+
+@query("rounded_counts", "WITH " + _LONG + " SELECT field, round_even(value, 1) + 0.0 AS value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY 1, 2")
+def rounded_counts(spark, sf_dir):
+    """Counts per value of one decimal."""
+    return T.long_form(samples(spark, sf_dir), FIELDS, []).filter("value IS NOT NULL").groupBy("field", (S.half_even("value", 1) + 0.0).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tier_shares", "WITH " + MANIFEST + " SELECT split, quality_status, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS share FROM manifest GROUP BY split, quality_status")
+def tier_shares(spark, sf_dir):
+    """Shares of the tiers by split."""
+    n = manifest(spark, sf_dir).groupBy("split", "quality_status").agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy("split").agg(F.sum("n").alias("t"))
+    return n.join(F.broadcast(whole), "split").select("split", "quality_status", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+
+
+@query("findings", "WITH " + MANIFEST + """, x AS (SELECT CAST(count(*) FILTER (sleeve = 0) AS DOUBLE) AS zero, avg(CAST(quality_status = 'INVALID' AS DOUBLE)) AS invalid, quantile_cont(ease, 0.5) FILTER (split = 'train') AS a, quantile_cont(ease, 0.5) FILTER (split = 'eval') AS b, quantile_cont(body_a, 0.5) FILTER (split = 'train') AS c, quantile_cont(body_a, 0.5) FILTER (split = 'eval') AS d,
+  """ + ", ".join(f"avg(CAST({f} IS NULL AS DOUBLE)) AS m_{f}" for f in ("bust", "length", "sleeve")) + """ FROM manifest), f AS (SELECT unnest([struct_pack(finding := 'sleeve_zero', figure := zero, found := zero > 0), struct_pack(finding := 'invalid_rate', figure := invalid, found := invalid > 0.01),
+  struct_pack(finding := 'shift_ease', figure := abs(a - b) / nullif(abs(a), 0), found := coalesce(abs(a - b) / nullif(abs(a), 0) > 0.05, false)), struct_pack(finding := 'shift_body_a', figure := abs(c - d) / nullif(abs(c), 0), found := coalesce(abs(c - d) / nullif(abs(c), 0) > 0.05, false)), """ + ", ".join(
+    f"struct_pack(finding := 'missing_{f}', figure := m_{f}, found := m_{f} > 0)" for f in ("bust", "length", "sleeve")) + "], recursive := true) FROM x) SELECT finding, round(figure, 6) AS figure, found FROM f")
+def findings(spark, sf_dir):
+    """Zeros, missing measures, medians that move between the splits, and the share of invalid rows."""
+    m = manifest(spark, sf_dir).select("split", "sleeve", "bust", "length", "ease", "body_a", "quality_status")
+    return T.findings(m, "split", zero="sleeve", measures=["bust", "length", "sleeve"], medians=["ease", "body_a"])
+
+
 @query("top_levels", "WITH " + SAMPLES + "SELECT value, n FROM (SELECT round_even(ease_ratio * 10, 0) / 10 + 0.0 AS value, count(*) AS n FROM samples GROUP BY 1) ORDER BY n DESC, value LIMIT 20")
 def top_levels(spark, sf_dir):
     """F2."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions.scratch import checkpoint_dir
+from tessera.functions.scratch import checkpoint_dir, cut
 from tessera.operators import mesh as H
 from tessera.operators import models as M
 from tessera.operators import selection as C
@@ -30,22 +30,14 @@ def query(name: str, sql: str | None = None):
 
 
 def _rows(spark, sf_dir):
-    part = F.when(F.crc32(F.col("person").cast("string").cast("binary")) % 5 == 0, "test").otherwise("train")
-    return samples(spark, sf_dir).select("bust", "length", "sleeve", "body_a", "ease", "cloth", part.alias("part"))
-
-
-@query("linear_baselines")
-def linear_baselines(spark, sf_dir):
-    """H4, H5: OLS and ridge errors per part."""
-    rows = _rows(spark, sf_dir)
-    features = ["bust", "length", "sleeve", "body_a"]
-    return M.linear(rows, features, "ease", "part").unionByName(M.linear(rows, features, "ease", "part", alpha=1.0))
+    part = F.when(F.col("person") % 5 == 0, "test").otherwise("train")
+    return cut(samples(spark, sf_dir).select("bust", "length", "sleeve", "body_a", "ease", "cloth", part.alias("part")))
 
 
 @query("boosted_trees")
 def boosted_trees(spark, sf_dir):
-    """H6 with fewer trees."""
-    return M.boosted(_rows(spark, sf_dir), ["bust", "length", "sleeve", "body_a"], "ease", "part", trees=10)
+    """H6."""
+    return M.boosted(_rows(spark, sf_dir), ["bust", "length", "sleeve", "body_a"], "ease", "part")
 
 
 @query("pca_ridge")
@@ -64,13 +56,13 @@ def decision_classifier(spark, sf_dir):
     return M.decisions(rows, ["l_quantity", "l_discount", "l_tax"], "l_returnflag", "part")
 
 
-@query("incremental_events", "SELECT event_id, event_type, round(value, 6) AS value FROM events")
+@query("incremental_events", "SELECT event_id, event_type, round(value, 6) AS value, 'events' AS source_shard_id, true AS located FROM events")
 def incremental_events(spark, sf_dir):
     """Events as a file stream with a checkpoint, each file once."""
-    base = f"{checkpoint_dir(spark)}/ingest-{tempfile.mktemp(prefix='', dir='')}"
+    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     out = incremental.ingest(spark, f"{sf_dir}/events.parquet*", schema, lambda s: s.select("event_id", "event_type", "value", "source_shard_id", "source_row_id"), f"{base}/sink", f"{base}/checkpoint")
-    return out.select("event_id", "event_type", *r6("value"))
+    return out.select("event_id", "event_type", *r6("value"), "source_shard_id", (F.col("source_row_id") >= 0).alias("located"))
 
 
 @query("resume_ledger", "SELECT DISTINCT 'shard-' || l_suppkey % 20 AS source_shard_id FROM lineitem WHERE l_suppkey % 20 >= 12")
@@ -81,11 +73,11 @@ def resume_ledger(spark, sf_dir):
     return incremental.pending(shards.select("source_shard_id"), ledger)
 
 
-@query("source_inventory", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS sized FROM orders")
+@query("source_inventory", "SELECT 'orders.parquet' AS file, count(*) AS rows, true AS sized FROM orders")
 def source_inventory(spark, sf_dir):
-    """A15, summed over files."""
+    """Path, size and rows of each file."""
     i = inventory.inventory(table(spark, sf_dir, "orders"))
-    return i.agg(F.sum("rows").alias("rows"), F.bool_and(F.col("bytes") > 0).alias("sized"))
+    return i.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "rows", (F.col("bytes") > 0).alias("sized"))
 
 
 @query("rehydrate", "SELECT p_partkey, p_name, true AS intact FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")

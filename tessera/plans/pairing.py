@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators import contracts as K
 from tessera.operators import discovery as V
 from tessera.operators import lattice as L
 from tessera.operators import pairs as P
@@ -14,6 +15,7 @@ from tessera.operators import splits as G
 from tessera.operators import stats as T
 from tessera.plans.adapters import MANIFEST, MEASURES, SAMPLES, manifest, samples, table
 from tessera.plans.audit import r6
+from tessera.sources import inventory
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -332,25 +334,36 @@ def median_baseline(spark, sf_dir):
     return T.errors(s.join(F.broadcast(m)), F.col("ease"), F.col("m"), ["split"]).select("split", "n", *r6("mae", "rmse"))
 
 
-@query("ols_baseline", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
-def ols_baseline(spark, sf_dir):
-    """H4: one feature, in closed form."""
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
+_ROW_HASH = "CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 15) AS BIGINT)"
 
 
-@query("ridge_classifier")
-def ridge_classifier(spark, sf_dir):
-    """H5, H8: ridge least squares on document statistics, held-out accuracy per part."""
-    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    rows = j.select(F.log1p(F.col("n_chars").cast("double")).alias("a"), F.col("toxic").cast("double").alias("b"), F.col("quality").cast("double").alias("y"), F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, "test").otherwise("train").alias("part"))
-    return G.ridge_accuracy(rows, ["a", "b"], "y", "part", 0.01)
+@query("fingerprint_of_table", f"SELECT count(*) AS n, bit_xor({_ROW_HASH}) AS xor_hash, CAST(sum({_ROW_HASH}) AS VARCHAR) AS sum_hash, CASE WHEN count(*) >= 1000 THEN 'FROZEN' ELSE 'PARTIAL' END AS gate FROM orders")
+def fingerprint_of_table(spark, sf_dir):
+    """Two hashes that do not depend on the order of rows, and the gate."""
+    return inventory.fingerprint(table(spark, sf_dir, "orders"), 1000, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query("fingerprint_of_table", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, CASE WHEN count(*) >= 1000 THEN 'FROZEN' ELSE 'PARTIAL' END AS gate FROM orders")
-def fingerprint_of_table(spark, sf_dir):
-    """A16, gate part; the hash itself is in ``sources.inventory``."""
-    from tessera.sources.inventory import fingerprint
+_CASES = "u AS (SELECT l_orderkey AS state, l_linenumber AS action, -(abs(l_quantity - 25) + 0.5 * abs(round_even(l_tax * 100, 0))) AS u FROM lineitem), o AS (SELECT state, arg_min(action, (-u, action)) AS best FROM u GROUP BY state)"
+
+
+@query("ranking_contract", "WITH " + _CASES + ", r AS (SELECT state, list(action ORDER BY -u, action) AS ranking, list(action ORDER BY action) AS candidates FROM u GROUP BY state), x AS (SELECT state, CASE WHEN state % 10 = 3 THEN ranking[2:] ELSE ranking END AS ranking, candidates, CASE WHEN state % 10 = 7 THEN -1 ELSE best END AS best FROM r JOIN o USING (state)) SELECT state, array_to_string(list_filter([CASE WHEN list_sort(ranking) <> candidates THEN 'not_all_candidates' END, CASE WHEN ranking[1] IS NULL OR ranking[1] <> best THEN 'oracle_not_first' END], lambda e: e IS NOT NULL), ',') AS errors FROM x")
+def ranking_contract(spark, sf_dir):
+    """C17: rankings hold every candidate once and start with the oracle; some are broken on purpose."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("state"), F.col("l_linenumber").alias("action"), (F.abs(F.col("l_quantity") - 25) + 0.5 * F.abs(F.rint(F.col("l_tax") * 100))).alias("cost"))
+    g = rows.groupBy("state").agg(F.transform(F.array_sort(F.collect_list(F.struct("cost", "action"))), lambda r: r["action"]).alias("ranking"), F.array_sort(F.collect_list("action")).alias("candidates"))
+    broken = F.when(F.col("state") % 10 == 3, F.slice("ranking", 2, F.greatest(F.size("ranking") - 1, F.lit(0)))).otherwise(F.col("ranking"))
+    oracle = F.when(F.col("state") % 10 == 7, -1).otherwise(F.get("ranking", F.lit(0)))
+    e = K.ranking_errors(broken, F.col("candidates"), oracle)
+    return g.select("state", F.array_join(e, ",").alias("errors"))
+
+
+@query("rater_verdicts", "WITH v AS (SELECT user_id AS item, event_type AS cat, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT item, sum(n) AS votes, max(n) AS most, count(*) FILTER (n = m) AS heads, min(cat) FILTER (n = m) AS head FROM (SELECT *, max(n) OVER (PARTITION BY item) AS m FROM v) GROUP BY item) SELECT item, CAST(votes AS BIGINT) AS votes, CASE WHEN 2 * most > votes THEN head END AS majority, CASE WHEN 2 * most > votes THEN CASE WHEN head = 'error' THEN 'REVERSED' ELSE 'RESOLVED' END ELSE 'UNRESOLVED' END AS status FROM p")
+def rater_verdicts(spark, sf_dir):
+    """The majority of the votes on each item, and whether it stands, is reversed, or is none."""
+    return L.rater_verdicts(table(spark, sf_dir, "events"), "user_id", "event_type", "error")
+
 
-    f = fingerprint(table(spark, sf_dir, "orders"), 1000)
-    keys = table(spark, sf_dir, "orders").agg(F.count_distinct("o_orderkey").alias("keys"))
-    return f.join(F.broadcast(keys)).select("n", "keys", "gate")
+@query("rater_ranks", "WITH m AS (SELECT user_id AS item, quantile_cont(CAST(strlen(event_type) AS DOUBLE), 0.5) AS median, count(DISTINCT event_type) AS kinds, count(*) AS n FROM events GROUP BY user_id) SELECT item, round(median, 6) AS median_rank, n > 1 AND kinds = n AS unresolved FROM m")
+def rater_ranks(spark, sf_dir):
+    """The median rank of each item, and whether all its ranks differ."""
+    return L.median_ranks(table(spark, sf_dir, "events").withColumn("rank", F.length("event_type")), "user_id", "rank", "event_type").select("item", *r6("median_rank"), "unresolved")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import audit, contracts, learning, pairing, sources
+from tessera.plans import audit, contracts, learning, models, pairing, sources
 
 FLAGSHIP = "documents_manifest"
-_MODULES = (audit, pairing, contracts, learning, sources)
+_MODULES = (audit, pairing, contracts, learning, sources, models)
 
 
 def queries() -> dict[str, Callable]:

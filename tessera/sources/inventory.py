@@ -24,9 +24,11 @@ def require_shards(df: DataFrame, expected: int) -> None:
         raise ValueError(f"{found} shards found, {expected} expected")
 
 
-def fingerprint(df: DataFrame, frozen_from: int) -> DataFrame:
-    """One row: n, an order-insensitive hash (XOR alone would lose repeated rows, so a sum stands beside it), the gate."""
-    h = F.xxhash64(*df.columns)
+def fingerprint(df: DataFrame, frozen_from: int, columns: list[str] | None = None) -> DataFrame:
+    """One row: n, an order-insensitive hash of ``columns`` (XOR alone would lose repeated rows, so a sum stands beside it),
+    the gate.  A row's hash is the first 15 hex digits of the MD5 of its values joined by ``|``."""
+    joined = F.concat_ws("|", *(F.col(c).cast("string") for c in columns or df.columns))
+    h = F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("bigint")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
     return row.withColumn("gate", F.when(F.col("n") >= frozen_from, "FROZEN").otherwise("PARTIAL"))
 
