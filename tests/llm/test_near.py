@@ -71,6 +71,13 @@ def test_groups_against_brute_force(spark):
         assert {i: c for i, (_, c) in got.items()} == components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
 
 
+def test_very_long_words(spark):
+    rows = [(1, "x" * 300_000), (2, "x" * 300_000), (3, "y" * 300_000 + " z"), (4, "ab " * 3 + "w" * 100_000)]
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in S.near_duplicates(docs(spark, rows)).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: fingerprint(t) for i, t in rows} and got[2][1] == 1 and got[3][1] == 3
+    assert {r.doc_id for r in N.drop_near_copies(docs(spark, rows)).collect()} == {1, 3, 4}
+
+
 def test_nothing_and_null_ids(spark):
     assert S.near_duplicates(docs(spark, [])).count() == 0
     got = S.near_duplicates(docs(spark, [(None, "a b c"), (4, "a b c"), (None, "other words here")])).collect()
