@@ -6,6 +6,7 @@ import pytest
 from tessera.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Learners that take long; ``test_brute_force`` runs them.
 SLOW = {"boosted_trees", "decision_classifier"}
 
 
