@@ -17,6 +17,16 @@ def set_errors(items: Column, names: Column, allowed: list[str], order: Column)
     ])
 
 
+def record_errors(rows: DataFrame, key: str, order: str, name: str, allowed: list[str]) -> DataFrame:
+    """(key, errors) of ``set_errors`` for records that lie in rows: names outside ``allowed``, an order that repeats or is
+    no permutation of 0..n-1.  Counts and extremes tell, so a record of any length is aggregated before it is shuffled."""
+    g = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(order).alias("distinct"), F.min(order).alias("low"), F.max(order).alias("high"), F.max(F.coalesce(~F.col(name).isin(allowed), F.lit(True))).alias("odd"),
+    )
+    whole = (F.col("distinct") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)
+    return g.select(key, flags([("unknown_name", F.col("odd")), ("repeated", F.col("distinct") < F.col("n")), ("not_a_permutation", ~F.coalesce(whole, F.lit(False)))]).alias("errors"))
+
+
 def ranking_errors(ranking: Column, candidates: Column, oracle: Column) -> Column:
     """A ranking must hold every candidate once, and start with the oracle."""
     return flags([("not_all_candidates", F.array_sort(ranking) != F.array_sort(candidates)), ("oracle_not_first", ~F.get(ranking, F.lit(0)).eqNullSafe(oracle))])

@@ -11,19 +11,9 @@ from tessera.operators import duplicates as D
 from tessera.operators import quality as Q
 from tessera.operators import stats as T
 from tessera.plans.adapters import FIELDS, KEYS, LEAKING, MANIFEST, SAMPLES, manifest, samples, table
+from tessera.plans.catalog import catalog
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = catalog()
 
 
 def r6(*names: str) -> list:

@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from tessera.functions.scratch import checkpoint_dir
+from tessera.functions.scratch import scratch_path
 from tessera.operators import contracts as K
 from tessera.operators import stats as T
 from tessera.plans.adapters import FIELDS, MANIFEST, SAMPLES, manifest, samples, table
 from tessera.plans.audit import r6
+from tessera.plans.catalog import catalog
 from tessera.sources import inventory
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = catalog()
 
 
 @query("conversation_contract", """WITH c AS (SELECT conv_id, list(turn) AS turns, list(role) AS roles, count(*) AS n FROM conversations GROUP BY conv_id)
   SELECT conv_id, array_to_string(list_filter([CASE WHEN len(list_filter(roles, lambda r: r NOT IN ('user', 'assistant', 'system'))) > 0 THEN 'unknown_name' END, CASE WHEN len(list_distinct(turns)) < n THEN 'repeated' END, CASE WHEN list_sort(turns) <> range(0, n) THEN 'not_a_permutation' END], lambda e: e IS NOT NULL), ',') AS errors FROM c""")
 def conversation_contract(spark, sf_dir):
     """C17 on conversations: roles of a fixed set, turns a permutation."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("turns"), F.collect_list("role").alias("roles"))
-    e = K.set_errors(F.col("turns"), F.col("roles"), ["user", "assistant", "system"], F.col("turns"))
-    return c.select("conv_id", F.array_join(e, ",").alias("errors"))
+    c = K.record_errors(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", ["user", "assistant", "system"])
+    return c.select("conv_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query("bound_violations", "WITH " + SAMPLES + ", l AS (UNPIVOT (SELECT bust, length, sleeve FROM samples) ON bust, length, sleeve INTO NAME field VALUE value), r AS (SELECT * FROM (VALUES ('bust', 2, 49), ('length', 0, 9), ('sleeve', 1, 8)) t(field, low, high)) SELECT field, count(*) AS n, CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (value < low OR value > high) AS BIGINT) AS out_of_bounds FROM l JOIN r USING (field) GROUP BY field")
@@ -52,7 +39,7 @@ def leakage_export(spark, sf_dir):
     m = manifest(spark, sf_dir)
     leaks = m.filter((F.col("split") == "eval") & F.expr(_LEAK)).withColumn("kind", F.lit("leakage"))
     both = leaks.unionByName(m.filter("duplicate_pair OR duplicate_record").withColumn("kind", F.lit("duplicate"))).select("kind", "id", "person", "cloth", "target", "split")
-    path = f"{checkpoint_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "leaks")
     both.write.partitionBy("kind").parquet(path)
     return spark.read.parquet(path).select(*both.columns)
 
@@ -70,7 +57,7 @@ def lattice_freeze(spark, sf_dir):
 def json_lines(spark, sf_dir):
     """Written as JSON lines, read with its schema."""
     e = table(spark, sf_dir, "events").select("event_type", "value")
-    path = f"{checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "json")
     e.write.json(path)
     return inventory.read_json_lines(spark, path, e.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -78,7 +65,7 @@ def json_lines(spark, sf_dir):
 @query("csv_sink", "WITH " + SAMPLES + ", l AS (UNPIVOT (SELECT split, bust, length, sleeve, ease, ease_ratio FROM samples) ON bust, length, sleeve, ease, ease_ratio INTO NAME field VALUE value) SELECT field, coalesce(split, 'ALL') AS part, count(value) AS n FROM l GROUP BY GROUPING SETS ((field), (field, split))")
 def csv_sink(spark, sf_dir):
     """A10: the distribution table as CSV with a header, read again."""
-    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv")
     inventory.write_csv(T.distribution(samples(spark, sf_dir), FIELDS, "split").select("field", "part", "n"), path)
     return spark.read.schema("field string, part string, n bigint").option("header", True).csv(path)
 
@@ -89,7 +76,7 @@ def contract_sink(spark, sf_dir):
     from pyspark.sql import types as Y
 
     wanted = Y.StructType([Y.StructField("id", Y.LongType()), Y.StructField("price", Y.DoubleType()), Y.StructField("note", Y.StringType()), Y.StructField("flagged", Y.BooleanType())])
-    path = f"{checkpoint_dir(spark)}/contract-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "contract")
     inventory.write_contract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), wanted, path)
     return spark.read.parquet(path)
 

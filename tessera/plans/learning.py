@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions.scratch import checkpoint_dir, cut
+from tessera.functions.scratch import cut, scratch_path
 from tessera.operators import mesh as H
 from tessera.operators import models as M
 from tessera.operators import selection as C
 from tessera.plans.adapters import samples, table
 from tessera.plans.audit import r6
+from tessera.plans.catalog import catalog
 from tessera.sources import geometry, inventory
 from tessera.streaming import incremental
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = catalog()
 
 
 def _rows(spark, sf_dir):
@@ -59,7 +48,7 @@ def decision_classifier(spark, sf_dir):
 @query("incremental_events", "SELECT event_id, event_type, round(value, 6) AS value, 'events' AS source_shard_id, true AS located FROM events")
 def incremental_events(spark, sf_dir):
     """Events as a file stream with a checkpoint, each file once."""
-    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "ingest")
     schema = table(spark, sf_dir, "events").schema
     out = incremental.ingest(spark, f"{sf_dir}/events.parquet*", schema, lambda s: s.select("event_id", "event_type", "value", "source_shard_id", "source_row_id"), f"{base}/sink", f"{base}/checkpoint")
     return out.select("event_id", "event_type", *r6("value"), "source_shard_id", (F.col("source_row_id") >= 0).alias("located"))

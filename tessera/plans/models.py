@@ -11,21 +11,11 @@ from tessera.operators import splits as G
 from tessera.operators import stats as T
 from tessera.plans.adapters import SAMPLES, table
 from tessera.plans.audit import r6
+from tessera.plans.catalog import catalog
 from tessera.plans.learning import _rows
 from tessera.plans.pairing import _TRANS, _transitions
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = catalog()
 
 
 def solved(name: str, rows: str, x: list[str], y: str, penalty: float) -> str:

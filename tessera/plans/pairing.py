@@ -15,20 +15,10 @@ from tessera.operators import splits as G
 from tessera.operators import stats as T
 from tessera.plans.adapters import MANIFEST, MEASURES, SAMPLES, manifest, samples, table
 from tessera.plans.audit import r6
+from tessera.plans.catalog import catalog
 from tessera.sources import inventory
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = catalog()
 
 
 def _limited_sql(group: str, source: str) -> str:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,28 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from tessera.functions import scalars as S
-from tessera.functions.scratch import checkpoint_dir, cut
+from tessera.functions.scratch import cut, scratch_path
 from tessera.operators import discovery as V
 from tessera.operators import mesh as H
 from tessera.operators import selection as C
 from tessera.plans.adapters import samples, table
 from tessera.plans.audit import r6
+from tessera.plans.catalog import catalog
 from tessera.plans.learning import _TRIPLES, _VERTICES, _vertices
 from tessera.sources import geometry, images, inventory
 from tessera.streaming import incremental
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, query = catalog()
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -145,7 +134,7 @@ def mesh_regions(spark, sf_dir):
 @query("mesh_files", "SELECT label AS mesh, CAST(count(*) * " + str(len(_TRIPLES)) + " AS BIGINT) AS vertices FROM embeddings GROUP BY label")
 def mesh_files(spark, sf_dir):
     """Vertices written as mesh text, one folder a label, read again line by line."""
-    path = f"{checkpoint_dir(spark)}/meshes-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "meshes")
     lines = _vertices(spark, sf_dir).select("label", F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("value"))
     lines.write.partitionBy("label").text(path)
     read = spark.read.text(path)
@@ -181,7 +170,7 @@ def finalize_when_complete(spark, sf_dir):
 @query("seen_users", "SELECT CAST(user_id AS BIGINT) AS user_id, count(*) AS n, false AS seen FROM events GROUP BY user_id")
 def seen_users(spark, sf_dir):
     """Events as a stream; whether an earlier batch had the user.  The table is one file, so one batch here."""
-    base = f"{checkpoint_dir(spark)}/seen-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "seen")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("user_id")
     incremental.seen_keys(spark, stream, "user_id", f"{base}/ledger", f"{base}/sink", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/sink").groupBy("user_id", "seen").agg(F.count(F.lit(1)).alias("n"))
