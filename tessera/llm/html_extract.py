@@ -43,7 +43,7 @@ TELLING = re.compile(
     r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|footer|foot|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|"
     r"signup|login|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|legal|copyright|disclaimer|search|skip|tags?|meta|header)\d*"
 )
-PLAIN = frozenset("site page global top bottom left right main primary secondary inner outer box wrap wrapper container content list item items section block area bar panel slot unit row col links link text body the and".split())
+PLAIN = frozenset("site page global top bottom left right main primary secondary inner outer box wrap wrapper container content list item items section block area bar panel slot unit row col links link text body the and user users reader readers visitor guest post posts article articles story stories entry".split())
 COMMENT = re.compile(r"(?:comments?|commentlist|disqus|respond|replies|reply)\d*")
 #: Elements that implicitly end an open element of the same kind.
 SELF_CLOSING = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}

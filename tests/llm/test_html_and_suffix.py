@@ -47,6 +47,18 @@ def test_the_ratios_decide(monkeypatch):
     assert not any(X.extract(h) for h in PAGES)
 
 
+def test_named_blocks_do_not_change_the_article(spark):
+    """Blocks of prose under telling names, before, in and behind the article, with and without an article element."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").limit(100).collect()]
+    names = "sidebar cookie-banner newsletter-signup comments comment-list advert ad-slot ad promo breadcrumb site-footer social-share related-posts notice menu top-nav widget user-comments sponsored".split()
+    rng = random.Random(1)
+    for _ in range(600):
+        page = rng.choice(pages)
+        block = f'<{(tag := rng.choice(["div", "section"]))} {rng.choice(["class", "id"])}="{rng.choice(names)}">' + "<p>In in oredble ea, the and. Nicht aulich sch erüver.</p>" * rng.randrange(1, 6) + f"</{tag}>"
+        put = rng.choice([lambda p: p.replace("<article>", block + "<article>"), lambda p: p.replace("</article>", block + "</article>"), lambda p: p.replace("<article>", "<div class=content>").replace("</article>", "</div>" + block)])  # noqa: B023
+        assert X.extract(put(page)) == X.extract(page) != ""
+
+
 def test_path_sums_against_brute_force():
     rng = random.Random(3)
     tags = ["div", "p", "a", "ul", "li", "b", "section", "article"]
