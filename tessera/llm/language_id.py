@@ -112,6 +112,13 @@ class Model:
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
+    def rejects(self, text: str | None) -> bool:
+        """Whether a filter drops the text; a model that has learned no language drops only what has no letter."""
+        if self.languages == [UNKNOWN]:
+            return not has_letter(text)
+        best, score = self.score(text)
+        return best == UNKNOWN or score < self.threshold
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -241,8 +248,7 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [model.score(t) for t in part.column("text").to_pylist()]
-                yield part.filter(pa.array([a != UNKNOWN and s >= model.threshold for a, s in found], pa.bool_()))
+                yield part.filter(pa.array([not model.rejects(t) for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -73,6 +73,13 @@ def test_sample_does_not_follow_the_order_of_the_table(spark):
         L.sample(forward, max_languages=7)
 
 
+def test_without_labels_only_texts_without_letters_go(spark):
+    d = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id bigint, text string, lang string")
+    model = L.fit(d)
+    assert [r.doc_id for r in L.drop_rejected(d, model).collect()] == [1]
+    assert {r.lang_pred for r in L.identify(d, model).collect()} == {"und"}
+
+
 def test_rejection_threshold():
     p = np.array([[0.9, 0.1]] * 600 + [[0.4, 0.3], [0.45, 0.3]])
     assert L.rejection_threshold(p, np.zeros(602, int)) == 0.45  # one of 602 right answers may be refused
