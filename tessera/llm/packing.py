@@ -26,7 +26,7 @@ from tessera.llm.common import materialize, read_table, text_or_empty
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length are ranked in lots of about so many, however many there are.
-LOT_ROWS = 100_000
+LOT_ROWS = 1000
 #: Words whose ids a Python worker remembers.
 CACHED_WORDS = 300_000
 
