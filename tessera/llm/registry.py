@@ -16,7 +16,10 @@ _QUERIES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_packing": "packing",
     "op10_secrets": "secrets",
+    "op12_line_dedup": "line_dedup",
 }
+#: Modules whose queries SQL can express over whole tables.
+_WITH_SQL = ["exact_dedup", "line_dedup"]
 
 
 def queries() -> dict:
@@ -24,5 +27,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only exact dedup can be said in SQL over whole tables; the others are tested against brute force."""
-    return dict(import_module("tessera.llm.exact_dedup").ORACLE_SQL)
+    """The other queries are tested against brute force."""
+    return {query: sql for module in _WITH_SQL for query, sql in import_module(f"tessera.llm.{module}").ORACLE_SQL.items()}
