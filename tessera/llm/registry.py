@@ -16,10 +16,11 @@ _QUERIES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_packing": "packing",
     "op10_secrets": "secrets",
+    "op11_hard_negatives": "hard_negatives",
     "op12_line_dedup": "line_dedup",
 }
 #: Modules whose queries SQL can express over whole tables.
-_WITH_SQL = ["exact_dedup", "line_dedup"]
+_WITH_SQL = ["exact_dedup", "hard_negatives", "line_dedup"]
 
 
 def queries() -> dict:
