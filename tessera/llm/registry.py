@@ -18,9 +18,10 @@ _QUERIES = {
     "op10_secrets": "secrets",
     "op11_hard_negatives": "hard_negatives",
     "op12_line_dedup": "line_dedup",
+    "op13_collocations": "collocations",
 }
 #: Modules whose queries SQL can express over whole tables.
-_WITH_SQL = ["exact_dedup", "hard_negatives", "line_dedup"]
+_WITH_SQL = ["exact_dedup", "hard_negatives", "line_dedup", "collocations"]
 
 
 def queries() -> dict:
