@@ -1,4 +1,4 @@
-"""Validation of nested records and rule tables, and roll-ups of statuses."""
+"""Validation of records that lie in rows and of rule tables, and roll-ups of statuses; for nested records see ``nested``."""
 
 from __future__ import annotations
 
@@ -8,17 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import flags
 
 
-def set_errors(items: Column, names: Column, allowed: list[str], order: Column) -> Column:
-    """What is wrong with a record's list: empty, names outside ``allowed``, or an order that is no permutation of 0..n-1."""
-    n = F.size(items)
-    return flags([
-        ("empty", n == 0), ("unknown_name", F.exists(names, lambda x: ~x.isin(allowed))), ("repeated", F.size(F.array_distinct(order)) < n),
-        ("not_a_permutation", F.array_sort(order) != F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i.cast("bigint"))),
-    ])
-
-
 def record_errors(rows: DataFrame, key: str, order: str, name: str, allowed: list[str]) -> DataFrame:
-    """(key, errors) of ``set_errors`` for records that lie in rows: names outside ``allowed``, an order that repeats or is
+    """(key, errors) of records that lie in rows: names outside ``allowed``, an order that repeats or is
     no permutation of 0..n-1.  Counts and extremes tell, so a record of any length is aggregated before it is shuffled."""
     g = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(order).alias("distinct"), F.min(order).alias("low"), F.max(order).alias("high"), F.max(F.coalesce(~F.col(name).isin(allowed), F.lit(True))).alias("odd"),

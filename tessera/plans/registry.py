@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import audit, contracts, learning, models, pairing, sources
+from tessera.plans import audit, contracts, learning, models, pairing, records, sources
 
 FLAGSHIP = "documents_manifest"
-_MODULES = (audit, pairing, contracts, learning, sources, models)
+_MODULES = (audit, pairing, contracts, learning, sources, models, records)
 
 
 def queries() -> dict[str, Callable]:
