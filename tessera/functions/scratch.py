@@ -34,3 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint that all executors can read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def hadoop_fs(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes paths of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at

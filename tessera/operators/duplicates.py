@@ -78,9 +78,3 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that one side lacks: (key, missing_in)."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
     return a.join(b, key, "left_anti").withColumn("missing_in", F.lit("right")).unionByName(b.join(a, key, "left_anti").withColumn("missing_in", F.lit("left")))
-
-
-def first_seen(batch: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
-    """Rows of a micro-batch with ``seen``: whether a ledger of earlier keys has theirs."""
-    known = ledger.select(F.col(key).alias("_known")).distinct()
-    return batch.join(known, batch[key] == known["_known"], "left").withColumn("seen", F.col("_known").isNotNull()).drop("_known")

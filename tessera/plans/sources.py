@@ -21,7 +21,7 @@ from tessera.plans.audit import r6
 from tessera.plans.catalog import catalog
 from tessera.plans.learning import _TRIPLES, _VERTICES, _vertices
 from tessera.sources import geometry, images, inventory
-from tessera.streaming import incremental
+from tessera.streaming import incremental, state
 
 QUERIES, SQL, query = catalog()
 
@@ -159,21 +159,41 @@ def unit_tiers(spark, sf_dir):
     return V.unit_tiers(cut(samples(spark, sf_dir).select("person", "cloth", "target")), _UNITS)
 
 
-@query("finalize_when_complete", "SELECT CAST(count(DISTINCT l_suppkey % 20) AS BIGINT) AS shards, count(DISTINCT l_suppkey % 20) = 20 AS ready FROM lineitem WHERE l_suppkey % 20 < 12")
+@query("finalize_when_complete", "SELECT 'partial' AS call, count(DISTINCT l_suppkey % 20) FILTER (l_suppkey % 20 < 12) AS shards, count(DISTINCT l_suppkey % 20) FILTER (l_suppkey % 20 < 12) = 20 AS ready FROM lineitem UNION ALL SELECT 'whole', count(DISTINCT l_suppkey % 20), count(DISTINCT l_suppkey % 20) = 20 FROM lineitem")
 def finalize_when_complete(spark, sf_dir):
     """Annotations over all keys wait until every expected shard has been written."""
-    written = table(spark, sf_dir, "lineitem").filter("l_suppkey % 20 < 12").select((F.col("l_suppkey") % 20).alias("source_shard_id"))
-    done = incremental.shards_done(written)
-    return done.agg(F.count(F.lit(1)).alias("shards")).withColumn("ready", F.col("shards") == 20)
-
-
-@query("seen_users", "SELECT CAST(user_id AS BIGINT) AS user_id, count(*) AS n, false AS seen FROM events GROUP BY user_id")
+    written = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("source_shard_id"))
+    calls = [("partial", written.filter("source_shard_id < 12")), ("whole", written)]
+    return spark.createDataFrame([(call, incremental.shards_done(part).count(), incremental.ready(part, 20)) for call, part in calls], "call string, shards bigint, ready boolean")
+
+
+@query("shard_outputs", """SELECT 'shard-' || (l_suppkey % 20) AS source_shard_id, count(*) AS rows, 1 AS files, 'COMMITTED' AS state, CAST(sum(l_quantity) AS DOUBLE) AS quantity, (SELECT count(*) FROM (VALUES ('limit'), ('exhausted'), ('exhausted'))) AS calls, 'exhausted,limit' AS reasons FROM lineitem GROUP BY 1""")
+def shard_outputs(spark, sf_dir):
+    """Order lines in shards, ingested in three calls - stopped by its limit, resumed, with nothing left - one file per shard."""
+    base = scratch_path(spark, "shards")
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("shard-"), F.col("l_suppkey") % 20).alias("shard"), "l_orderkey", "l_quantity")
+    lines.repartition("shard").write.partitionBy("shard").parquet(f"{base}/source")
+    schema = lines.drop("shard").schema
+    named = F.regexp_extract("_metadata.file_path", r"shard=([^/]+)/", 1)
+    for most in (1, None, None):
+        incremental.ingest_shards(spark, f"{base}/source/shard=*", schema, lambda s: s, f"{base}/sink", f"{base}/checkpoint", shard=named, files_per_batch=8, most_batches=most)
+    found = spark.read.parquet(f"{base}/sink")
+    files = found.groupBy("source_shard_id").agg(F.count_distinct("_metadata.file_path").cast("int").alias("files"), F.sum("l_quantity").alias("quantity"))
+    calls = incremental.calls(spark, f"{base}/sink").agg(F.count(F.lit(1)).alias("calls"), F.array_join(F.array_sort(F.collect_set("stop_reason")), ",").alias("reasons"))
+    return incremental.ledger(spark, f"{base}/sink").select("source_shard_id", "rows", "state").join(files, "source_shard_id").join(F.broadcast(calls))
+
+
+@query("seen_users", """WITH b AS (SELECT CAST(user_id AS BIGINT) AS user_id, event_id % 3 AS run, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL)
+  SELECT CAST(run AS INTEGER) AS run, user_id, n, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS before, coalesce(sum(n) OVER w, 0) > 0 AS seen FROM b WINDOW w AS (PARTITION BY user_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def seen_users(spark, sf_dir):
-    """Events as a stream; whether an earlier batch had the user.  The table is one file, so one batch here."""
+    """Events as a feed that comes in three parts, the stream started anew for each; whether earlier batches had the user."""
     base = scratch_path(spark, "seen")
-    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("user_id")
-    incremental.seen_keys(spark, stream, "user_id", f"{base}/ledger", f"{base}/sink", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/sink").groupBy("user_id", "seen").agg(F.count(F.lit(1)).alias("n"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), "event_id")
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).write.parquet(f"{base}/feed/part={part}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/feed/part=*")
+        state.seen_counts(stream, "user_id", f"{base}/sink", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/sink")
 
 
 _LADDER = "t AS (SELECT a.l_orderkey, count(*) AS pairs, min(sign(b.l_quantity - a.l_quantity)) = 1 AS exact FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey)"

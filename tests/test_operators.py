@@ -200,12 +200,3 @@ def test_stream_resumes(spark, tmp_path):
     spark.range(10, 15).coalesce(1).write.mode("append").parquet(src)
     out = run()
     assert out.count() == 15 == out.select("id").distinct().count() and incremental.ready(out, 3)
-
-
-def test_stream_of_seen_keys(spark, tmp_path):
-    src, sink, led, cp = (str(tmp_path / x) for x in ("src", "sink", "led", "cp"))
-    schema = T.StructType([T.StructField("id", T.LongType())])
-    for _ in range(2):
-        spark.range(3).coalesce(1).write.mode("append").parquet(src)
-        incremental.seen_keys(spark, spark.readStream.schema(schema).parquet(src), "id", led, sink, cp)
-    assert sorted((r.id, r.seen) for r in spark.read.parquet(sink).collect()) == [(i, s) for i in range(3) for s in (False, True)]
