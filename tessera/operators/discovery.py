@@ -47,10 +47,70 @@ def radius_pairs(df: DataFrame, columns: list[str], radius: float) -> DataFrame:
     return joined.filter(F.col("distance") <= radius).select("a", "b", "distance")
 
 
-def radius_summary(df: DataFrame, columns: list[str], radius: float) -> DataFrame:
-    pairs = radius_pairs(df, columns, radius).select("a", "b")
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().agg(F.count(F.lit(1)).alias("touched"))
-    return pairs.agg(F.count(F.lit(1)).alias("pairs")).join(F.broadcast(touched))
+def radius_summary(df: DataFrame, columns: list[str], radius: float, leaf: int = 32) -> DataFrame:
+    """One row: ``pairs`` of distinct vectors within ``radius``, inclusive, and how many vectors are ``touched`` by one.
+
+    Pairs are counted by cells, not formed.  Two cells whose boxes lie wholly within the radius count the product of
+    their vectors, two that lie wholly beyond it nothing.  Of the cells of the pairs that are left, those with over
+    ``leaf`` vectors are halved along every axis and the pairs of their parts judged in the next round, until only pairs
+    of cells with up to ``leaf`` vectors are left, whose vectors meet.  So a dense cell costs its border, and one round
+    serves all cells; there are as many rounds as the densest border cell needs halvings.  Rows with a null are left out.
+
+    Boxes and vectors are measured by the same operations in the same order, which rounding keeps monotone, so a box
+    decides as its vectors would.
+    """
+    if radius <= 0:
+        raise ValueError("the radius is positive")
+    v = df.dropna(subset=columns).select(*(F.col(c).cast("double").alias(c) for c in columns)).distinct()
+    cell = F.array(*(F.floor(F.col(c) / radius) for c in columns))
+    points = cut(v.select(*columns, F.array_join(cell.cast("array<string>"), ",").alias("node")))
+    box = [F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{name}_{c}") for c in columns for name, f in (("lo", F.min), ("hi", F.max)))]
+    fields = ["node", "n", *(f"{side}_{c}" for c in columns for side in ("lo", "hi"))]
+    apart = lambda c: F.greatest(F.col(f"a.lo_{c}") - F.col(f"b.hi_{c}"), F.col(f"b.lo_{c}") - F.col(f"a.hi_{c}"), F.lit(0.0))
+    across = lambda c: F.greatest(F.col(f"a.hi_{c}") - F.col(f"b.lo_{c}"), F.col(f"b.hi_{c}") - F.col(f"a.lo_{c}"))
+    length = lambda side: F.sqrt(sum(side(c) * side(c) for c in columns))
+    same = F.col("a.node") == F.col("b.node")
+    # Cells of the first round meet as the vectors of a radius join do.
+    roots = cut(points.groupBy("node").agg(*box)).select(F.struct(*fields).alias("x"), F.split("node", ",").cast("array<bigint>").alias("cell"))
+    half = [o for o in product((-1, 0, 1), repeat=len(columns)) if o >= (0,) * len(columns)]
+    sent = roots.select(F.col("x").alias("a"), F.explode(F.array(*(F.array(*(F.col("cell")[k] + d for k, d in enumerate(o))) for o in half))).alias("cell"))
+    pairs = sent.join(roots.select(F.col("x").alias("b"), "cell"), "cell").select("a", "b")
+    counted, marks, leaves = [], [], []
+    while True:
+        judged = pairs.withColumns({"near": length(apart) <= radius, "whole": length(across) <= radius}).filter("near")
+        judged = cut(judged.withColumn("small", (F.col("a.n") <= leaf) & (F.col("b.n") <= leaf)))
+        inside = judged.filter("whole")
+        counted.append(inside.select(F.when(same, F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("b.n")).cast("bigint").alias("pairs")))
+        marks.append(inside.filter(~same | (F.col("a.n") > 1)).select(F.explode(F.array("a.node", "b.node")).alias("node")))
+        leaves.append(judged.filter("NOT whole AND small").select(F.col("a.node").alias("na"), F.col("b.node").alias("nb")))
+        open_ = judged.filter("NOT whole AND NOT small")
+        split = cut(open_.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").filter(F.col("n") > leaf).dropDuplicates(["node"]))
+        if split.isEmpty():
+            break
+        # A vector's part of its cell: one digit per axis, whether it lies over the middle of the box.
+        middle = {c: (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2 for c in columns}
+        over = lambda c: ((F.col(c) > middle[c]) | (middle[c] >= F.col(f"hi_{c}")) & (F.col(c) >= F.col(f"hi_{c}"))) & (F.col(f"lo_{c}") < F.col(f"hi_{c}"))
+        part = F.concat("node", F.lit("/"), *(over(c).cast("int").cast("string") for c in columns))
+        points = cut(points.join(split, "node", "left").select(*columns, F.col("node").alias("was"), F.when(F.col("n").isNotNull(), part).otherwise(F.col("node")).alias("node")))
+        fresh = points.filter(F.col("was") != F.col("node")).groupBy("was", "node").agg(*box).select("was", F.struct(*fields).alias("x"))
+        stay = open_.select(F.explode(F.array("a", "b")).alias("x")).filter(F.col("x.n") <= leaf).select(F.col("x.node").alias("was"), "x").dropDuplicates(["was"])
+        below = cut(fresh.unionByName(stay))
+        ends = open_.select(F.col("a.node").alias("na"), F.col("b.node").alias("nb"))
+        opened = ends.join(below.select(F.col("was").alias("na"), F.col("x").alias("a")), "na").join(below.select(F.col("was").alias("nb"), F.col("x").alias("b")), "nb")
+        pairs = opened.filter((F.col("na") != F.col("nb")) | (F.col("a.node") <= F.col("b.node"))).select("a", "b")
+        points = points.drop("was")
+    vector = F.struct(*columns)
+    met = reduce(DataFrame.unionByName, leaves).join(points.select(F.col("node").alias("na"), vector.alias("a")), "na").join(points.select(F.col("node").alias("nb"), vector.alias("b")), "nb")
+    distance = F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in columns))
+    met = met.filter(((F.col("na") != F.col("nb")) | (F.col("a") < F.col("b"))) & (distance <= radius))
+    # What the meeting of small cells leaves: per vector, how many it has met as the first of a pair, and that it was met.
+    ends = cut(met.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"), F.collect_set("b").alias("met")))
+    total = reduce(DataFrame.unionByName, [*counted, ends.select("pairs")]).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    marked = reduce(DataFrame.unionByName, marks).distinct()
+    steps = F.split("node", "/")
+    within = points.select(vector.alias("v"), F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("node")).join(marked, "node", "left_semi").select("v")
+    touched = within.unionByName(ends.select(F.col("a").alias("v"))).unionByName(ends.select(F.explode("met").alias("v"))).distinct()
+    return total.join(F.broadcast(touched.agg(F.count(F.lit(1)).alias("touched"))))
 
 
 def covering_masks(limit: int, width: int) -> list[int]:
