@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,40 +151,6 @@ def errors(df: DataFrame, truth: Column, guess: Column, by: list[str] | None = N
     return df.groupBy(*(by or [])).agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
-    """Poisson(1) weight of a row in a replicate, from a hash of (seed, key, replicate)."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key, replicate), F.lit(1 << 30)) / float(1 << 30)
-    cumulative, p, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(7):
-        cumulative += p
-        weight = weight + (u >= cumulative).cast("int")
-        p /= k + 1
-    return weight
-
-
-def weighted_mean(value: Column, weight: Column) -> Column:
-    return F.sum(weight * value) / F.sum(weight)
-
-
-def bootstrap(
-    df: DataFrame, value: Column, key: str, replicates: int = 800, level: float = 0.95, seed: int = 0, by: list[str] | None = None,
-    statistic: Callable[[Column, Column], Column] = weighted_mean,
-) -> DataFrame:
-    """Percentile interval of a statistic, the mean unless ``statistic`` (value, weight) builds another, per group of ``by``.
-
-    Resamples are Poisson(1) weights, summed in one pass: every row carries its ``replicates`` weights through one partial
-    aggregation, so what is shuffled does not grow with the rows.
-    """
-    keys = by or []
-    rows = df.select(*keys, F.col(key).alias("_k"), value.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    means = rows.withColumn("_w", poisson_weight(F.col("_k"), F.col("replicate"), seed)).groupBy(*keys, "replicate").agg(statistic(F.col("_x"), F.col("_w")).alias("m"))
-    tail = (1 - level) / 2
-    # At most ``replicates`` values a group meet here.
-    interval = means.groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    whole = df.groupBy(*keys).agg(F.count(value).alias("n"), statistic(value, F.lit(1)).alias("mean"))
-    return whole.join(interval, keys, "left") if keys else whole.join(F.broadcast(interval))
-
-
 def sign_rate(df: DataFrame, a: Column, b: Column) -> DataFrame:
     d = a - b
     return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean_difference"), F.avg((d > 0).cast("double")).alias("win_rate"), F.avg((d == 0).cast("double")).alias("tie_rate"))
@@ -216,11 +180,6 @@ def grid_share(df: DataFrame, fields: list[str], steps: list[float]) -> DataFram
     return long.groupBy("field").agg(*(F.avg(on_grid("value", s).cast("double")).alias(f"on_{s:g}".replace(".", "_")) for s in steps))
 
 
-def aggregate_with(df: DataFrame, by: list[str], statistic: Callable[[Column], Column], value: str) -> DataFrame:
-    """A user's statistic, given as a builder of an aggregate column, per group."""
-    return df.groupBy(*by).agg(statistic(F.col(value)).alias("statistic"))
-
-
 def findings(df: DataFrame, split: str, zero: str, measures: list[str], medians: list[str], shift_limit: float = 0.05, invalid_limit: float = 0.01, train: str = "train", held: str = "eval") -> DataFrame:
     """(finding, figure, found): zeros of a measure, missing rates, relative shifts of medians between splits, invalid share."""
     rows = cut(df)

@@ -9,6 +9,7 @@ from tessera.functions import scalars as S
 from tessera.functions.prefix import exact_percentiles
 from tessera.operators import duplicates as D
 from tessera.operators import quality as Q
+from tessera.operators import resampling as R
 from tessera.operators import stats as T
 from tessera.plans.adapters import FIELDS, KEYS, LEAKING, MANIFEST, SAMPLES, manifest, samples, table
 from tessera.plans.catalog import catalog
@@ -294,20 +295,62 @@ def wilson(spark, sf_dir):
     return r.select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("bootstrap")
+def _interval_sql(rows: str, key: str, by: str, m: str, replicates: int, seed: int = 0) -> str:
+    """Rows of ``rows`` (a query with a column ``x``) as the mean ``m`` (over x and w) per replicate, and its interval."""
+    return (
+        f"WITH b AS ({rows}), " + R.weights_sql("b", key, seed, replicates) + f", m AS (SELECT {by}, replicate, {m} AS m FROM (SELECT {by}, replicate, x, w FROM weighted UNION ALL SELECT {by}, 0, x, 1 FROM b) GROUP BY ALL) "
+        f"SELECT {by}, max(n) AS n, round(max(m) FILTER (replicate = 0), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (replicate > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (replicate > 0), 6) AS high "
+        f"FROM m JOIN (SELECT {by}, count(x) AS n FROM b GROUP BY {by}) USING ({by}) GROUP BY {by}"
+    )
+
+
+@query("bootstrap", _interval_sql("SELECT doc_id, lang, CAST(quality AS DOUBLE) AS x FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL", "doc_id", "lang", "sum(w * x) / sum(w)", 800))
 def bootstrap(spark, sf_dir):
-    """800 hashed resamples of the share of good documents."""
-    return T.bootstrap(table(spark, sf_dir, "labels"), F.col("quality").cast("double"), "doc_id")
+    """800 hashed resamples of the share of good documents per language."""
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return R.bootstrap(j, F.col("quality"), "doc_id", by=["lang"]).select("lang", "n", *r6("mean", "low", "high"))
+
+
+_CLOSE = "SELECT o_orderkey, o_orderstatus, o_totalprice - 20000 AS x FROM orders"
 
 
-@query("bootstrap_errors")
+@query("bootstrap_errors", f"SELECT 'mae' AS figure, * FROM ({_interval_sql(_CLOSE, 'o_orderkey', 'o_orderstatus', 'sum(w * abs(x)) / sum(w)', 800)}) UNION ALL SELECT 'rmse', * FROM ({_interval_sql(_CLOSE, 'o_orderkey', 'o_orderstatus', 'sqrt(sum(w * x * x) / sum(w))', 800)})")
 def bootstrap_errors(spark, sf_dir):
-    """Intervals of the mean error of a constant price per order status, and, with a statistic of our own, of its root mean square."""
+    """Intervals of the mean error of a constant price per order status, and, with a statistic of our own, of its root mean square."""
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", (F.col("o_totalprice") - 20000).alias("e"))
-    mae = T.bootstrap(rows, F.abs("e"), "o_orderkey", by=["o_orderstatus"])
-    root = lambda x, w: F.sqrt(F.sum(w * x * x) / F.sum(w))
-    rmse = T.bootstrap(rows, F.col("e"), "o_orderkey", by=["o_orderstatus"], statistic=root)
-    return mae.withColumn("figure", F.lit("mae")).unionByName(rmse.withColumn("figure", F.lit("rmse")))
+    mae = R.bootstrap(rows, F.abs("e"), "o_orderkey", by=["o_orderstatus"])
+    rmse = R.bootstrap(rows, F.col("e"), "o_orderkey", by=["o_orderstatus"], sums=lambda x: {"xx": x * x}, statistic=lambda: F.sqrt(F.try_divide("xx", "weight")))
+    return mae.withColumn("figure", F.lit("mae")).unionByName(rmse.withColumn("figure", F.lit("rmse"))).select("figure", "o_orderstatus", "n", *r6("mean", "low", "high"))
+
+
+@query("bootstrap_ladders", "WITH b AS (SELECT l_suppkey, l_returnflag, count(*) FILTER (l_discount > l_tax) AS hits, count(l_discount > l_tax) AS rows FROM lineitem GROUP BY ALL), " + R.weights_sql("b", "l_suppkey", 0, 10_000) + """,
+  m AS (SELECT l_returnflag, replicate, sum(w * hits) / sum(w * rows) AS m FROM (SELECT l_returnflag, replicate, hits, rows, w FROM weighted UNION ALL SELECT l_returnflag, 0, hits, rows, 1 FROM b) GROUP BY ALL)
+  SELECT l_returnflag, (SELECT CAST(sum(rows) AS BIGINT) FROM b WHERE b.l_returnflag = m.l_returnflag) AS n, round(max(m) FILTER (replicate = 0), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (replicate > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (replicate > 0), 6) AS high FROM m GROUP BY l_returnflag""")
+def bootstrap_ladders(spark, sf_dir):
+    """10,000 resamples of whole clusters, here suppliers: their rows share a weight, and are added up before they are weighed."""
+    won = (F.col("l_discount") > F.col("l_tax")).cast("double")
+    clusters = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum(won).alias("hits"), F.count(won).alias("rows"))
+    figures = R.replicate_sums(clusters, "l_suppkey", {"hits": F.col("hits"), "rows": F.col("rows")}, 10_000, by=["l_returnflag"]).withColumn("mean", F.try_divide("hits", "rows"))
+    whole = clusters.groupBy("l_returnflag").agg(F.sum("rows").alias("n"))
+    return whole.join(R.intervals(figures, "mean", ["l_returnflag"]), "l_returnflag").select("l_returnflag", "n", *r6("mean", "low", "high"))
+
+
+_MODEL_ROWS = "SELECT l_orderkey * 8 + l_linenumber AS k, l_quantity AS a, l_tax * 100 AS b, l_extendedprice / 1000 AS y, CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM lineitem"
+
+
+@query("model_ladder", "WITH r AS (" + _MODEL_ROWS + "), " + """u AS (SELECT * FROM r WHERE part = 'train'), v AS (SELECT * FROM r WHERE part = 'test'),
+  tw AS (SELECT * FROM (WITH """ + R.weights_sql("u", "k", 0, 200) + """ SELECT replicate, a, b, y, w FROM weighted) UNION ALL SELECT 0, a, b, y, 1 FROM u),
+  vw AS (SELECT * FROM (WITH """ + R.weights_sql("v", "k", 1, 200) + """ SELECT replicate, a, b, y, w FROM weighted) UNION ALL SELECT 0, a, b, y, 1 FROM v),
+  c AS (SELECT replicate, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my FROM tw GROUP BY 1),
+  g AS (SELECT replicate, ma, mb, my, sum(w * (a - ma) * (a - ma)) AS aa, sum(w * (a - ma) * (b - mb)) AS ab, sum(w * (b - mb) * (b - mb)) AS bb, sum(w * (a - ma) * (y - my)) AS ay, sum(w * (b - mb) * (y - my)) AS b_y FROM tw JOIN c USING (replicate) GROUP BY ALL),
+  s AS (SELECT replicate, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS p, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS q, ma, mb, my FROM g),
+  m AS (SELECT 'identity' AS model, replicate, sum(w * abs(y - a)) / sum(w) AS m FROM vw GROUP BY replicate UNION ALL SELECT 'ols', replicate, sum(w * abs(y - my - p * (a - ma) - q * (b - mb))) / sum(w) FROM vw JOIN s USING (replicate) GROUP BY replicate)
+  SELECT model, round(max(m) FILTER (replicate = 0), 6) AS mae, round(quantile_cont(m, 0.025) FILTER (replicate > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (replicate > 0), 6) AS high FROM m GROUP BY model""")
+def model_ladder(spark, sf_dir):
+    """The identity and least squares, refitted in every resample, with intervals of their mean error."""
+    part = F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("a"), (F.col("l_tax") * 100).alias("b"), (F.col("l_extendedprice") / 1000).alias("y"), part.alias("part"))
+    return R.model_ladder(rows, "k", "part", F.col("y"), {"ols": {"a": F.col("a"), "b": F.col("b")}}, {"identity": F.col("a")}, 200).select("model", *r6("mae", "low", "high"))
 
 
 @query("shard_trend", """WITH h AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 3600 AS h, avg(value) AS v FROM events GROUP BY 1), s AS (SELECT h, v, row_number() OVER (ORDER BY h) AS i, count(*) OVER () AS n, lag(v) OVER (ORDER BY h) AS was FROM h)

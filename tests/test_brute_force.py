@@ -137,22 +137,6 @@ def test_stratified_pilot(spark):
     assert got == plain_pilot(rows, 12, 5, lambda r: r[2][0] == r[2][1])
 
 
-def test_bootstrap(spark):
-    rng = random.Random(6)
-    rows = [(i, rng.choice("pq"), rng.random()) for i in range(60)]
-    d = spark.createDataFrame(rows, "k bigint, g string, x double")
-    weights = {(r.k, r.r): r.w for r in d.select("k", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("r")).withColumn("w", T.poisson_weight(F.col("k"), F.col("r"))).collect()}
-    got = {r.g: r for r in T.bootstrap(d, F.col("x"), "k", replicates=50, by=["g"]).collect()}
-    for g in "pq":
-        own = [(i, x) for i, h, x in rows if h == g]
-        means = [sum(weights[i, r] * x for i, x in own) / sum(weights[i, r] for i, x in own) for r in range(1, 51)]
-        assert np.allclose([got[g].low, got[g].high, got[g].mean], [np.percentile(means, 2.5), np.percentile(means, 97.5), np.mean([x for _, x in own])])
-        assert got[g].n == len(own)
-    assert abs(sum(weights.values()) / len(weights) - 1) < 0.06
-    root = T.bootstrap(d, F.col("x"), "k", replicates=50, statistic=lambda x, w: F.sqrt(F.sum(w * x * x) / F.sum(w))).first()
-    assert abs(root.mean - np.sqrt(np.mean([x * x for _, _, x in rows]))) < 1e-9 and root.low < root.mean < root.high
-
-
 @pytest.mark.parametrize("buckets", [2, 7, 300])
 def test_running_sums(spark, buckets):
     rng = random.Random(buckets)
