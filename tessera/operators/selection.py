@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +61,6 @@ def kendall(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.avg(sign).alias("tau"), (F.min(sign) == 1).alias("exact"))
 
 
-def binomial_upper(hits: Column, n: Column, p: float, most: int) -> Column:
-    """P(X >= hits) of a binomial with n <= ``most``, by summing its terms."""
-    terms = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.when((k >= hits) & (k <= n), F.exp(_ln_choose(n, k, most) + k * math.log(p) + (n - k) * math.log(1 - p))).otherwise(0.0))
-    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
-
-
-def _ln_choose(n: Column, k: Column, most: int) -> Column:
-    table = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(most + 1)))
-    return F.get(table, n) - F.get(table, k) - F.get(table, n - k)
-
-
 def holm(tests: DataFrame, p: str, key: str) -> DataFrame:
     """Holm-adjusted p-values; the tests are few by nature."""
     w = Window.orderBy(p, key)

@@ -13,6 +13,7 @@ from pyspark.sql import types as Y
 
 from tessera.functions import scalars as S
 from tessera.functions.scratch import cut, scratch_path
+from tessera.functions.special import binomial_upper
 from tessera.operators import discovery as V
 from tessera.operators import mesh as H
 from tessera.operators import selection as C
@@ -199,12 +200,12 @@ def seen_users(spark, sf_dir):
 _LADDER = "t AS (SELECT a.l_orderkey, count(*) AS pairs, min(sign(b.l_quantity - a.l_quantity)) = 1 AS exact FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey)"
 
 
-@query("ladder_tests", "WITH " + _LADDER + """, g AS (SELECT o_orderpriority AS family, count(*) AS n, CAST(count(*) FILTER (exact) AS BIGINT) AS hits FROM t JOIN orders ON l_orderkey = o_orderkey WHERE pairs = 3 AND o_orderkey % 50 = 0 GROUP BY 1),
-  k AS (SELECT *, unnest(range(0, 401)) AS k FROM g), p AS (SELECT family, n, hits, least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(1 / 6.0) + (n - k) * ln(5 / 6.0)))) AS p FROM k WHERE k >= hits AND k <= n GROUP BY ALL),
+@query("ladder_tests", "WITH " + _LADDER + """, g AS (SELECT o_orderpriority AS family, count(*) AS n, CAST(count(*) FILTER (exact) AS BIGINT) AS hits FROM t JOIN orders ON l_orderkey = o_orderkey WHERE pairs = 3 GROUP BY 1),
+  k AS (SELECT *, unnest(range(hits, n + 1)) AS k FROM g), p AS (SELECT family, n, hits, least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(1 / 6.0) + (n - k) * ln(5 / 6.0)))) AS p FROM k GROUP BY ALL),
   h AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, family) + 1)) AS a FROM p) SELECT family, n, hits, round(p, 6) AS p, round(max(a) OVER (ORDER BY p, family ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM h""")
 def ladder_tests(spark, sf_dir):
     """Per family, how often ladders of three levels are in exact order, its binomial tail and Holm's correction."""
     k = C.kendall(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity").filter("pairs = 3")
-    g = k.join(table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("long")).alias("hits"))
-    p = g.withColumn("p", F.least(F.lit(1.0), C.binomial_upper(F.col("hits"), F.col("n"), 1 / 6, 400)))
+    g = k.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("long")).alias("hits"))
+    p = g.withColumn("p", binomial_upper(F.col("hits"), F.col("n"), 1 / 6))
     return C.holm(cut(p), "p", "family").select("family", "n", "hits", *r6("p", "adjusted"))
