@@ -152,8 +152,10 @@ def mark_lines(docs: DataFrame, runs: LineRuns) -> DataFrame:
     heavy = materialize(runs.heavy(), "heavy")
     repeated = materialize(runs.repeated(), "repeated")
     light = repeated.join(F.broadcast(heavy), _HASH, "left_anti")
-    known = lines.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), _HASH, "left")
-    hits = known.filter("hot").select("_k1", "_k2", "pos").unionByName(known.filter("hot IS NULL").join(light.hint("merge"), _HASH, "left_semi").select("_k1", "_k2", "pos"))
+    known = lines.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), _HASH, "left").withColumn("hot", F.col("hot").isNotNull())
+    # Heavy lines are settled; they travel under hashes of their own place, so that no task gets them all.
+    dealt = known.withColumns({"h1": F.when(F.col("hot"), F.xxhash64("_k1", "pos")).otherwise(F.col("h1")), "h2": F.when(F.col("hot"), F.col("_k2")).otherwise(F.col("h2"))})
+    hits = dealt.join(light.withColumn("found", F.lit(True)).hint("merge"), _HASH, "left").filter("hot OR found").select("_k1", "_k2", "pos")
     places = materialize(hits.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("pos")).alias("dropped")), "line-places")
     rows = docs.select(F.struct("*").alias("doc"), *key)
     joined = rows.join(places, ["_k1", "_k2"], "left").select("doc", F.coalesce("dropped", F.expr("cast(array() AS array<int>)")).alias("dropped"))
