@@ -27,12 +27,22 @@ from tessera.streaming import incremental, state
 QUERIES, SQL, query = catalog()
 
 
-def png(pixels: np.ndarray) -> bytes:
-    """A grey 8-bit PNG."""
+def png(pixels: np.ndarray, first: int = 0) -> bytes:
+    """An 8-bit PNG of grey, RGB or RGBA pixels whose rows take the five filters in turn, from ``first`` on."""
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    h, w = pixels.shape
-    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    x = pixels.reshape(*pixels.shape[:2], -1).astype(np.int32)
+    left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    left[:, 1:], up[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
+    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    guesses = [np.zeros_like(x), left, up, (left + up) // 2, np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))]
+    lines = b"".join(bytes([k]) + ((x[y] - guesses[k][y]) & 255).astype(np.uint8).tobytes() for y, k in ((y, (y + first) % 5) for y in range(len(x))))
+    head = struct.pack(">IIBBBBB", x.shape[1], x.shape[0], 8, {1: 0, 3: 2, 4: 6}[x.shape[2]], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def jpeg_head(width: int, height: int) -> bytes:
+    """The markers of a grey JPEG without its picture."""
+    return b"\xff\xd8\xff\xe0\x00\x04\x00\x00\xff\xc0\x00\x0b\x08" + struct.pack(">HHB", height, width, 1) + b"\x01\x11\x00\xff\xd9"
 
 
 def pixels_of(vector: list[float]) -> np.ndarray:
@@ -41,35 +51,39 @@ def pixels_of(vector: list[float]) -> np.ndarray:
 
 
 def _images(spark, sf_dir):
-    """Vectors as PNG files, every eleventh cut short, every thirteenth missing."""
+    """Vectors as image files: grey and RGB PNGs of all filters, every seventh a JPEG, every eleventh cut short, every thirteenth missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [png(pixels_of(v)) for v in batch.column("embedding").to_pylist()]
-            files = [None if i % 13 == 0 else f[:-20] if i % 11 == 0 else f for i, f in zip(batch.column("vec_id").to_pylist(), files, strict=True)]
+            ids, files = batch.column("vec_id").to_pylist(), []
+            for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True):
+                grey = pixels_of(v)
+                f = jpeg_head(8, 8) if i % 7 == 0 else png(grey if i % 2 else np.stack([grey] * 3, 2), i)
+                files.append(None if i % 13 == 0 else f[:-20] if i % 11 == 0 else f)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(files, pa.binary())], ["vec_id", "label", "bytes"])
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").mapInArrow(run, "vec_id bigint, label int, bytes binary")
 
 
-_IMAGES = "x AS (SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN 'missing' WHEN vec_id % 11 = 0 THEN 'corrupt' ELSE '' END AS error FROM embeddings)"
+_IMAGES = """x AS (SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN 'missing' WHEN vec_id % 11 = 0 THEN 'corrupt' WHEN vec_id % 7 = 0 THEN 'unsupported' ELSE '' END AS error, CASE WHEN vec_id % 13 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN 'JPEG' ELSE 'PNG' END AS format,
+  vec_id % 13 <> 0 AND NOT (vec_id % 11 = 0 AND vec_id % 7 = 0) AS sized FROM embeddings)"""
 
 
-@query("image_audit", "WITH " + _IMAGES + " SELECT vec_id, error <> 'missing' AS present, error = '' AS decodable, CASE WHEN error <> 'missing' THEN 8 ELSE 0 END AS width, CASE WHEN error <> 'missing' THEN 8 ELSE 0 END AS height, CASE WHEN error <> 'missing' THEN 'L' END AS mode, error FROM x")
+@query("image_audit", "WITH " + _IMAGES + " SELECT vec_id, error <> 'missing' AS present, error = '' AS decodable, CASE WHEN sized THEN 8 ELSE 0 END AS width, CASE WHEN sized THEN 8 ELSE 0 END AS height, CASE WHEN sized THEN CASE WHEN format = 'JPEG' OR vec_id % 2 = 1 THEN 'L' ELSE 'RGB' END END AS mode, format, error FROM x")
 def image_audit(spark, sf_dir):
-    """Presence, decoding, header and error of each image."""
-    return images.audit(_images(spark, sf_dir), keys=("vec_id",)).select("vec_id", "present", "decodable", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height")), "mode", "error")
+    """Presence, decoding, format, header and error of each image."""
+    return images.audit(_images(spark, sf_dir), keys=("vec_id",)).select("vec_id", "present", "decodable", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height")), "mode", "format", "error")
 
 
-@query("image_integrity", "WITH " + _IMAGES + " SELECT label, count(*) AS n, CAST(count(*) FILTER (error = 'missing') AS BIGINT) AS missing, CAST(count(*) FILTER (error = 'missing') AS BIGINT) AS wrong_size, CAST(count(*) FILTER (error = 'corrupt') AS BIGINT) AS unreadable, CAST(count(*) FILTER (error = '') AS BIGINT) AS compliant FROM x GROUP BY label")
+@query("image_integrity", "WITH " + _IMAGES + " SELECT label, count(*) AS n, CAST(count(*) FILTER (error = 'missing') AS BIGINT) AS missing, CAST(count(*) FILTER (NOT sized) AS BIGINT) AS wrong_size, CAST(count(*) FILTER (error IN ('corrupt', 'unsupported')) AS BIGINT) AS unreadable, CAST(count(*) FILTER (error = '') AS BIGINT) AS compliant FROM x GROUP BY label")
 def image_integrity(spark, sf_dir):
     """Images by label as the modality."""
     return images.integrity(images.audit(_images(spark, sf_dir), keys=("vec_id", "label")), "label", 8, 8)
 
 
-@query("image_headers", "WITH " + _IMAGES + " SELECT CASE WHEN error <> 'missing' THEN 8 ELSE 0 END AS width, CASE WHEN error <> 'missing' THEN 8 ELSE 0 END AS height, count(*) AS n FROM x GROUP BY ALL")
+@query("image_headers", "WITH " + _IMAGES + " SELECT CASE WHEN format = 'PNG' THEN 8 ELSE 0 END AS width, CASE WHEN format = 'PNG' THEN 8 ELSE 0 END AS height, count(*) AS n FROM x GROUP BY ALL")
 def image_headers(spark, sf_dir):
-    """B9 without Python: sizes from the headers alone."""
+    """B9 without Python: sizes of PNG files from the headers alone."""
     w, h = images.png_header("bytes")
     return _images(spark, sf_dir).groupBy(F.coalesce(w, F.lit(0)).alias("width"), F.coalesce(h, F.lit(0)).alias("height")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -1,81 +1,25 @@
-"""Images in columns: an audit of PNG bytes and a 64-bit perceptual hash, in Arrow batches."""
+"""Images in columns: an audit of their bytes and a 64-bit perceptual hash, in Arrow batches."""
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Colour type of a PNG -> mode and channels; others are readable by size only.
-_MODES = {0: ("L", 1), 2: ("RGB", 3), 6: ("RGBA", 4)}
-
-
-def png_pixels(data: bytes) -> tuple[str, np.ndarray | None]:
-    """('', pixels), or why there are none: missing, corrupt, or unsupported (a sound file of another kind)."""
-    if not data:
-        return "missing", None
-    if data[:8] != _SIGNATURE:
-        return "corrupt", None
-    at, packed, head = 8, b"", None
-    try:
-        while True:
-            size, kind = struct.unpack(">I4s", data[at : at + 8])
-            body = data[at + 8 : at + 8 + size]
-            if len(body) != size or struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] != zlib.crc32(kind + body):
-                return "corrupt", None
-            at += 12 + size
-            if kind == b"IHDR":
-                head = struct.unpack(">IIBBBBB", body)
-            elif kind == b"IDAT":
-                packed += body
-            elif kind == b"IEND":
-                break
-        width, height, depth, colour, _, _, interlaced = head
-        raw = zlib.decompress(packed)
-    except (struct.error, zlib.error, TypeError):
-        return "corrupt", None
-    if depth != 8 or interlaced or colour not in _MODES:
-        return "unsupported", None
-    step = _MODES[colour][1]
-    if len(raw) != height * (1 + width * step):
-        return "corrupt", None
-    rows, above = [], np.zeros(width * step, np.int32)
-    for y in range(height):
-        line = np.frombuffer(raw, np.uint8, 1 + width * step, y * (1 + width * step)).astype(np.int32)
-        above = _unfilter(int(line[0]), line[1:], above, step)
-        rows.append(above)
-    return "", np.array(rows, np.uint8).reshape(height, width, step)
-
-
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 2:
-        return (line + above) & 255
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, step), axis=0).reshape(-1) & 255
-    out = line.copy()
-    for i in range(len(out)):
-        left, up = int(out[i - step]) if i >= step else 0, int(above[i])
-        corner = int(above[i - step]) if i >= step else 0
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            p = left + up - corner
-            guess = min((left, up, corner), key=lambda v: abs(p - v))  # the order is that of preference
-        out[i] = (int(line[i]) + guess) & 255
-    return out
+from tessera.sources.raster import PNG, decode
+
+#: Bytes of files that are decoded together.
+SLICE_BYTES = 8 << 20
 
 
 def perceptual_hash(pixels: np.ndarray) -> int:
     """Signs of the low 8 x 8 cosine coefficients of a 32 x 32 grey thumbnail against their median."""
-    grey = pixels[..., :3].astype(np.float64).mean(axis=2)
+    colours = 3 if pixels.shape[2] >= 3 else 1  # transparency does not count
+    grey = pixels[..., :colours].astype(np.float64).mean(axis=2)
     ys, xs = (np.linspace(0, n, 33).astype(int) for n in grey.shape)
     # A cell below one pixel takes the pixel it starts in; reduceat does so where a start is not below the next.
     sums = np.add.reduceat(np.add.reduceat(grey, ys[:-1], axis=0), xs[:-1], axis=1)
@@ -88,22 +32,31 @@ def perceptual_hash(pixels: np.ndarray) -> int:
 
 
 def audit(df: DataFrame, content: str = "bytes", keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keys..., present, decodable, width, height, mode, error, sha256, phash (16 hex digits) of each image.
+    """keys..., sha256, present, decodable, width, height, mode, format, error, phash (16 hex digits) of each image.
 
-    Null or empty bytes are missing; a sound PNG of another kind than 8-bit grey, RGB or RGBA is unsupported, not corrupt.
+    Null or empty bytes are missing; bytes of no known format, and files that are not sound, are corrupt.  PNG files of
+    any kind are decoded, ``SLICE_BYTES`` of files together; of JPEG, GIF, BMP, WebP and TIFF the header is read, and
+    they are unsupported, not corrupt.
     """
-    fields = [("present", pa.bool_(), "boolean"), ("decodable", pa.bool_(), "boolean"), ("width", pa.int32(), "int"), ("height", pa.int32(), "int"), ("mode", pa.string(), "string"), ("error", pa.string(), "string"), ("phash", pa.string(), "string")]
+    fields = [("present", pa.bool_(), "boolean"), ("decodable", pa.bool_(), "boolean"), ("width", pa.int32(), "int"), ("height", pa.int32(), "int"), ("mode", pa.string(), "string"), ("format", pa.string(), "string"), ("error", pa.string(), "string"), ("phash", pa.string(), "string")]
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        start = held = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(content)), 0).to_pylist()):
+            if i > start and held + n > SLICE_BYTES:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield batch.slice(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for data in batch.column(content).to_pylist():
-                error, pixels = png_pixels(data or b"")
-                size = struct.unpack(">II", data[16:24]) if data and data[:8] == _SIGNATURE and len(data) >= 24 else (None, None)
-                mode = _MODES.get(data[25], ("other", 0))[0] if size[0] is not None and len(data) > 25 else None
-                found.append((error != "missing", pixels is not None, *size, mode, error, f"{perceptual_hash(pixels):016x}" if pixels is not None else None))
-            cols = [pa.array([f[i] for f in found], t) for i, (_, t, _) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("sha256"), *cols], [*keys, "sha256", *(n for n, _, _ in fields)])
+            for part in parts(batch):
+                found = []
+                for p in decode(part.column(content).to_pylist()):
+                    found.append((p.error != "missing", p.pixels is not None, p.width, p.height, p.mode, p.format, p.error, f"{perceptual_hash(p.pixels):016x}" if p.pixels is not None else None))
+                cols = [pa.array([f[i] for f in found], t) for i, (_, t, _) in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("sha256"), *cols], [*keys, "sha256", *(n for n, _, _ in fields)])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sha256 string", *(f"{n} {s}" for n, _, s in fields)])
@@ -112,7 +65,7 @@ def audit(df: DataFrame, content: str = "bytes", keys: tuple[str, ...] = ("id",)
 
 def png_header(content: str) -> tuple[Column, Column]:
     """Width and height from the header alone, without Python; null if the bytes are no PNG."""
-    ok = F.hex(F.substring(content, 1, 8)) == _SIGNATURE.hex().upper()
+    ok = F.hex(F.substring(content, 1, 8)) == PNG.hex().upper()
     number = lambda at: F.when(ok, F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int"))
     return number(17), number(21)
 

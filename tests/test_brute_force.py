@@ -198,7 +198,7 @@ def test_perceptual_hashes(spark, sf):
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").limit(300).collect()}
     got = {r.vec_id: r.phash for r in registry.queries()["image_hashes"](spark, sf).collect()}
     for i in list(vectors)[:6]:
-        assert got[i] == (None if i % 13 == 0 or i % 11 == 0 else f"{plain(pixels_of(vectors[i])):016x}")
+        assert got[i] == (None if i % 13 == 0 or i % 11 == 0 or i % 7 == 0 else f"{plain(pixels_of(vectors[i])):016x}")
 
 
 @pytest.mark.parametrize("name", ["pca_ridge", "decision_classifier", "boosted_trees"])
