@@ -79,7 +79,8 @@ def pair_records(links: DataFrame, m: Measures, tier: Column) -> DataFrame:
         (F.col("a.person") == F.col("b.person")).alias("same_person"), "same_cloth", (~F.col("same_cloth") & (F.col("hamming") == 0)).alias("same_family"),
         (~F.col("same_cloth") & F.col("hamming").between(1, FAMILY_BITS)).alias("near_family"), "hamming", _constant(m.body).alias("body_constant"), "varying",
         (F.size("varying") == 1).alias("single_variable"), F.concat(F.lit("garment_"), F.array_join("varying", "_and_"), F.when(F.size("varying") == 1, "_only").otherwise("")).alias("intervention"),
-        *((F.col(f"b.{f}") - F.col(f"a.{f}")).alias(f"delta_{f}") for f in (*m.garment, m.ease)), F.col(f"a.{m.ease}").alias("anchor_ease"),
+        *((F.col(f"b.{f}") - F.col(f"a.{f}")).alias(f"delta_{f}") for f in (*m.garment, m.ease)),
+        *(F.col(f"{side}.{f}").alias(f"{name}_{f}") for f in (*m.garment, m.ease, "target") for side, name in (("a", "anchor"), ("b", "counterfactual"))),
         ((F.col("a.quality_status") == "VALID") & (F.col("b.quality_status") == "VALID")).alias("both_valid"), (F.col("a.usable") & F.col("b.usable")).alias("both_usable"),
         dup.alias("contaminated"), reduce(lambda x, y: x | y, map(_either, PAIR_LEAKS)).alias("leaks"),
         (F.col("a.split") != F.col("b.split")).alias("cross_split"), F.col("a.split").alias("anchor_split"), F.col("a.shard").alias("anchor_shard"), F.col("a.quality_status").alias("anchor_quality"),
@@ -125,13 +126,44 @@ def pair_summary(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cross_split").cast("long")).alias("cross_split"), F.avg("control_score").alias("mean_score"), F.count_distinct("intervention").alias("interventions"))
 
 
-def validate_pairs(pairs: DataFrame) -> DataFrame:
-    """One row of counts that must be zero in a sound pair table, and whether they are."""
-    row = pairs.agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("anchor_id") == F.col("counterfactual_id")).cast("long")).alias("self_pairs"), (F.count(F.lit(1)) - F.count_distinct("pair_id")).alias("repeated_pairs"),
-        F.sum((F.col("pair_id") != pair_id("anchor_id", "counterfactual_id")).cast("long")).alias("wrong_ids"), F.sum((F.col("control_score") < 0).cast("long") + (F.col("control_score") > 1).cast("long")).alias("bad_scores"),
-    )
-    return row.withColumn("sound", (F.col("self_pairs") == 0) & (F.col("repeated_pairs") == 0) & (F.col("wrong_ids") == 0) & (F.col("bad_scores") == 0))
+class PairError(ValueError):
+    """A pair table breaks its contract."""
+
+
+def required_columns(m: Measures) -> list[str]:
+    """Columns of a pair table that validation reads."""
+    return ["pair_id", "anchor_id", "counterfactual_id", "tier", "control_score", "anchor_target", "counterfactual_target", *(f"{side}_{f}" for f in (*m.garment, m.ease) for side in ("delta", "anchor", "counterfactual"))]
+
+
+def validate_pairs(pairs: DataFrame, m: Measures, tolerance: float = 1e-9) -> DataFrame:
+    """One row of counts that must be zero in a sound pair table, and whether they are.
+
+    Self pairs, unordered pairs beyond their first, ids that are not those of their samples, deltas that the recorded
+    measures do not give within ``tolerance`` (a missing one does not either), pairs of one target, and scores outside
+    0 to 1.  An empty table is sound.  A column that is not there is a ``PairError``.
+    """
+    missing = [c for c in required_columns(m) if c not in pairs.columns]
+    if missing:
+        raise PairError(f"missing columns: {missing}")
+    count = lambda broken: F.count_if(F.coalesce(broken, F.lit(True)))
+    off = lambda f: F.abs(F.col(f"counterfactual_{f}") - F.col(f"anchor_{f}") - F.col(f"delta_{f}")) > tolerance
+    ends = F.struct(F.least("anchor_id", "counterfactual_id"), F.greatest("anchor_id", "counterfactual_id"))
+    checks = {
+        "self_pairs": count(F.col("anchor_id") == F.col("counterfactual_id")), "repeated_pairs": F.count(F.lit(1)) - F.count_distinct(ends), "wrong_ids": count(F.col("pair_id") != pair_id("anchor_id", "counterfactual_id")),
+        "wrong_deltas": reduce(lambda x, y: x + y, (count(off(f)) for f in (*m.garment, m.ease))), "same_target": count(F.col("anchor_target") == F.col("counterfactual_target")), "bad_scores": count(~F.col("control_score").between(0.0, 1.0)),
+    }
+    row = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pair_id").alias("ids"), *(c.alias(name) for name, c in checks.items()))
+    return row.withColumn("sound", reduce(lambda x, y: x & y, (F.col(name) == 0 for name in checks)))
+
+
+def require_sound(pairs: DataFrame, m: Measures, require_rows: bool = False) -> dict:
+    """The counts of ``validate_pairs``; raises a ``PairError`` if one is not zero, or if rows are required and there are none."""
+    found = validate_pairs(pairs, m).first().asDict()
+    if require_rows and not found["n"]:
+        raise PairError("the pair table is empty")
+    if not found["sound"]:
+        raise PairError(f"pair table is not sound: {found}")
+    return found
 
 
 def shortcut_audit(pairs: DataFrame, delta: str) -> DataFrame:

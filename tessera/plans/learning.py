@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import with_places
 from tessera.functions.scratch import cut, scratch_path
 from tessera.operators import mesh as H
 from tessera.operators import models as M
@@ -69,13 +70,14 @@ def source_inventory(spark, sf_dir):
     return i.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "rows", (F.col("bytes") > 0).alias("sized"))
 
 
-@query("rehydrate", "SELECT p_partkey, p_name, true AS intact FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+@query("rehydrate", "SELECT row_number() OVER (ORDER BY p_partkey % 20, p_partkey) AS place, p_partkey, p_name, true AS intact FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def rehydrate(spark, sf_dir):
-    """Wanted ids back to their rows, content verified by its hash."""
+    """Wanted ids back to their rows, in the order of shards and rows, content verified by its hash."""
     part = table(spark, sf_dir, "part")
-    manifest = part.select("p_partkey", F.sha2("p_name", 256).alias("sha"))
+    manifest = part.select("p_partkey", (F.col("p_partkey") % 20).alias("shard"), F.sha2("p_name", 256).alias("sha"))
     wanted = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
-    return inventory.verify_bytes(inventory.look_up(wanted, manifest, "p_partkey"), part, ["p_partkey"], "p_name", "sha").select("p_partkey", "p_name", "intact")
+    found = inventory.verify_bytes(inventory.look_up(wanted, manifest, "p_partkey"), part, ["p_partkey"], "p_name", "sha")
+    return with_places(found, ["shard", "p_partkey"]).select("place", "p_partkey", "p_name", "intact")
 
 
 #: A vector's 64 numbers as 22 vertices: triples from every third place, the last three places for the last.

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import with_places
 from tessera.functions import scalars as S
 from tessera.operators import contracts as K
 from tessera.operators import discovery as V
@@ -63,11 +64,14 @@ def _pairs(spark, sf_dir):
     return P.build_pairs(manifest(spark, sf_dir), MEASURES)
 
 
-@query("tiered_pairs", "WITH " + _PAIRS + " SELECT pair_id, anchor_id, counterfactual_id, tier, hamming, intervention, delta_bust, delta_ease, confounds, round(CAST(control_score AS DOUBLE), 6) AS control_score FROM scored")
+_REASON = "'tier ' || tier || '; same person; ' || CASE WHEN same_cloth THEN 'same cloth' ELSE 'different cloth' END || '; changes ' || intervention"
+
+
+@query("tiered_pairs", "WITH " + _PAIRS + f" SELECT row_number() OVER (ORDER BY tier, pair_id) AS place, pair_id, anchor_id, counterfactual_id, tier, hamming, intervention, delta_bust, delta_ease, confounds, round(CAST(control_score AS DOUBLE), 6) AS control_score, {_REASON} AS reason FROM scored")
 def tiered_pairs(spark, sf_dir):
-    """D2, D3, D9, B14-B16, C3-C9, F7, F8."""
-    p = _pairs(spark, sf_dir)
-    return p.select("pair_id", "anchor_id", "counterfactual_id", "tier", F.col("hamming").cast("long").alias("hamming"), "intervention", "delta_bust", "delta_ease", F.array_join("confound_flags", ",").alias("confounds"), *r6("control_score"))
+    """Pairs in their order, by tier and id."""
+    p = _pairs(spark, sf_dir).select("pair_id", "anchor_id", "counterfactual_id", "tier", F.col("hamming").cast("long").alias("hamming"), "intervention", "delta_bust", "delta_ease", F.array_join("confound_flags", ",").alias("confounds"), *r6("control_score"), "reason")
+    return with_places(p, ["tier", "pair_id"])
 
 
 @query("pair_summary", "WITH " + _PAIRS + " SELECT tier, count(*) AS n, CAST(count(*) FILTER (cross_split) AS BIGINT) AS cross_split, round(avg(control_score), 6) AS mean_score, count(DISTINCT intervention) AS interventions FROM scored GROUP BY tier")
@@ -76,12 +80,28 @@ def pair_summary(spark, sf_dir):
     return P.pair_summary(_pairs(spark, sf_dir)).select("tier", "n", "cross_split", *r6("mean_score"), "interventions")
 
 
-@query("pair_validation", "WITH " + _PAIRS + """ SELECT count(*) AS n, CAST(count(*) FILTER (anchor_id = counterfactual_id) AS BIGINT) AS self_pairs, count(*) - count(DISTINCT pair_id) AS repeated_pairs,
-  CAST(count(*) FILTER (pair_id <> 'cf_' || substr(sha256(least(anchor_id, counterfactual_id) || '|' || greatest(anchor_id, counterfactual_id)), 1, 24)) AS BIGINT) AS wrong_ids, CAST(count(*) FILTER (NOT control_score BETWEEN 0 AND 1) AS BIGINT) AS bad_scores,
-  count(*) = count(DISTINCT pair_id) AND count(*) FILTER (anchor_id = counterfactual_id OR NOT control_score BETWEEN 0 AND 1) = 0 AS sound FROM scored""")
+#: Pairs as built, and with faults by the last digit of their ids: a wrong delta, a wrong id, a pair of one sample, of one target, a repeated row.
+_FAULTS = ", plain AS (SELECT right(pair_id, 1) AS d, * FROM scored), t AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS kind, {'pair_id' if not bad else "CASE WHEN d = 'b' THEN 'x' || pair_id ELSE pair_id END"} AS pair_id, anchor_id, {'counterfactual_id' if not bad else "CASE WHEN d = 'c' THEN anchor_id ELSE counterfactual_id END"} AS counterfactual_id, {'0' if not bad else "CAST(d = 'a' AS INTEGER)"} AS off, {'0' if not bad else "CAST(d = 'd' AS INTEGER)"} AS alike FROM plain{' WHERE ' + where if where else ''}"
+    for name, bad, where in (("built", False, ""), ("faulty", True, ""), ("faulty", True, "d = 'e'"))
+) + ")"
+
+
+@query("pair_validation", "WITH " + _PAIRS + _FAULTS + """, c AS (SELECT kind, count(*) AS n, count(DISTINCT pair_id) AS ids, CAST(count(*) FILTER (anchor_id = counterfactual_id) AS BIGINT) AS self_pairs, count(*) - count(DISTINCT least(anchor_id, counterfactual_id) || ' ' || greatest(anchor_id, counterfactual_id)) AS repeated_pairs,
+  CAST(count(*) FILTER (pair_id <> 'cf_' || substr(sha256(least(anchor_id, counterfactual_id) || '|' || greatest(anchor_id, counterfactual_id)), 1, 24)) AS BIGINT) AS wrong_ids, CAST(sum(off) AS BIGINT) AS wrong_deltas, CAST(sum(alike) AS BIGINT) AS same_target, CAST(0 AS BIGINT) AS bad_scores FROM t GROUP BY kind)
+  SELECT *, self_pairs + repeated_pairs + wrong_ids + wrong_deltas + same_target = 0 AS sound FROM c""")
 def pair_validation(spark, sf_dir):
-    """E24."""
-    return P.validate_pairs(_pairs(spark, sf_dir))
+    """Pairs as built, and the same with faults of every kind."""
+    from tessera.functions.scratch import cut
+
+    built = cut(_pairs(spark, sf_dir))
+    digit = F.substring("pair_id", -1, 1)
+    faulty = built.withColumn("d", digit).withColumns({
+        "delta_bust": F.when(F.col("d") == "a", F.col("delta_bust") + 0.5).otherwise(F.col("delta_bust")), "pair_id": F.when(F.col("d") == "b", F.concat(F.lit("x"), "pair_id")).otherwise(F.col("pair_id")),
+        "counterfactual_id": F.when(F.col("d") == "c", F.col("anchor_id")).otherwise(F.col("counterfactual_id")), "counterfactual_target": F.when(F.col("d") == "d", F.col("anchor_target")).otherwise(F.col("counterfactual_target")),
+    })
+    faulty = faulty.unionByName(faulty.filter("d = 'e'"))
+    return P.validate_pairs(built, MEASURES).withColumn("kind", F.lit("built")).unionByName(P.validate_pairs(faulty, MEASURES).withColumn("kind", F.lit("faulty")))
 
 
 def _purity_sql(label: str) -> str:
