@@ -8,33 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import with_flag
+from tessera.functions.scratch import cut
 
 
-def key_statistics(df: DataFrame, key: str, split: str, train: str = "train", held: str = "eval") -> DataFrame:
-    """Per non-null key: n, and whether rows of both splits have it.  Counts are combined before they are shuffled."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), (F.max(F.col(split) == train) & F.max(F.col(split) == held)).alias("both"),
-    )
-
-
-def annotate(df: DataFrame, keys: dict[str, str | list[str]], split: str = "split", leaks: list[str] | None = None) -> DataFrame:
+def annotate(df: DataFrame, keys: dict[str, str | list[str]], split: str = "split", leaks: list[str] | None = None, train: str = "train", held: str = "eval") -> DataFrame:
     """Adds duplicate_<name> and leakage_<name> for each ``keys`` entry name -> key column, or columns of a joint key.
 
-    A key with a null part is neither.  ``leaks`` names the entries that get a leakage column (default: all).  Rows of
-    all keys are counted by one aggregation over (entry, key); of its result only keys that repeat are joined back.
+    A key with a null part is neither.  ``leaks`` names the entries that get a leakage column (default: all).  The rows
+    are written once, under numbers.  One aggregation counts all (entry, key), the key by a hash of 128 bits; those that
+    repeat meet the numbers of their rows, each row's flags are gathered into two bit masks, and these are joined back.
     """
-    out = df
-    for name, key in keys.items():
-        parts = [key] if isinstance(key, str) else key
-        known = reduce(lambda a, b: a & b, (F.col(p).isNotNull() for p in parts))
-        joint = F.when(known, F.struct(*parts)) if len(parts) > 1 else F.col(parts[0])
-        out = out.withColumn("_key", joint)
-        stats = key_statistics(out, "_key", split).filter("n > 1").select(F.col("_key").alias("_k"), F.col("both").alias("_b"))
-        out = out.join(stats, out["_key"] == stats["_k"], "left").withColumn(f"duplicate_{name}", F.col("_k").isNotNull())
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    parts = {name: [key] if isinstance(key, str) else key for name, key in keys.items()}
+    known = lambda cols: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols))
+    entry = lambda i, cols: F.when(known(cols), F.struct(F.lit(i).alias("e"), F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(i + 1), *cols).alias("h2")))
+    cells = rows.select("_row", (F.col(split) == train).alias("t"), (F.col(split) == held).alias("h"), F.explode(F.array(*(entry(i, cols) for i, cols in enumerate(parts.values())))).alias("k")).filter("k IS NOT NULL")
+    cells = cells.select("_row", "t", "h", "k.*")
+    repeated = cells.groupBy("e", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), (F.max("t") & F.max("h")).alias("both")).filter("n > 1").select("e", "h1", "h2", "both")
+    bit = F.expr("shiftleft(1L, e)")
+    masks = cells.select("_row", "e", "h1", "h2").join(repeated, ["e", "h1", "h2"]).groupBy("_row").agg(F.bit_or(bit).alias("_dup"), F.bit_or(F.when(F.col("both"), bit).otherwise(F.lit(0).cast("long"))).alias("_leak"))
+    out = rows.join(masks, "_row", "left")
+    has = lambda mask, i: F.coalesce(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+    added = []
+    for i, name in enumerate(parts):
+        added.append(has("_dup", i).alias(f"duplicate_{name}"))
         if leaks is None or name in leaks:
-            out = out.withColumn(f"leakage_{name}", F.coalesce(F.col("_b"), F.lit(False)))
-        out = out.drop("_k", "_b", "_key")
-    return out
+            added.append(has("_leak", i).alias(f"leakage_{name}"))
+    return out.select(*df.columns, *added)
 
 
 def any_of(prefix: str, names: list[str]) -> Column:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import flags, out_of_bounds
@@ -39,8 +38,7 @@ def flag_ranking(df: DataFrame, flags_column: str = "quality_flags") -> DataFram
 
 
 def evidence(df: DataFrame, key: str, k: int = 5, flags_column: str = "quality_flags") -> DataFrame:
-    """The first ``k`` keys of each flag, kept by bounded arrays that are merged, not by sorting a flag's rows."""
-    cells = df.select(F.explode(flags_column).alias("flag"), F.col(key).alias("key"))
-    lots = cells.groupBy("flag", F.pmod(F.xxhash64("key"), F.lit(64)).alias("lot")).agg(F.slice(F.array_sort(F.collect_set("key")), 1, k).alias("keys"))
-    firsts = lots.groupBy("flag").agg(F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, k).alias("keys"))
-    return firsts.select("flag", F.posexplode("keys").alias("rank", "key")).withColumn("rank", F.col("rank") + 1)
+    """The first ``k`` distinct keys of each flag; every partition is cut to ``k`` a flag before a flag's keys meet."""
+    cells = df.select(F.explode(flags_column).alias("flag"), F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
+    order = Window.partitionBy("flag").orderBy("key")
+    return cells.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("flag", "rank", "key")
