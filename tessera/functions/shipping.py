@@ -14,10 +14,15 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Add the package to the application's Python files, unless workers find it on PYTHONPATH or in their folder."""
+    """Add the package to the application's Python files.
+
+    Only in one local process, whose workers share the driver's folder and PYTHONPATH, may it be left out: executors of a
+    cluster have neither.
+    """
     paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED or ROOT in paths or Path.cwd().resolve() == ROOT:
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    local = master == "local" or master.startswith("local[")
+    if app in _SHIPPED or local and (ROOT in paths or Path.cwd().resolve() == ROOT):
         return
     archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera.zip"
     with zipfile.ZipFile(archive, "w") as z:
