@@ -34,6 +34,8 @@ PART_BYTES, PARTS = 4 << 20, (16, 1 << 16)
 KEY_BITS, MARKS, BITMAP = 32, 32, (20, 30)
 #: n-grams of a task that are sorted together, and bytes of text that are cut into words together.
 RUN_GRAMS, SLICE_BYTES = 4 << 20, 8 << 20
+#: Counted phrases of a task that are added up together; it holds up to twice as many.
+RUN_ROWS = 1 << 20
 #: Counts of a summary stop here, far above any threshold in use.
 MOST = 2**31 - 1
 
@@ -262,10 +264,31 @@ def _counts(shared, longest: int):
         _, first, inverse, n = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
         return first, inverse, n
 
+    names = ["lang", "phrase", "words", "n"]
+
+    def added_up(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).group_by(names[:3]).aggregate([("n", "sum")])
+        return table.rename_columns(names).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a task's slices are added up before they leave it, ``RUN_ROWS`` at a time."""
+        held, fresh = [], 0
+        for rows in counts(batches):
+            held.append(rows)
+            fresh += rows.num_rows
+            if fresh >= RUN_ROWS:
+                held = added_up(held)
+                n = sum(x.num_rows for x in held)
+                if n > RUN_ROWS:
+                    yield from held
+                    held = []
+                fresh = 0
+        if held:
+            yield from added_up(held)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         shift = np.uint64(64 - (len(bitmap).bit_length() + 5))
-        names = ["lang", "phrase", "words", "n"]
         for batch in batches:
             for texts, codes, langs in _texts(batch):
                 t = Tokens(texts, codes)
