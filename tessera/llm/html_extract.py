@@ -6,7 +6,8 @@ path are smoothed over its neighbours in page order and fused by their product,
 times a prior: paths in ``article`` or ``main`` weigh more, paths under a telling class or id less.  Paths whose fused
 ratio reaches a share of the page's best are content paths.  The element that holds most of their text is the article:
 blocks of content paths in it are kept, and so is what stands among them - headings, lists, captions - unless it is
-link text or its name tells against it.
+link text, or stands in an element with a telling name whose own text is not content for the better part.  In an article
+a name never decides alone: it is a factor of the ratio.
 
 Only what a page never shows, and elements and names that say what the contract leaves out whatever the text is like
 (``nav``, ``footer``, ``form``, reader comments), is settled before the ratios.
@@ -40,9 +41,11 @@ BARRIERS = frozenset("article div section table ul ol main body blockquote".spli
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TELLING = re.compile(
-    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|footer|foot|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|"
-    r"signup|login|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|legal|copyright|disclaimer|search|skip|tags?|meta|header)\d*"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|footer|foot|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|"
+    r"signup|login|recommend\w*|widgets?|toolbar|pagination|pager|copyright|disclaimer)\d*"
 )
+#: Words that name a page's furniture as often as a part of an article: in one they only lower its ratio a little.
+DOUBTFUL = re.compile(r"(?:side|share|sharing|social|related|legal|search|skip|tags?|meta|header)\d*")
 PLAIN = frozenset("site page global top bottom left right main primary secondary inner outer box wrap wrapper container content list item items section block area bar panel slot unit row col links link text body the and user users reader readers visitor guest post posts article articles story stories entry".split())
 COMMENT = re.compile(r"(?:comments?|commentlist|disqus|respond|replies|reply)\d*")
 #: Elements that implicitly end an open element of the same kind.
@@ -52,6 +55,8 @@ SELF_CLOSING = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"d
 SHARE, LEAST = 0.25, 1.0
 #: Factors of the prior: in an article, under a name that only tells, under one that tells among other words.
 IN_ARTICLE, TOLD, HINTED = 4.0, 1 / 400, 1 / 6
+#: Factor of a doubtful name in an article, and the part of a named element's text that must be content for the rest of it to stay.
+DOUBTED, BORNE_OUT = 1 / 2, 0.5
 #: Part of the content paths' text that the article's element holds, and of link text from which on a block is links.
 HELD, LINKED = 0.85, 0.8
 
@@ -64,7 +69,8 @@ WORDS = re.compile(r"[a-z0-9]+")
 def prior_of(tag: str, attributes: dict[str, str], inside: bool) -> float:
     """1 for an element that says nothing, 0 for one that is left out whatever it holds, else a factor of its paths.
 
-    ``inside``: it stands in an article or main element, where a header is that of the article.
+    ``inside``: it stands in an article or main element, where a header is that of the article, the name of a heading is
+    taken from its words, and a doubtful name says little.
     """
     if tag in UNSEEN or tag in APART or (tag == "header" and not inside):
         return 0.0
@@ -74,12 +80,19 @@ def prior_of(tag: str, attributes: dict[str, str], inside: bool) -> float:
         return 0.0
     prior = 1.0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        words = [w for w in WORDS.findall(name.lower()) if w not in PLAIN]
-        telling = [bool(TELLING.fullmatch(w)) for w in words]
+        spelled = WORDS.findall(name.lower())
+        words = [w for w in spelled if w not in PLAIN]
         if words and COMMENT.fullmatch(words[0]) and all(map(COMMENT.fullmatch, words)):
             return 0.0
-        if any(telling) and tag not in ("html", "body"):
-            prior = min(prior, TOLD if all(t or COMMENT.fullmatch(w) for t, w in zip(telling, words, strict=True)) else HINTED)
+        if tag in ("html", "body") or inside and tag in HEADINGS:
+            continue
+        sure, doubtful = [bool(TELLING.fullmatch(w)) for w in words], [bool(DOUBTFUL.fullmatch(w)) for w in words]
+        # Several words that are all doubtful or plain, as social-share or related-posts, leave no doubt.
+        if inside and not any(sure) and not (len(spelled) > 1 and all(doubtful) and "header" not in words):
+            if any(d and w != "header" for d, w in zip(doubtful, words, strict=True)):
+                prior = min(prior, DOUBTED)
+        elif any(sure) or any(doubtful):
+            prior = min(prior, TOLD if all(s or d or COMMENT.fullmatch(w) for s, d, w in zip(sure, doubtful, words, strict=True)) else HINTED)
     return prior
 
 
@@ -92,6 +105,8 @@ class Page:
     paths: list[int] = field(default_factory=lambda: [0])
     priors: list[float] = field(default_factory=lambda: [1.0])
     inside: list[bool] = field(default_factory=lambda: [False])
+    #: The outermost element, itself included, whose name tells; 0 for none.
+    named: list[int] = field(default_factory=lambda: [0])
     #: (element, text, characters of link text)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
@@ -167,6 +182,7 @@ def read(html: str) -> Page:
         page.paths.append(numbers.setdefault(name, len(numbers)))
         page.priors.append(prior)
         page.inside.append(page.inside[parent] or tag in ("article", "main"))
+        page.named.append(page.named[parent] or (len(page.tags) - 1 if prior < 1 else 0))
         at_of[tag].append(len(stack))
         stack.append(len(page.tags) - 1)
         splits_to.append(splits_to[-1] + split)
@@ -239,12 +255,16 @@ def extract(html: str | None) -> str:
         up = page.parents[up]
     seeds = [i for i, (e, _, _) in enumerate(page.blocks) if page.paths[e] in content and first <= e <= last]
     loose = page.tags[first] in ("", "html", "body")  # nothing holds the article: only what stands among its blocks is of it
+    # A named element whose text is content for the better part is one of the article, whatever its name.
+    borne: dict[int, float] = defaultdict(float)
+    for element, text, _ in page.blocks:
+        borne[page.named[element]] += len(text) * (1 - BORNE_OUT if page.paths[element] in content else -BORNE_OUT)
     kept = []
     for i, (element, text, link) in enumerate(page.blocks):
         path, heading = page.paths[element], page.tags[element] in HEADINGS
         if first <= element <= last and path in content:
             kept.append(text)
-        elif page.priors[element] < 1 or sums[path][3] > LINKED * sums[path][0]:
+        elif page.named[element] and borne[page.named[element]] < 0 or sums[path][3] > LINKED * sums[path][0]:
             continue
         elif first <= element <= last and (not loose or seeds[0] < i < seeds[-1] or heading and i < seeds[-1]):
             kept.append(text)

@@ -59,6 +59,86 @@ def test_named_blocks_do_not_change_the_article(spark):
         assert X.extract(put(page)) == X.extract(page) != ""
 
 
+PROSE = "The quick study found that results, in most cases, held over years; the team wrote about it at length. " * 3
+NAMED = [
+    '<h2 id="related-work">Work</h2>', '<h2 id="search">Search</h2>', '<h3 class="side-effects">Effects</h3>', f'<section id="legal"><h2>Law</h2><p>{PROSE}</p></section>', f'<p class="meta-analysis">{PROSE}</p>', f'<p id="share">{PROSE}</p>',
+    '<div class="article-header"><h2>Head</h2></div>',
+]
+FURNITURE = [
+    f'<div class="advert"><p>{PROSE}</p></div>', '<div class="share">Share this: <a href=x>X</a></div>', '<div class="related"><h3>Related</h3><ul><li><a href=x>Another article about it</a></li></ul></div>', f'<div class="newsletter-signup"><p>{PROSE}</p></div>',
+    '<p class="meta">By someone</p>', '<section id="tags">one two</section>', f'<div class="social-share"><p>{PROSE}</p></div>',
+]
+
+
+def article(*parts):
+    return f"<html><body><nav>menu</nav><article><h1>T</h1><p>{PROSE}</p>{''.join(parts)}<p>{PROSE}</p></article><footer>f</footer></body></html>"
+
+
+@pytest.mark.parametrize("part", NAMED)
+def test_a_name_never_drops_a_part_of_the_article(part):
+    assert " ".join(X.re.sub("<[^>]*>", " ", part).split()) in X.extract(article(part))
+
+
+@pytest.mark.parametrize("part", FURNITURE)
+def test_furniture_in_the_article_goes(part):
+    assert X.extract(article(part)) == X.extract(article())
+
+
+def pair_of_candidates(rng):
+    """Two candidates under one name, of like length in all: prose, and a list of short labels."""
+    n = rng.randrange(2, 5)
+    prose = "".join(f"<p>{PROSE}</p>" for _ in range(n))
+    labels = "".join(f"<span>{rng.choice(['Red item', 'Blue item', 'Size 12', 'Next'])} {i}</span><br>" for i in range(len(prose) // 12))
+    both = [f"<div class=box>{prose}</div>", f"<div class=box><div>{labels}</div></div>"]
+    rng.shuffle(both)
+    return f"<body>{''.join(both)}</body>", " ".join([PROSE.strip()] * n)
+
+
+def test_constant_ratios_change_what_is_found(monkeypatch):
+    """Ablation: the ratios choose among equal names, and each of text and punctuation and smoothing has its part."""
+    rng = random.Random(8)
+    pages = [pair_of_candidates(rng) for _ in range(40)]
+    assert all(X.extract(h) == want for h, want in pages)
+    full = [X.extract(h) for h, _ in pages] + [X.extract(h) for h in PAGES] + [X.extract(article(x)) for x in NAMED]
+    prior = lambda page, sums: {page.paths[e]: 100 * page.priors[e] * (4 if page.inside[e] else 1) for e, _, _ in page.blocks}
+    monkeypatch.setattr(X, "fused_ratios", prior)
+    flat = [X.extract(h) for h, _ in pages] + [X.extract(h) for h in PAGES] + [X.extract(article(x)) for x in NAMED]
+    assert sum(a != b for a, b in zip(full, flat, strict=True)) >= 0.5 * len(full)
+
+
+def plain_choice(page):
+    """Sums, smoothing, fusing and the threshold, written out path by path."""
+    order = list(dict.fromkeys(page.paths[e] for e, _, _ in page.blocks))
+    of = {p: [(e, t, link) for e, t, link in page.blocks if page.paths[e] == p] for p in order}
+    ratio = {p: sum(len(t) - link for _, t, link in b) / len(b) for p, b in of.items()}
+    marks = {p: sum(len(X.PUNCTUATION.findall(t)) for _, t, _ in b) / len(b) for p, b in of.items()}
+
+    def smooth(v):
+        out = {}
+        for i, p in enumerate(order):
+            near = [v[q] for q in order[max(0, i - 1) : i + 2]]
+            out[p] = v[p] / 2 + sum(near) / len(near) / 2
+        return out
+
+    ratio, marks, fused = smooth(ratio), smooth(marks), {}
+    for p, b in of.items():
+        e = b[-1][0]
+        fused[p] = ratio[p] * (1 + marks[p]) * (1 - sum(link for *_, link in b) / sum(len(t) for _, t, _ in b)) * page.priors[e] * (4 if page.inside[e] else 1)
+    return fused, {p for p, v in fused.items() if v >= max(1, 0.25 * max(fused.values()))}
+
+
+def test_ratios_and_choice_against_brute_force(spark):
+    rng = random.Random(5)
+    pages = [pair_of_candidates(rng)[0] for _ in range(20)] + [article(rng.choice(NAMED), rng.choice(FURNITURE)) for _ in range(60)] + list(PAGES)
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").limit(100).collect()]
+    for html in pages:
+        page = X.read(html or "")
+        if page.blocks:
+            want, content = plain_choice(page)
+            got = X.fused_ratios(page, X.path_sums(page))
+            assert got == pytest.approx(want) and {p for p, v in got.items() if v >= max(X.LEAST, X.SHARE * max(got.values()))} == content
+
+
 def test_path_sums_against_brute_force():
     rng = random.Random(3)
     tags = ["div", "p", "a", "ul", "li", "b", "section", "article"]
