@@ -13,20 +13,37 @@ from tessera.functions.prefix import exact_percentiles
 from tessera.functions.scratch import cut
 
 
+def _spans(v: DataFrame, by: list[str]) -> DataFrame:
+    """Per mesh the largest of its extents; a row per mesh, counted before it is shuffled."""
+    return v.groupBy(*by).agg(F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("span"))
+
+
+def _scaled(v: DataFrame, scales: DataFrame, by: list[str], scale: str) -> DataFrame:
+    return v.join(scales, by).withColumns({c: F.col(c) * F.col(scale) for c in "xyz"}).drop(*(c for c in scales.columns if c not in by))
+
+
 def align_units(v: DataFrame, mesh: str = "mesh_id") -> DataFrame:
     """Coordinates in cm: a mesh whose span is below 10 is in metres."""
-    w = Window.partitionBy(mesh)
-    span = F.greatest(*(F.max(c).over(w) - F.min(c).over(w) for c in "xyz"))
-    scale = F.when(span < 10, 100.0).otherwise(1.0)
-    return v.withColumn("_s", scale).withColumns({c: F.col(c) * F.col("_s") for c in "xyz"}).drop("_s")
+    return _scaled(v, _spans(v, [mesh]).select(mesh, F.when(F.col("span") < 10, 100.0).otherwise(1.0).alias("_s")), [mesh], "_s")
+
+
+def align_pair(cloth: DataFrame, body: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cloth, body, notes) in one unit: of a pair (``by``), the mesh with a span below 10 is in metres if the other's is
+    above 20, and is brought to cm.  ``notes`` says which was, as ``unit_alignment``; a pair that lacks one mesh keeps its unit.
+    """
+    spans = _spans(cloth, by).withColumnRenamed("span", "c").join(_spans(body, by).withColumnRenamed("span", "b"), by, "full")
+    # The spans that tell metres from centimetres, and the names of the corrections.
+    body_small, cloth_small = F.coalesce((F.col("b") < 10) & (F.col("c") > 20), F.lit(False)), F.coalesce((F.col("c") < 10) & (F.col("b") > 20), F.lit(False))
+    scales = cut(spans.select(*by, F.when(cloth_small, 100.0).otherwise(1.0).alias("_c"), F.when(body_small, 100.0).otherwise(1.0).alias("_b"), F.when(body_small, "body_m_to_cm_x100").when(cloth_small, "cloth_m_to_cm_x100").otherwise("1").alias("unit_alignment")))
+    return _scaled(cloth, scales, by, "_c"), _scaled(body, scales, by, "_b"), scales.select(*by, "unit_alignment")
 
 
 def regions(v: DataFrame, mesh: str = "mesh_id") -> DataFrame:
-    """chest, waist, hem or sleeve, by relative height and distance from the middle."""
-    w = Window.partitionBy(mesh)
-    h = F.coalesce(F.try_divide(F.col("y") - F.min("y").over(w), F.max("y").over(w) - F.min("y").over(w)), F.lit(0.0))
-    side = F.abs("x") > 0.7 * F.max(F.abs("x")).over(w)
-    return v.withColumn("_h", h).withColumn("_side", side).withColumn("region", F.when(F.col("_side"), "sleeve").when(F.col("_h") >= 0.6, "chest").when(F.col("_h") >= 0.3, "waist").otherwise("hem")).drop("_h", "_side")
+    """chest, waist, hem or sleeve, by relative height and distance from the middle; a mesh's box is one row, joined back."""
+    box = v.groupBy(mesh).agg(F.min("y").alias("_low"), F.max("y").alias("_high"), F.max(F.abs("x")).alias("_wide"))
+    h = F.coalesce(F.try_divide(F.col("y") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    region = F.when(F.abs("x") > 0.7 * F.col("_wide"), "sleeve").when(h >= 0.6, "chest").when(h >= 0.3, "waist").otherwise("hem")
+    return v.join(box, mesh).withColumn("region", region).drop("_low", "_high", "_wide")
 
 
 def nearest(points: DataFrame, others: DataFrame, group: str, k: int = 1) -> DataFrame:
@@ -78,7 +95,7 @@ def nearest_distance(cloth: DataFrame, body: DataFrame, pair: str = "mesh_id") -
     return rows.join(found, "_pid", "left").select(*cloth.columns, "clearance")
 
 
-def outcomes(v: DataFrame, by: list[str], contact: float = 0.3, tight: float = 1.0) -> DataFrame:
+def outcomes(v: DataFrame, by: list[str], contact: float = 0.4, tight: float = 0.2) -> DataFrame:
     """Per group of ``by``: vertices with a clearance, its mean, p10 and least, and the shares in contact and tight."""
     c = F.col("clearance")
     known = cut(v.filter(c.isNotNull()).select(*by, "clearance"))
@@ -87,6 +104,16 @@ def outcomes(v: DataFrame, by: list[str], contact: float = 0.3, tight: float = 1
     return rest.join(p10, by).select(*by, "n", "mean", "p10", "least", "contact_ratio", "tight_ratio")
 
 
+def pair_outcomes(cloth: DataFrame, body: DataFrame, pair: str = "mesh_id", contact: float = 0.4, tight: float = 0.2) -> DataFrame:
+    """Per pair of meshes and region, and for all regions together (``ALL``): n, mean, p10 and least clearance in cm, the shares
+    in contact and tight, and how the units were aligned.  A region without vertices has no row; a pair without a body has none.
+    """
+    cloth, body, notes = align_pair(cloth, body, [pair])
+    near = nearest_distance(regions(cloth, pair), body, pair)
+    each = near.withColumn("region", F.explode(F.array("region", F.lit("ALL"))))
+    return outcomes(each, [pair, "region"], contact, tight).join(notes, pair)
+
+
 def _plane_distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distance of each point to the plane through its neighbours: the direction in which they spread least."""
     for batch in batches:

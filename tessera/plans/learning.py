@@ -96,7 +96,29 @@ def mesh_clearance(spark, sf_dir):
     """Vectors of one label as cloth and body vertices, with contact and tight ratios."""
     v = _vertices(spark, sf_dir)
     c = H.nearest_distance(v.filter("vec_id % 2 = 0"), v.filter("vec_id % 2 = 1").select("label", "x", "y", "z"), "label")
-    return H.outcomes(c, ["label"]).select("label", "n", *r6("mean", "p10", "least", "contact_ratio", "tight_ratio"))
+    return H.outcomes(c, ["label"], 0.3, 1.0).select("label", "n", *r6("mean", "p10", "least", "contact_ratio", "tight_ratio"))
+
+
+_UNITS = "CASE WHEN label % 3 = {} THEN 1 ELSE 100 END"
+
+
+@query("mesh_outcomes", "WITH " + _VERTICES + f""", a AS (SELECT label, vec_id, x * {_UNITS.format(0)} AS x, y * {_UNITS.format(0)} AS y, z * {_UNITS.format(0)} AS z FROM v WHERE vec_id % 2 = 0), b AS (SELECT label, x * {_UNITS.format(1)} AS x, y * {_UNITS.format(1)} AS y, z * {_UNITS.format(1)} AS z FROM v WHERE vec_id % 2 = 1),
+  sa AS (SELECT label, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS c FROM a GROUP BY 1), sb AS (SELECT label, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS b FROM b GROUP BY 1),
+  u AS (SELECT label, CASE WHEN b < 10 AND c > 20 THEN 'body_m_to_cm_x100' WHEN c < 10 AND b > 20 THEN 'cloth_m_to_cm_x100' ELSE '1' END AS note FROM sa JOIN sb USING (label)),
+  a2 AS (SELECT label, vec_id, x * s AS x, y * s AS y, z * s AS z, note FROM (SELECT *, CASE WHEN note LIKE 'cloth%' THEN 100 ELSE 1 END AS s FROM a JOIN u USING (label))), b2 AS (SELECT label, x * s AS x, y * s AS y, z * s AS z FROM (SELECT *, CASE WHEN note LIKE 'body%' THEN 100 ELSE 1 END AS s FROM b JOIN u USING (label))),
+  k AS (SELECT label, min(y) AS low, max(y) AS high, max(abs(x)) AS wide FROM a2 GROUP BY 1),
+  r AS (SELECT a2.*, CASE WHEN abs(x) > 0.7 * wide THEN 'sleeve' WHEN (y - low) / (high - low) >= 0.6 THEN 'chest' WHEN (y - low) / (high - low) >= 0.3 THEN 'waist' ELSE 'hem' END AS region FROM a2 JOIN k USING (label)),
+  d AS (SELECT r.label, vec_id, r.x, r.y, r.z, region, note, min(sqrt((r.x - b2.x) ^ 2 + (r.y - b2.y) ^ 2 + (r.z - b2.z) ^ 2)) AS d FROM r JOIN b2 ON r.label = b2.label GROUP BY ALL),
+  e AS (SELECT label, region, note, d FROM d UNION ALL SELECT label, 'ALL', note, d FROM d)
+  SELECT label, region, count(*) AS n, round(avg(d), 5) AS mean, round(quantile_cont(d, 0.1), 5) AS p10, round(min(d), 5) AS least, round(avg(CAST(d < 0.4 AS DOUBLE)), 6) AS contact_ratio, round(avg(CAST(d < 0.2 AS DOUBLE)), 6) AS tight_ratio, note AS unit_alignment FROM e GROUP BY ALL""")
+def mesh_outcomes(spark, sf_dir):
+    """Clearance per region, of pairs of which one mesh may be in metres."""
+    v = _vertices(spark, sf_dir)
+    metres = lambda rest: F.when(F.col("label") % 3 == rest, 1.0).otherwise(100.0)
+    cloth = v.filter("vec_id % 2 = 0").select("label", "vec_id", *((F.col(c) * metres(0)).alias(c) for c in "xyz"))
+    body = v.filter("vec_id % 2 = 1").select("label", *((F.col(c) * metres(1)).alias(c) for c in "xyz"))
+    found = H.pair_outcomes(cloth, body, "label")
+    return found.select("label", "region", "n", *(F.round(c, 5).alias(c) for c in ("mean", "p10", "least")), *r6("contact_ratio", "tight_ratio"), "unit_alignment")
 
 
 @query("mesh_wrinkle")

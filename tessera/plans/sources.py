@@ -105,11 +105,38 @@ def hex_distance(spark, sf_dir):
     return d.select("doc_id", S.hamming_hex("a", "b").cast("int").alias("distance"))
 
 
-@query("shard_guard", "SELECT 1 AS shards, true AS complete")
+@query("shard_guard", "SELECT expected, expected = (SELECT count(DISTINCT l_suppkey % 7) FROM lineitem) AS complete FROM range(6, 9) AS r(expected)")
 def shard_guard(spark, sf_dir):
-    """A3: the number of files of a source against the expected number."""
-    files = table(spark, sf_dir, "orders").select("_metadata.file_path").distinct()
-    return files.agg(F.count(F.lit(1)).cast("int").alias("shards")).withColumn("complete", F.col("shards") == 1)
+    """A3: a source of as many shards as order lines have, guarded against three expected numbers."""
+    path = scratch_path(spark, "guarded")
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("shard"), "l_orderkey")
+    lines.repartition("shard").write.partitionBy("shard").parquet(path)
+    found = []
+    for expected in range(6, 9):
+        try:
+            inventory.require_shards(spark.read.parquet(path), expected)
+            found.append((expected, True))
+        except ValueError:
+            found.append((expected, False))
+    return spark.createDataFrame(found, "expected bigint, complete boolean")
+
+
+@query("split_gate", """WITH r AS (SELECT CASE WHEN (l_orderkey * 7 + l_linenumber) % 21 = 0 THEN 'eval' ELSE 'train' END AS split, l_suppkey % 20 AS shard FROM lineitem), c AS (SELECT split, count(*) AS rows, count(DISTINCT shard) AS shards FROM r GROUP BY split),
+  m AS (SELECT *, CAST(CASE split WHEN 'eval' THEN 1000 ELSE 57000 END AS BIGINT) AS expected_rows, CAST(20 AS BIGINT) AS expected_shards FROM c)
+  SELECT *, rows = expected_rows AND shards = expected_shards AS met, CASE WHEN (SELECT bool_and(rows = expected_rows AND shards = expected_shards) FROM m) THEN 'FROZEN' ELSE 'PARTIAL' END AS gate FROM m""")
+def split_gate(spark, sf_dir):
+    """Rows and shards of each split against what a frozen table must have."""
+    split = F.when((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 21 == 0, "eval").otherwise("train")
+    rows = table(spark, sf_dir, "lineitem").select(split.alias("split"), (F.col("l_suppkey") % 20).alias("shard"))
+    return inventory.split_gate(rows, "split", "shard", {"train": 57_000, "eval": 1000}, {"train": 20, "eval": 20})
+
+
+@query("file_fingerprints")
+def file_fingerprints(spark, sf_dir):
+    """Merkle roots of the files of a table, and of the table; a test takes them again with hashlib."""
+    files = inventory.file_fingerprints(spark, f"{sf_dir}/orders.parquet*", 1 << 16)
+    whole = inventory.dataset_fingerprint(files).select(F.lit("ALL").alias("file"), "bytes", "root")
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes", "root").unionByName(whole)
 
 
 @query("located_rows", "SELECT count(*) AS n, count(*) AS rows, CAST(0 AS BIGINT) AS least FROM orders")

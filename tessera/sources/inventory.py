@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ def inventory(df: DataFrame) -> DataFrame:
 
 def require_shards(df: DataFrame, expected: int) -> None:
     """Raises unless the source has exactly ``expected`` files."""
-    found = df.select("_metadata.file_name").distinct().count()
+    found = df.select("_metadata.file_path").distinct().count()
     if found != expected:
         raise ValueError(f"{found} shards found, {expected} expected")
 
@@ -33,6 +33,45 @@ def fingerprint(df: DataFrame, frozen_from: int, columns: list[str] | None = Non
     return row.withColumn("gate", F.when(F.col("n") >= frozen_from, "FROZEN").otherwise("PARTIAL"))
 
 
+def file_fingerprints(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
+    """(path, bytes, chunks, root) of files: the root of a binary Merkle tree over their chunks, in hex.
+
+    A leaf is the SHA-256 of a zero byte and a chunk, a node that of a one byte and its two children; a node without a
+    partner goes up as it is.  A file is read whole by one task; Spark lists no empty files, so those have no row.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), "content")
+    count = F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk)).cast("int")
+    node = lambda mark, data: F.unhex(F.sha2(F.concat(F.lit(bytearray([mark])), data), 256))
+    leaves = F.transform(F.sequence(F.lit(0), count - 1), lambda i: node(0, F.substring("content", i * chunk + 1, F.lit(chunk))))
+
+    def up(level: Column, _: Column) -> Column:
+        pairs = F.sequence(F.lit(0), ((F.size(level) - 1) / 2).cast("int"))
+        joined = lambda i: F.when(2 * i + 1 < F.size(level), node(1, F.concat(F.get(level, 2 * i), F.get(level, 2 * i + 1)))).otherwise(F.get(level, 2 * i))
+        return F.when(F.size(level) == 1, level).otherwise(F.transform(pairs, joined))
+
+    # A file has less than 2 ** 31 bytes, so 31 levels lead to the root whatever the chunk.
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.col("leaves"), up, lambda level: F.lower(F.hex(F.get(level, F.lit(0)))))
+    return files.withColumns({"leaves": leaves, "chunks": count}).select("path", "bytes", "chunks", root.alias("root"))
+
+
+def dataset_fingerprint(files: DataFrame) -> DataFrame:
+    """One row: files, bytes, and the SHA-256 of all roots in the order of the files' names; a file is one short row here."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    roots = F.array_sort(F.collect_list(F.struct(name.alias("name"), "root")))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(F.transform(roots, lambda r: r["root"]), ""), 256).alias("root"))
+
+
+def split_gate(df: DataFrame, split: str, shard: str, expected_rows: dict[str, int], expected_shards: dict[str, int]) -> DataFrame:
+    """Per expected split its rows and shards against what is expected, and ``gate``: FROZEN if every split has both and no
+    row belongs to another split, else PARTIAL."""
+    counts = df.groupBy(F.col(split).alias("split")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(shard).alias("shards"))
+    wanted = df.sparkSession.createDataFrame([(s, n, expected_shards[s]) for s, n in expected_rows.items()], "split string, expected_rows bigint, expected_shards bigint")
+    both = counts.join(F.broadcast(wanted), "split", "full").na.fill(0, ["rows", "shards"])
+    met = F.coalesce((F.col("rows") == F.col("expected_rows")) & (F.col("shards") == F.col("expected_shards")), F.lit(False))
+    whole = both.agg(F.when(F.bool_and(met), "FROZEN").otherwise("PARTIAL").alias("gate"))
+    return both.join(F.broadcast(whole)).select("split", "rows", "shards", "expected_rows", "expected_shards", met.alias("met"), "gate")
+
+
 def schema_difference(found: T.StructType, wanted: T.StructType) -> list[str]:
     """What a schema lacks, has too much, or has in another type; empty if the contract holds."""
     f, w = ({x.name: x.dataType.simpleString() for x in s.fields} for s in (found, wanted))
