@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import half_even
@@ -23,6 +23,59 @@ def varying_groups(df: DataFrame, keys: list[str], columns: list[str], preset: t
     )
 
 
+def _multiple(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Groups of ``keys`` with several rows: ``size`` and, per column, its distinct values ``d_<column>``; null keys are no group."""
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *(F.count_distinct(c).alias(f"d_{c}") for c in columns)).filter("size > 1")
+
+
+def _totals(groups: DataFrame, marks: dict[str, Column], rows: list[str], **more: Column) -> DataFrame:
+    """One row: groups, and per mark how many have it, and for those in ``rows`` how many rows these hold."""
+    marked = groups.withColumns(marks)
+    return marked.agg(
+        F.count(F.lit(1)).alias("groups"), *(F.count_if(m).alias(m) for m in marks), *(F.coalesce(F.sum(F.when(F.col(m), F.col("size"))), F.lit(0)).alias(f"{m}_rows") for m in rows), *(c.alias(name) for name, c in more.items()),
+    )
+
+
+def _varies(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.col(f"d_{c}") > 1 for c in columns))
+
+
+def person_cloth_structure(df: DataFrame, keys: list[str], body: list[str], garment: list[str], target: str, preset: tuple[int, int] = (2, 8)) -> DataFrame:
+    """Same person and cloth, several rows: what differs, groups that make a tier-A comparison (target and garment differ, body
+    constant) and their rows, groups in which one garment measure alone changes, and those of them at preset-like levels."""
+    g = _multiple(df, keys, [*body, *garment, target])
+    changed = reduce(lambda a, b: a + b, ((F.col(f"d_{c}") > 1).cast("int") for c in garment))
+    levels = F.greatest(*(F.col(f"d_{c}") for c in garment), F.lit(0))
+    marks = {"different_target": F.col(f"d_{target}") > 1, "different_garment": _varies(garment), "different_body": _varies(body)}
+    marks |= {"body_constant": ~_varies(body), "tier_a": (F.col(f"d_{target}") > 1) & _varies(garment) & ~_varies(body), "single_variable": changed == 1, "preset_like": (changed == 1) & levels.between(*preset)}
+    return _totals(g, marks, ["tier_a"])
+
+
+def person_structure(df: DataFrame, key: str, body: list[str], garment: list[str], ease: list[str], cloth: str, target: str) -> DataFrame:
+    """Same person, several rows: body measures that contradict one another (groups, rows), what varies, groups that make a
+    tier-C comparison (another cloth and target, garment varies, body constant) and their rows, and the most cloths of a person."""
+    g = _multiple(df, [key], [*body, *garment, *ease, cloth, target])
+    other, goal = F.col(f"d_{cloth}") > 1, F.col(f"d_{target}") > 1
+    marks = {"inconsistent_body": _varies(body), "body_constant": ~_varies(body), "different_cloth": other, "different_target": goal, "garment_varies": _varies(garment), "ease_varies": _varies(ease), "tier_c": ~_varies(body) & other & _varies(garment) & goal}
+    return _totals(g, marks, ["inconsistent_body", "tier_c"], most_cloths=F.coalesce(F.max(f"d_{cloth}"), F.lit(0)))
+
+
+def cloth_structure(df: DataFrame, key: str, body: list[str], garment: list[str], person: str, target: str) -> DataFrame:
+    """Same cloth, several rows: garment measures that contradict one another (groups, rows), other persons, targets and
+    bodies, contradicting measures on different persons, and varied bodies under constant measures."""
+    g = _multiple(df, [key], [*body, *garment, person, target])
+    who, goal = F.col(f"d_{person}") > 1, F.col(f"d_{target}") > 1
+    marks = {"inconsistent_garment": _varies(garment), "different_person": who, "different_target": goal, "body_varies": _varies(body), "garment_constant": ~_varies(garment)}
+    marks |= {"measured_apart": _varies(garment) & who, "body_varied_alone": ~_varies(garment) & who & goal & _varies(body)}
+    return _totals(g, marks, ["inconsistent_garment"])
+
+
+def variation_types(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(varying, groups): which of the columns change together within the groups of ``keys``, as names joined by ``+``."""
+    label = F.concat_ws("+", *(F.when(F.col(f"d_{c}") > 1, F.lit(c)) for c in columns))
+    return _multiple(df, keys, columns).filter(_varies(columns)).groupBy(label.alias("varying")).agg(F.count(F.lit(1)).alias("groups"))
+
+
 def repeated_vectors(df: DataFrame, columns: list[str], decimals: int | None = None) -> DataFrame:
     """Distinct vectors, repeated ones, rows in them, greatest and mean frequency; optionally after rounding."""
     v = [half_even(c, decimals).alias(c) if decimals is not None else F.col(c) for c in columns]

@@ -109,6 +109,21 @@ def flip_rate(rows: DataFrame, state: str, condition: str, action: str, utility:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col(f"{default}.a") != F.col(f"{other}.a")).cast("long")).alias("flips"), F.avg((F.col(f"{default}.a") != F.col(f"{other}.a")).cast("double")).alias("flip_rate"))
 
 
+def ood_table(rows: DataFrame, parts: dict[str, Column], error: Column, side_effect: Column) -> DataFrame:
+    """(part, n, mae, side_effect_rate) for conditions that may overlap; one pass, whatever their number."""
+    named = F.filter(F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in parts.items())), lambda p: p.isNotNull())
+    each = rows.select(error.alias("e"), side_effect.cast("double").alias("s"), F.explode(named).alias("part"))
+    return each.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae"), F.avg("s").alias("side_effect_rate"))
+
+
+def disagreement(rows: DataFrame, same: list[str], condition: str, first: str, second: str, value: str, limit: float) -> DataFrame:
+    """One row: over what is alike in ``same``, how far the mean ``value`` under two conditions is apart: pairs, the mean and
+    largest gap, and the share of gaps over ``limit``."""
+    means = rows.groupBy(*same).pivot(condition, [first, second]).agg(F.avg(value))
+    gap = F.abs(F.col(first) - F.col(second))
+    return means.select(gap.alias("gap")).filter("gap IS NOT NULL").agg(F.count(F.lit(1)).alias("pairs"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("largest_gap"), F.avg((F.col("gap") > limit).cast("double")).alias("disagree"))
+
+
 def necessity_verdict(flips: DataFrame, accuracies: DataFrame, base: str, whole: str, least_pairs: int = 8, least_gain: float = 0.02) -> DataFrame:
     """One row from a row of ``flip_rate`` and accuracies (features, accuracy, low, high): the claim that ``whole`` is needed
     beside ``base`` stands if there are enough pairs, one flips at least, and accuracy rises with separated intervals."""

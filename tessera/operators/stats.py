@@ -175,6 +175,28 @@ def trend(df: DataFrame, order: str, value: str, window: int = 30) -> DataFrame:
     )
 
 
+def trend_verdict(df: DataFrame, order: str, value: str, window: int = 30) -> DataFrame:
+    """One row: n, slope, growth (mean of the last ``window`` rows less that of the first), spread of the last ones, the share
+    of them that rise, and the verdict on a metric of memory in MB; fewer rows than a window are no evidence."""
+    last = df.agg(F.count(F.lit(1)).alias("_n"))
+    ordered = Window.orderBy(order)  # one row per shard: the metric's table is small by nature
+    r = df.select(F.col(value).cast("double").alias("y"), F.row_number().over(ordered).alias("i"), F.lag(value).over(ordered).alias("was")).join(F.broadcast(last))
+    tail = F.col("i") > F.col("_n") - window
+    in_tail = F.when(tail, F.col("y"))
+    rises = F.when(F.col("i") > F.col("_n") - window + 1, (F.col("y") > F.col("was")).cast("double"))
+    row = r.agg(
+        F.count(F.lit(1)).alias("n"), F.regr_slope(F.col("y"), F.col("i").cast("double")).alias("slope"), (F.avg(in_tail) - F.avg(F.when(F.col("i") <= window, F.col("y")))).alias("growth"),
+        F.stddev_pop(in_tail).alias("last_sd"), (F.max(in_tail) - F.min(in_tail)).alias("last_spread"), F.avg(rises).alias("last_up_share"),
+    )
+    g, sd, spread = F.col("growth"), F.col("last_sd"), F.col("last_spread")
+    # The names of the verdicts, their order, and their limits in MB.
+    verdict = (
+        F.when(F.col("n") < window, "INSUFFICIENT_EVIDENCE").when((g > 200) & (F.col("slope") > 0.3) & (F.col("last_up_share") > 0.6), "MONOTONIC_GROWTH").when((g > 100) & (sd < 30) & (spread < 80), "POSSIBLE_ALLOCATOR_RETENTION")
+        .when((sd < 40) & (spread < 100) & (F.abs("slope") < 0.15), "STABLE_PLATEAU").when((g > 50) & (sd < 50), "POSSIBLE_ALLOCATOR_RETENTION").otherwise("INSUFFICIENT_EVIDENCE")
+    )
+    return row.withColumn("verdict", verdict)
+
+
 def grid_share(df: DataFrame, fields: list[str], steps: list[float]) -> DataFrame:
     long = long_form(df, fields, []).filter(F.col("value").isNotNull())
     return long.groupBy("field").agg(*(F.avg(on_grid("value", s).cast("double")).alias(f"on_{s:g}".replace(".", "_")) for s in steps))

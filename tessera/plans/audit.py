@@ -361,6 +361,17 @@ def shard_trend(spark, sf_dir):
     return T.trend(h, "h", "v").select("n", *r6("slope", "r2", "first_mean", "last_mean", "sd", "spread", "up_share"))
 
 
+@query("trend_verdict", """WITH h AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 3600 AS h, avg(value) AS v FROM events GROUP BY 1), s AS (SELECT v, row_number() OVER (ORDER BY h) AS i, count(*) OVER () AS n, lag(v) OVER (ORDER BY h) AS was FROM h),
+  r AS (SELECT count(*) AS n, regr_slope(v, i) AS slope, avg(v) FILTER (i > n - 30) - avg(v) FILTER (i <= 30) AS growth, stddev_pop(v) FILTER (i > n - 30) AS last_sd, max(v) FILTER (i > n - 30) - min(v) FILTER (i > n - 30) AS last_spread, avg(CAST(v > was AS DOUBLE)) FILTER (i > n - 29) AS last_up_share FROM s)
+  SELECT n, round(slope, 6) AS slope, round(growth, 6) AS growth, round(last_sd, 6) AS last_sd, round(last_spread, 6) AS last_spread, round(last_up_share, 6) AS last_up_share,
+    CASE WHEN n < 30 THEN 'INSUFFICIENT_EVIDENCE' WHEN growth > 200 AND slope > 0.3 AND last_up_share > 0.6 THEN 'MONOTONIC_GROWTH' WHEN growth > 100 AND last_sd < 30 AND last_spread < 80 THEN 'POSSIBLE_ALLOCATOR_RETENTION'
+      WHEN last_sd < 40 AND last_spread < 100 AND abs(slope) < 0.15 THEN 'STABLE_PLATEAU' WHEN growth > 50 AND last_sd < 50 THEN 'POSSIBLE_ALLOCATOR_RETENTION' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM r""")
+def trend_verdict(spark, sf_dir):
+    """The verdict on hourly means of events as the per-shard metric."""
+    h = table(spark, sf_dir, "events").groupBy(F.floor(F.unix_timestamp(F.date_trunc("hour", "ts")) / 3600).alias("h")).agg(F.avg("value").alias("v"))
+    return T.trend_verdict(h, "h", "v").select("n", *r6("slope", "growth", "last_sd", "last_spread", "last_up_share"), "verdict")
+
+
 @query("rolling_mean", "WITH h AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 3600 AS hour, event_type, avg(value) AS v FROM events GROUP BY 1, 2) SELECT event_type, hour, round(avg(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS rolling FROM h")
 def rolling_mean(spark, sf_dir):
     """F4."""

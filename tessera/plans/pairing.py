@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tessera.functions.ordering import with_places
 from tessera.functions import scalars as S
+from tessera.functions.ordering import with_places
+from tessera.functions.prefix import exact_percentiles
 from tessera.operators import contracts as K
 from tessera.operators import discovery as V
 from tessera.operators import lattice as L
@@ -140,6 +141,52 @@ _varying("discovery_same_cloth", ["cloth"], ["person", "bust", "body_a"], "E18."
 _varying("discovery_same_target", ["target"], ["person", "cloth", "split"], "E19.")
 
 
+_BODY, _GARMENT = ["body_a", "body_b"], ["bust", "length", "sleeve"]
+
+
+def _structure_sql(keys: str, columns: list[str], marks: dict[str, str], rows: list[str], more: str = "") -> str:
+    d = ", ".join(f"count(DISTINCT {c}) AS d_{c}" for c in columns)
+    picked = ", ".join([f"CAST(count(*) FILTER ({m}) AS BIGINT) AS {name}" for name, m in marks.items()] + [f"CAST(coalesce(sum(size) FILTER ({marks[r]}), 0) AS BIGINT) AS {r}_rows" for r in rows])
+    return f"WITH {SAMPLES}, g AS (SELECT count(*) AS size, {d} FROM samples GROUP BY {keys} HAVING count(*) > 1) SELECT count(*) AS groups, {picked}{more} FROM g"
+
+
+_SQL_BODY, _SQL_GARMENT = "(d_body_a > 1 OR d_body_b > 1)", "(d_bust > 1 OR d_length > 1 OR d_sleeve > 1)"
+_SQL_SINGLE = "CAST(d_bust > 1 AS INTEGER) + CAST(d_length > 1 AS INTEGER) + CAST(d_sleeve > 1 AS INTEGER) = 1"
+
+
+@query("person_cloth_structure", _structure_sql("person, cloth", [*_BODY, *_GARMENT, "target"], {
+    "different_target": "d_target > 1", "different_garment": _SQL_GARMENT, "different_body": _SQL_BODY, "body_constant": f"NOT {_SQL_BODY}", "tier_a": f"d_target > 1 AND {_SQL_GARMENT} AND NOT {_SQL_BODY}",
+    "single_variable": _SQL_SINGLE, "preset_like": f"{_SQL_SINGLE} AND greatest(d_bust, d_length, d_sleeve) BETWEEN 2 AND 8",
+}, ["tier_a"]))
+def person_cloth_structure(spark, sf_dir):
+    """E15 with tier-A groups."""
+    return V.person_cloth_structure(samples(spark, sf_dir), ["person", "cloth"], _BODY, _GARMENT, "target")
+
+
+@query("person_structure", _structure_sql("person", [*_BODY, *_GARMENT, "ease", "ease_ratio", "cloth", "target"], {
+    "inconsistent_body": _SQL_BODY, "body_constant": f"NOT {_SQL_BODY}", "different_cloth": "d_cloth > 1", "different_target": "d_target > 1", "garment_varies": _SQL_GARMENT, "ease_varies": "d_ease > 1 OR d_ease_ratio > 1",
+    "tier_c": f"NOT {_SQL_BODY} AND d_cloth > 1 AND d_target > 1 AND {_SQL_GARMENT}",
+}, ["inconsistent_body", "tier_c"], ", max(d_cloth) AS most_cloths"))
+def person_structure(spark, sf_dir):
+    """E16 with consistency issues and tier-C groups."""
+    return V.person_structure(samples(spark, sf_dir), "person", _BODY, _GARMENT, ["ease", "ease_ratio"], "cloth", "target")
+
+
+@query("cloth_structure", _structure_sql("cloth", [*_BODY, *_GARMENT, "person", "target"], {
+    "inconsistent_garment": _SQL_GARMENT, "different_person": "d_person > 1", "different_target": "d_target > 1", "body_varies": _SQL_BODY, "garment_constant": f"NOT {_SQL_GARMENT}", "measured_apart": f"{_SQL_GARMENT} AND d_person > 1",
+    "body_varied_alone": f"NOT {_SQL_GARMENT} AND d_person > 1 AND d_target > 1 AND {_SQL_BODY}",
+}, ["inconsistent_garment"]))
+def cloth_structure(spark, sf_dir):
+    """E18 with varied bodies under constant measures."""
+    return V.cloth_structure(samples(spark, sf_dir), "cloth", _BODY, _GARMENT, "person", "target")
+
+
+@query("variation_types", "WITH " + SAMPLES + ", g AS (SELECT count(DISTINCT bust) AS b, count(DISTINCT length) AS l, count(DISTINCT sleeve) AS s FROM samples GROUP BY target HAVING count(*) > 1) SELECT concat_ws('+', CASE WHEN b > 1 THEN 'bust' END, CASE WHEN l > 1 THEN 'length' END, CASE WHEN s > 1 THEN 'sleeve' END) AS varying, count(*) AS groups FROM g WHERE b > 1 OR l > 1 OR s > 1 GROUP BY 1")
+def variation_types(spark, sf_dir):
+    """Garment measures that change together, here over the rows of a target."""
+    return V.variation_types(samples(spark, sf_dir), ["target"], _GARMENT)
+
+
 @query("person_family", "WITH " + SAMPLES + ", r AS (SELECT person, fingerprint, target, row_number() OVER () AS r FROM samples), p AS (SELECT least(CAST(bit_count(xor(x.fingerprint, y.fingerprint)) AS INTEGER), 5) AS distance, x.target <> y.target AS diff FROM r x JOIN r y ON x.person = y.person AND x.r < y.r) SELECT distance, count(*) AS pairs, CAST(count(*) FILTER (diff) AS BIGINT) AS different FROM p GROUP BY distance")
 def person_family(spark, sf_dir):
     """E17 over all pairs of each person: distances of fingerprints up to 4 bits and beyond, and whether targets differ."""
@@ -304,12 +351,20 @@ def flip_rate(spark, sf_dir):
     return L.flip_rate(t, "state", "family", "cloth", "u", "N", "R").select("pairs", "flips", *r6("flip_rate"))
 
 
-@query("ood_table", "WITH " + _TRANS + ", x AS (SELECT CASE WHEN family = 'N' AND intended <= 3 THEN 'iid' WHEN family <> 'N' THEN 'other_family' ELSE 'large_action' END AS part, abs(realized - intended) AS e, side > 4 AS se FROM t) SELECT part, count(*) AS n, round(avg(e), 6) AS mae, round(avg(CAST(se AS DOUBLE)), 6) AS side_effect_rate FROM x GROUP BY part")
+_OOD = {"iid": "family = 'N' AND intended <= 3 AND state % 5 <> 0", "unseen_body": "state % 5 = 0", "other_family": "family <> 'N'", "large_action": "intended > 3"}
+
+
+@query("ood_table", "WITH " + _TRANS + ", x AS (" + " UNION ALL ".join(f"SELECT '{part}' AS part, abs(realized - intended) AS e, side > 4 AS se FROM t WHERE {where}" for part, where in _OOD.items()) + ") SELECT part, count(*) AS n, round(avg(e), 6) AS mae, round(avg(CAST(se AS DOUBLE)), 6) AS side_effect_rate FROM x GROUP BY part")
 def ood_table(spark, sf_dir):
-    """E38."""
-    t = _transitions(spark, sf_dir)
-    part = F.when((F.col("family") == "N") & (F.col("intended") <= 3), "iid").when(F.col("family") != "N", "other_family").otherwise("large_action")
-    return t.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("realized") - F.col("intended"))), 6).alias("mae"), F.round(F.avg((F.col("side") > 4).cast("double")), 6).alias("side_effect_rate"))
+    """Errors and side effects on the training range and outside it; a row may lie outside in several ways."""
+    rules = {part: F.expr(where) for part, where in _OOD.items()}
+    return L.ood_table(_transitions(spark, sf_dir), rules, F.abs(F.col("realized") - F.col("intended")), F.col("side") > 4).select("part", "n", *r6("mae", "side_effect_rate"))
+
+
+@query("material_disagreement", "WITH " + _TRANS + ", b AS (SELECT state, intended, family, avg(realized) AS m FROM t GROUP BY ALL), p AS (SELECT x.m - y.m AS d FROM b x JOIN b y USING (state, intended) WHERE x.family = 'N' AND y.family = 'R') SELECT count(*) AS pairs, round(avg(abs(d)), 6) AS mean_gap, round(max(abs(d)), 6) AS largest_gap, round(avg(CAST(abs(d) > 1 AS DOUBLE)), 6) AS disagree FROM p")
+def material_disagreement(spark, sf_dir):
+    """One action on one state under two materials, how far apart the results are."""
+    return L.disagreement(_transitions(spark, sf_dir), ["state", "intended"], "family", "N", "R", "realized", 1.0).select("pairs", *r6("mean_gap", "largest_gap", "disagree"))
 
 
 @query("rater_agreement", "WITH v AS (SELECT user_id AS item, event_type AS cat, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT item, sum(n) AS r, sum(n * (n - 1)) AS agree FROM v GROUP BY item HAVING sum(n) > 1), o AS (SELECT count(*) AS items, avg(agree / (r * (r - 1))) AS agreement FROM p), s AS (SELECT sum(n * n) / (sum(n) * sum(n)) AS chance FROM (SELECT cat, CAST(sum(n) AS DOUBLE) AS n FROM v WHERE item IN (SELECT item FROM p) GROUP BY cat)) SELECT items, round(agreement, 6) AS agreement, round(chance, 6) AS chance, round((agreement - chance) / (1 - chance), 6) AS kappa FROM o, s")
@@ -340,7 +395,8 @@ def group_split(spark, sf_dir):
 def median_baseline(spark, sf_dir):
     """H3."""
     s = samples(spark, sf_dir)
-    m = s.filter(F.col("split") == "train").agg(F.percentile("ease", F.lit(0.5)).alias("m"))
+    counts = s.filter(F.col("split") == "train").groupBy("ease").agg(F.count(F.lit(1)).alias("n"))
+    m = exact_percentiles(counts, [], "ease", "n", (0.5,), ["m"])
     return T.errors(s.join(F.broadcast(m)), F.col("ease"), F.col("m"), ["split"]).select("split", "n", *r6("mae", "rmse"))
 
 

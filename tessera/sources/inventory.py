@@ -78,6 +78,24 @@ def schema_difference(found: T.StructType, wanted: T.StructType) -> list[str]:
     return [f"missing {n}" for n in w if n not in f] + [f"extra {n}" for n in f if n not in w] + [f"{n} is {f[n]}, not {w[n]}" for n in w if n in f and f[n] != w[n]]
 
 
+def contract_report(df: DataFrame, wanted: T.StructType) -> DataFrame:
+    """Per column of the table or the contract: state (ok, missing, extra or the types that differ), and over all rows how many
+    are null and how many hold a value that the wanted type cannot take.  One scan."""
+    found = {f.name: f.dataType for f in df.schema}
+    goal = {f.name: f.dataType for f in wanted}
+    parts = []
+    for name in dict.fromkeys([*goal, *found]):
+        if name not in found:
+            state, nulls, bad = "missing", F.count(F.lit(1)), F.lit(0).cast("long")
+        elif name not in goal:
+            state, nulls, bad = "extra", F.count_if(F.col(name).isNull()), F.lit(0).cast("long")
+        else:
+            state = "ok" if found[name] == goal[name] else f"{found[name].simpleString()}, not {goal[name].simpleString()}"
+            nulls, bad = F.count_if(F.col(name).isNull()), F.count_if(F.col(name).isNotNull() & F.col(name).try_cast(goal[name]).isNull())
+        parts.append(F.struct(F.lit(name).alias("column"), F.lit(state).alias("state"), nulls.alias("nulls"), bad.alias("bad")))
+    return df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+
+
 def conform(df: DataFrame, wanted: T.StructType) -> DataFrame:
     """Columns of ``wanted`` in its order and types: missing ones are null, missing or null booleans false."""
     cols = []
