@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read_table, slices, text_or_empty
 
 MARK = "▁"
+#: Stands for a mark of the text itself while it is cut: a lone surrogate, which no text can hold.
+OWN_MARK = "\ud800"
 #: Weight of a piece is exp(ALPHA * score); scores of the vocabulary fall by one from piece to piece.
 ALPHA = 1e-4
 SEED = 17
@@ -44,14 +46,13 @@ class Lattices:
         names = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.all_bytes = frozenset(self.byte_ids.values())
         if len(self.byte_ids) < 256:
             raise ValueError("lossless decoding asks for a vocabulary with byte fallback")
         self.weight = {names[i]: (i, alpha * model.get_score(i)) for i in plain}
         if any(MARK in n.lstrip(MARK) for n in self.weight):
             raise ValueError("a piece with an inner word mark would join units")
         self.fallback = alpha * (min(model.get_score(i) for i in plain) - 10)
-        self.bytes_of = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].encode() for i in range(size)]
+        self.bytes_of = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(size)]
         #: By length: sorted hashes of the beginnings of pieces, and which are pieces (id or -1, weight).
         self.tables = []
         for length in range(1, max(map(len, self.weight)) + 1):
@@ -155,7 +156,7 @@ def _uniform(keys: np.ndarray) -> np.ndarray:
 def sample(texts: list[str], keys: np.ndarray, path: str, alpha: float = ALPHA) -> list[np.ndarray]:
     """Sampled ids of each text; ``keys``: one 64-bit number a row, from its row key and the seed."""
     model = lattices(path, alpha)
-    units = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    units = [_UNIT.findall(MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
     if len(model.first) > CACHED_CHARACTERS:
         model.clear()
     model.add(sorted({u for row in units for u in row if u not in model.ends}))
@@ -189,7 +190,7 @@ def sample(texts: list[str], keys: np.ndarray, path: str, alpha: float = ALPHA)
     unit, found = unit[order], found[order]
     rare = np.flatnonzero(found < 0)
     if len(rare):
-        parts = {c: [model.byte_ids[b] for b in chr(-c - 1).encode()] for c in set(found[rare].tolist())}
+        parts = {c: [model.byte_ids[b] for b in chr(-c - 1).replace(OWN_MARK, MARK).encode()] for c in set(found[rare].tolist())}
         width = np.ones(len(found), np.int64)
         width[rare] = [len(parts[c]) for c in found[rare].tolist()]
         at = np.cumsum(width) - width
@@ -201,31 +202,19 @@ def sample(texts: list[str], keys: np.ndarray, path: str, alpha: float = ALPHA)
     return np.split(found.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
 
 
-def encode_texts(texts: list[str], keys: np.ndarray, path: str, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Ids of each text; one that holds the word mark itself is the mark and then bytes only."""
-    model = lattices(path, alpha)
-    ids = sample(["" if MARK in t else t for t in texts], keys, path, alpha)
-    return [np.array([model.weight[MARK][0], *(model.byte_ids[b] for b in t.encode())], np.int32) if MARK in t else x for t, x in zip(texts, ids, strict=True)]
-
-
 def decode(ids: np.ndarray, path: str, alpha: float = ALPHA) -> str:
     """The text of ids; of any segmentation of a text, that text.
 
-    Bytes only, after the first mark, are the text as it is.  Where a text without a mark gives such ids, it holds no
-    space, and both ways of reading them agree.
+    Marks of pieces are spaces, before bytes are joined; the mark of the text itself is always written in bytes.
     """
-    model, found = lattices(path, alpha), ids.tolist()
-    raw = b"".join(map(model.bytes_of.__getitem__, found[1:])).decode() if found else ""
-    if found and found[0] == model.weight[MARK][0] and model.all_bytes.issuperset(found[1:]):
-        return raw
-    return (model.bytes_of[found[0]].decode() + raw).replace(MARK, " ")[1:] if found else ""
+    return b"".join(map(lattices(path, alpha).bytes_of.__getitem__, ids.tolist())).decode()[1:]
 
 
 def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, text, ids (array<int>): one sampled segmentation of each whole text.
 
-    Null counts as empty, and an empty text has no ids.  The word mark itself, if a text holds it, cannot be told from
-    a space, so such a text is written in bytes throughout and stays lossless.  Rows with equal doc_id and text get
+    Null counts as empty, and an empty text has no ids.  The word mark itself, if a text holds it, is written in bytes,
+    which tells it from a space; the rest of the text is sampled as any other.  Rows with equal doc_id and text get
     equal ids, a null doc_id is a key like any other, an empty table gives an empty result, and other columns are not
     read.
     """
@@ -234,7 +223,7 @@ def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-                ids = encode_texts(part.column("text").to_pylist(), keys, path, alpha)
+                ids = sample(part.column("text").to_pylist(), keys, path, alpha)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), lists], ["doc_id", "text", "ids"])

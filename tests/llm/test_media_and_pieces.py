@@ -165,10 +165,22 @@ def test_media_rows(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60) | st.text(S.MARK + " a\x01\u0378", max_size=12), min_size=1, max_size=4))
 def test_any_text_survives(texts):
-    ids = S.encode_texts(texts, np.arange(len(texts)).astype(np.uint64), S.default_model())
+    ids = S.sample(texts, np.arange(len(texts)).astype(np.uint64), S.default_model())
     assert [S.decode(x, S.default_model()) for x in ids] == texts
 
 
+def test_a_text_that_holds_the_mark_is_sampled_like_any_other():
+    model, text = S.lattices(S.default_model(), S.ALPHA), "some text with a \u2581 mark and \u2581words behind it, at the end \u2581"
+    keys = np.arange(40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    got = S.sample([text] * 40, keys, S.default_model())
+    plain = S.sample([text.replace(S.MARK, "")] * 40, keys, S.default_model())
+    mark = [model.byte_ids[b] for b in S.MARK.encode()]
+    assert all(S.decode(x, S.default_model()) == text for x in got) and len({tuple(x) for x in got}) > 20
+    for x, y in zip(got, plain, strict=True):
+        byte = [i in set(model.byte_ids.values()) for i in x.tolist()]
+        assert sum(byte) == 9 and [i for i, b in zip(x.tolist(), byte, strict=True) if b] == mark * 3 and len(x) < len(y) + 20
+
+
 def test_sampling_follows_the_lattice():
     model = S.lattices(S.default_model(), S.ALPHA)
     n = 4000
@@ -177,7 +189,7 @@ def test_sampling_follows_the_lattice():
     ways = {("▁at",): w("▁at"), ("▁a", "t"): w("▁a") * w("t"), ("▁", "at"): w("▁") * w("at"), ("▁", "a", "t"): w("▁") * w("a") * w("t")}
     seen = {k: 0 for k in ways}
     for x in got:
-        seen[tuple(model.bytes_of[i].decode() for i in x)] += 1
+        seen[tuple(model.bytes_of[i].decode().replace(" ", S.MARK) for i in x)] += 1
     total = sum(ways.values())
     assert all(abs(seen[k] / n - v / total) < 0.04 for k, v in ways.items())
 
