@@ -39,7 +39,7 @@ def boosted(rows: DataFrame, features: list[str], label: str, part: str, trees:
 
 
 def pca_ridge(rows: DataFrame, vector: str, label: str, part: str, k: int = 16, alpha: float = 1.0) -> DataFrame:
-    """PCA of an array column, then ridge."""
+    """PCA of an array column, then ridge; ``alpha`` counts against the label in units of its deviation, as Spark has it."""
     v = rows.withColumn("_v", array_to_vector(F.col(vector)))
     train = v.filter(F.col(part) == "train")
     stages = [StandardScaler(inputCol="_v", outputCol="_s", withMean=True), PCA(k=k, inputCol="_s", outputCol="_x"), LinearRegression(featuresCol="_x", labelCol=label, regParam=alpha / max(1, train.count()), elasticNetParam=0.0, standardization=False)]

@@ -202,16 +202,18 @@ def test_perceptual_hashes(spark, sf):
 
 
 @pytest.mark.parametrize("name", ["pca_ridge", "decision_classifier", "boosted_trees"])
-def test_learners_beat_a_constant(spark, sf, name, monkeypatch):
+def test_learner_queries(spark, sf, name, monkeypatch):
+    """On the given tables; ``test_trends`` holds the learners against a constant and numpy where there is something to learn."""
     if name == "boosted_trees":
         real = registry.learning.M.boosted
-        monkeypatch.setattr(registry.learning.M, "boosted", lambda *a, **k: real(*a, **k | {"trees": 3}))
+        monkeypatch.setattr(registry.learning.M, "boosted", lambda *a, **k: real(*a, **k | {"trees": 20}))
     got = {r.part: r for r in registry.queries()[name](spark, sf).collect()}
     assert set(got) == {"train", "test"} and all(r.n > 0 for r in got.values())
     if name == "boosted_trees":
-        spread = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.stddev("l_quantity")).first()[0]
-        assert got["test"].rmse < 2 * spread
+        spread = registry.learning._rows(spark, sf).filter("part = 'test'").select(F.stddev("ease")).first()[0]
+        assert got["test"].rmse < 0.9 * spread
     elif name == "decision_classifier":
-        assert 0 < got["test"].accuracy <= 1
+        top = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").count().select(F.max("count") / F.sum("count")).first()[0]
+        assert got["train"].accuracy >= top - 0.02
     else:
-        assert 0 < got["train"].rmse <= got["test"].rmse * 1.5
+        assert 0 < got["train"].rmse <= got["test"].rmse * 1.1
