@@ -68,11 +68,11 @@ def _pairs(spark, sf_dir):
 _REASON = "'tier ' || tier || '; same person; ' || CASE WHEN same_cloth THEN 'same cloth' ELSE 'different cloth' END || '; changes ' || intervention"
 
 
-@query("tiered_pairs", "WITH " + _PAIRS + f" SELECT row_number() OVER (ORDER BY tier, pair_id) AS place, pair_id, anchor_id, counterfactual_id, tier, hamming, intervention, delta_bust, delta_ease, confounds, round(CAST(control_score AS DOUBLE), 6) AS control_score, {_REASON} AS reason FROM scored")
+@query("tiered_pairs", "WITH " + _PAIRS + f", x AS (SELECT pair_id, anchor_id, counterfactual_id, tier, hamming, intervention, delta_bust, delta_ease, confounds, round(CAST(control_score AS DOUBLE), 6) AS control_score, {_REASON} AS reason FROM scored) SELECT row_number() OVER (ORDER BY tier, pair_id, delta_bust, delta_ease, hamming, confounds, control_score, reason, anchor_id) AS place, * FROM x")
 def tiered_pairs(spark, sf_dir):
-    """Pairs in their order, by tier and id."""
+    """Pairs in their order, by tier and id; pairs of samples that repeat an id by what they differ in."""
     p = _pairs(spark, sf_dir).select("pair_id", "anchor_id", "counterfactual_id", "tier", F.col("hamming").cast("long").alias("hamming"), "intervention", "delta_bust", "delta_ease", F.array_join("confound_flags", ",").alias("confounds"), *r6("control_score"), "reason")
-    return with_places(p, ["tier", "pair_id"])
+    return with_places(p, ["tier", "pair_id", "delta_bust", "delta_ease", "hamming", "confounds", "control_score", "reason", "anchor_id"])
 
 
 @query("pair_summary", "WITH " + _PAIRS + " SELECT tier, count(*) AS n, CAST(count(*) FILTER (cross_split) AS BIGINT) AS cross_split, round(avg(control_score), 6) AS mean_score, count(DISTINCT intervention) AS interventions FROM scored GROUP BY tier")
