@@ -33,7 +33,8 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     Null texts count as empty; empty texts form one group like any other.  Of equal texts the one with the most
     code points stays, then the smallest doc_id; a null doc_id comes after all others.  Rows that repeat one doc_id
-    with the same length are one document and share its ``kept``.  An empty table gives an empty result, and columns
+    with the same length are one document and share its ``kept``.  A very long text is normalised and hashed where it is
+    read; only its digest travels.  An empty table gives an empty result, and columns
     other than doc_id and text are ignored, whatever their names.
     """
     text = text_or_empty()

@@ -276,7 +276,8 @@ def extract(html: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points of text) per row of ``pages`` (page_id, url, html).
 
-    Null or empty html gives an empty text; rows that repeat give equal rows; an empty table gives an empty result;
+    Null or empty html gives an empty text; a very long page is read whole, in time linear in its tags; of paths with equal
+    ratios all are content or none; rows that repeat give equal rows; an empty table gives an empty result;
     other columns are not read, whatever their names.
     """
 

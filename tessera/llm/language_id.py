@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and texts without a letter get ``und``, score 0, and are rejected; so are texts whose calibrated score
     is below the model's threshold, though their best language is still named.  Whole texts are read, nothing but the
-    text enters; repeated rows get equal values, and an empty table gives an empty result.
+    text enters; of languages with equal scores the alphabetically first is named; repeated rows get equal values, and an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -222,7 +222,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text counts as empty and is the single id ``end_id``.  Rows that repeat a doc_id are packed as they come;
+    A null text counts as empty and is the single id ``end_id``.  A very long text is encoded whole and cut into pieces;
+    pieces of one length are interchangeable, so ties change only which sequence holds which.  Rows that repeat a doc_id are packed as they come;
     an empty table gives an empty result; other columns are not read.
     """
     return pack(pieces(docs, vocabulary, capacity, end_id), capacity)

@@ -157,7 +157,8 @@ def fit(rows: DataFrame) -> Scorer:
 def score(described: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score in [0, 1] and predicted (score >= threshold) of rows from ``describe``.
 
-    A row without a doc_id is not held out.  Null and empty texts are scored like any other, from zero statistics; repeated rows get equal scores, and an empty
+    A row without a doc_id is not held out.  A very long text is described whole; a score equal to the threshold is
+    predicted 1.  Null and empty texts are scored like any other, from zero statistics; repeated rows get equal scores, and an empty
     table gives an empty result.
     """
     shared = described.sparkSession.sparkContext.broadcast(scorer)

@@ -180,7 +180,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
     ``rank`` is the kind's place in KINDS.  Kinds are matched on their own, so spans of different kinds may overlap;
     a random token that touches a base span is left out.  Null and empty texts have no spans; an empty table gives
-    an empty result; rows that repeat a text get equal spans; other columns of ``docs`` are not read.  Texts are read
+    an empty result; rows that repeat a text get equal spans; a very long text is matched whole, its spans in runs; other columns of ``docs`` are not read.  Texts are read
     once and never shuffled.
     """
     base, tokens = _base_and_tokens(F.col("text"))

@@ -45,7 +45,10 @@ def _fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and the signed 64-bit ``fp`` of each whole text; null counts as empty, whose fingerprint is 0."""
+    """doc_id and the signed 64-bit ``fp`` of each whole text, however long; null counts as empty, whose fingerprint is 0.
+
+    A bit that exactly half of the hashes set is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
