@@ -223,13 +223,13 @@ def group_distances(df: DataFrame, group: str, bits: str, other: str, near: int
     return seen.unionByName(rest.filter("pairs > 0"))
 
 
-def greedy_clusters(df: DataFrame, key: str, bits: str, limit: int, max_rounds: int = 100) -> DataFrame:
+def greedy_clusters(df: DataFrame, key: str, bits: str, limit: int) -> DataFrame:
     """(fp, head, n): star clusters in first-seen order - a fingerprint that no earlier head is near becomes a head,
     others join the first head near them.  The order is that of each fingerprint's smallest ``key``.
 
     Heads are the first maximal independent set of the near graph: in each round a fingerprint all of whose earlier
-    undecided neighbours are settled is decided.  Rounds are checkpointed; their number is that of the longest chain
-    of dependent decisions, not of rows.
+    undecided neighbours are settled is decided, the earliest of all at least.  Rounds are checkpointed and go on until
+    every one is; their number is that of the longest chain of dependent decisions, not of rows.
     """
     nodes = df.filter(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("fp")).agg(F.min(key).alias("seen"), F.count(F.lit(1)).alias("n"))
     near = hamming_pairs(df, bits, limit)
@@ -237,13 +237,9 @@ def greedy_clusters(df: DataFrame, key: str, bits: str, limit: int, max_rounds:
     order = nodes.select(F.col("fp").alias("a"), F.col("seen").alias("sa")).join(both, "a").join(nodes.select(F.col("fp").alias("b"), F.col("seen").alias("sb")), "b")
     earlier = cut(order.filter("sb < sa").select("a", "b", "sb"))
     state = nodes.select("fp", F.lit(None).cast("boolean").alias("head"))
-    for _ in range(max_rounds):
+    while not state.filter("head IS NULL").isEmpty():
         seen = earlier.join(state.select(F.col("fp").alias("b"), F.col("head").alias("_h")), "b").groupBy("a").agg(F.coalesce(F.max(F.col("_h")), F.lit(False)).alias("covered"), F.max(F.col("_h").isNull()).alias("waiting"))
         state = cut(state.join(seen, state["fp"] == seen["a"], "left").select("fp", F.coalesce("head", F.when(F.col("covered"), False).when(~F.coalesce("waiting", F.lit(False)), True)).alias("head")))
-        if state.filter("head IS NULL").isEmpty():
-            break
-    else:
-        raise RuntimeError("clusters did not settle")
     joins = earlier.join(state.filter("head").select(F.col("fp").alias("b")), "b").groupBy("a").agg(F.min_by("b", "sb").alias("to"))
     out = nodes.join(state, "fp").join(joins, nodes["fp"] == joins["a"], "left")
     return out.select("fp", F.when(F.col("head"), F.col("fp")).otherwise(F.col("to")).alias("head"), "n")
