@@ -242,3 +242,21 @@ def test_owners_past_the_width_of_places(monkeypatch):
     assert set(name[(whose == 0) & (last >= 5000) & (first <= 5026)]) & set(name[whose == 3])
     monkeypatch.setattr(D, "PIECE", 900)
     assert all((x == y).all() for x, y in zip(D.owned_runs(texts, 64, 16), (whose, first, last, owner, name, context), strict=True))
+
+
+def test_query_on_planted_passages(spark, tmp_path):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("abcdeéghiß") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    long, short = [prose(n) for n in (100, 130, 200)], [" ".join(w[:4] for w in prose(n).split()) for n in (51, 55, 60)]
+    assert all(len(p.encode()) >= 400 for p in long) and all(len(p.split()) > 50 and len(p.encode()) < 400 for p in short)
+    texts = {("clean", i): prose(rng.randrange(20, 400)) for i in range(20)}
+    texts |= {("long", i): f"{prose(rng.randrange(20, 400))} {long[i % 3]} {prose(rng.randrange(20, 200))}" for i in range(9)}
+    texts |= {("short", i): f"{prose(rng.randrange(20, 400))} {short[i % 3]} {prose(rng.randrange(20, 200))}" for i in range(9)}
+    rows = [(i, t) for i, t in enumerate(texts.values())]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in D.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = brute([t.encode() for t in texts.values()], 400)
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i, _ in rows] == [(*w[:3], hashlib.sha256(w[3]).hexdigest()) for w in want]
+    # Passages of 400 bytes are all found; shorter ones, whatever their words, and other texts stay whole.
+    assert [got[i].has_repeats for i in range(len(rows))] == [kind == "long" for kind, _ in texts]
+    assert [got[i].n_bytes for i, _ in rows] == [len(t.encode()) for t in texts.values()]
