@@ -1,15 +1,17 @@
-"""Baselines with Spark's own learners: OLS, ridge, boosted trees, PCA with ridge, a small perceptron."""
+"""Baselines: OLS, ridge, boosted trees and PCA with ridge by Spark's own learners, a small perceptron over counted rows."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scratch import cut
+from tessera.operators import perceptron
 from tessera.operators.splits import ridge_weights
 from tessera.operators.stats import errors
 
@@ -34,8 +36,20 @@ def linear(rows: DataFrame, features: list[str], label: str, part: str, alpha: f
 
 
 def boosted(rows: DataFrame, features: list[str], label: str, part: str, trees: int = 200, seed: int = 0) -> DataFrame:
-    stages = [VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), GBTRegressor(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=4, stepSize=0.08, subsamplingRate=0.8, seed=seed)]
-    return _held_out(Pipeline(stages=stages).fit(rows.filter(F.col(part) == "train")), rows, label, part, "boosted")
+    """Errors per part of boosted trees.  Rows without a feature or label take no part.
+
+    Rows of one feature vector get one prediction from every tree, so squared errors around it need their number and
+    mean label only: trees are fitted on distinct vectors with these as weight and label, which gives every split the
+    gain it has over the rows.  Each tree sees ``subsamplingRate`` of the vectors,
+    which lie in their order, so a seed draws the same ones.  Errors count every row.
+    """
+    known = cut(rows.dropna(subset=[*features, label]).groupBy(part, *features, label).agg(F.count(F.lit(1)).alias("_n")))
+    points = cut(known.filter(F.col(part) == "train").groupBy(*features).agg(F.sum("_n").cast("double").alias("_w"), (F.sum(F.col(label) * F.col("_n")) / F.sum("_n")).alias("_mean")).orderBy(*features))
+    stages = [VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), GBTRegressor(featuresCol="_x", labelCol="_mean", weightCol="_w", maxIter=trees, maxDepth=4, stepSize=0.08, subsamplingRate=0.8, seed=seed)]
+    guesses = Pipeline(stages=stages).fit(points).transform(known.select(*features).distinct()).select(*features, "prediction")
+    e, n = F.col("prediction") - F.col(label), F.sum("_n")
+    out = known.join(guesses, features).groupBy(part).agg(n.alias("n"), (F.sum(F.abs(e) * F.col("_n")) / n).alias("mae"), F.sqrt(F.sum(e * e * F.col("_n")) / n).alias("rmse"))
+    return out.withColumn("model", F.lit("boosted"))
 
 
 def pca_ridge(rows: DataFrame, vector: str, label: str, part: str, k: int = 16, alpha: float = 1.0) -> DataFrame:
@@ -47,9 +61,26 @@ def pca_ridge(rows: DataFrame, vector: str, label: str, part: str, k: int = 16,
 
 
 def decisions(rows: DataFrame, features: list[str], action: str, part: str, seed: int = 0) -> DataFrame:
-    """Accuracy per part of a perceptron with two hidden layers over the vocabulary of actions."""
-    indexed = StringIndexer(inputCol=action, outputCol="_y", handleInvalid="keep").fit(rows)
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(features), 64, 64, len(indexed.labels) + 1], seed=seed, maxIter=60)]
-    y = indexed.transform(rows)
-    out = Pipeline(stages=stages).fit(y.filter(F.col(part) == "train")).transform(y)
-    return out.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("accuracy"))
+    """Accuracy per part of a perceptron with two hidden layers over the vocabulary of actions.
+
+    Equal rows add up: the perceptron is fitted on distinct (features, action) with their numbers, which has the loss of
+    the rows.  Rows without a feature take no part; a missing action is an action of its own, past the others.
+    """
+    counts = rows.groupBy(part, *features, action).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(counts)
+    names = [r[0] for r in counts.filter(F.col(action).isNotNull()).groupBy(action).agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), action).collect()]  # an action each
+    index = F.coalesce(*(F.when(F.col(action) == v, F.lit(i)) for i, v in enumerate(names)), F.lit(len(names))).cast("bigint") if names else F.lit(0).cast("bigint")
+    known = cut(counts.dropna(subset=features).select(part, *(F.col(f).cast("double").alias(f) for f in features), index.alias("_y"), "_n"))
+    train = known.filter(F.col(part) == "train")
+    n = F.sum("_n")
+    mean = train.agg(*(F.sum(F.col(f) * F.col("_n")) / n for f in features)).first()
+    if mean[0] is None:
+        return known.groupBy(part).agg(n.alias("n"), F.lit(None).cast("double").alias("accuracy"))
+    spread = train.agg(*(F.sqrt(F.try_divide(F.sum((F.col(f) - m) ** 2 * F.col("_n")), n - 1)) for f, m in zip(features, mean, strict=True))).first()
+    mean, scale = np.array(mean, np.float64), np.array([s or 1.0 for s in spread], np.float64)
+    layers = [len(features), 64, 64, len(names) + 1]
+    total = float(train.agg(n).first()[0])
+    loss = perceptron.summed(train.select(*features, "_y", "_n"), features, "_y", "_n", mean, scale, layers)
+    weights = perceptron.descend(lambda w: tuple(v / total for v in loss(w)), perceptron.start(layers, seed), rounds=60)
+    out = perceptron.predicted(known, features, mean, scale, weights, layers, "_guess")
+    return out.groupBy(part).agg(n.alias("n"), (F.sum(F.when(F.col("_guess") == F.col("_y"), F.col("_n")).otherwise(0)) / n).alias("accuracy"))
