@@ -18,15 +18,19 @@ from tessera.streaming import incremental
 QUERIES, SQL, query = catalog()
 
 
-def _rows(spark, sf_dir):
+def _measures(spark, sf_dir):
     part = F.when(F.col("person") % 5 == 0, "test").otherwise("train")
-    return cut(samples(spark, sf_dir).select("bust", "length", "sleeve", "body_a", "ease", "cloth", part.alias("part")))
+    return samples(spark, sf_dir).select("bust", "length", "sleeve", "body_a", "ease", "cloth", part.alias("part"))
+
+
+def _rows(spark, sf_dir):
+    return cut(_measures(spark, sf_dir))
 
 
 @query("boosted_trees")
 def boosted_trees(spark, sf_dir):
     """H6."""
-    return M.boosted(_rows(spark, sf_dir), ["bust", "length", "sleeve", "body_a"], "ease", "part")
+    return M.boosted(_measures(spark, sf_dir), ["bust", "length", "sleeve", "body_a"], "ease", "part")
 
 
 @query("pca_ridge")
