@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PANELS = "spec string, panels map<string, struct<vertices: array<array<double>>>>"
@@ -10,8 +10,6 @@ PANELS = "spec string, panels map<string, struct<vertices: array<array<double>>>
 
 def vertices(lines: DataFrame, mesh: str = "mesh_id") -> DataFrame:
     """(mesh, vertex, x, y, z) from rows (mesh, line number ``n``, ``value``) of ``v x y z`` text; other lines are skipped."""
-    from pyspark.sql import Window
-
     parts = F.split(F.trim("value"), r"\s+")
     found = lines.filter(F.col("value").startswith("v ")).select(mesh, "n", *(parts[i].try_cast("double").alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))))
     return found.dropna(subset=["x", "y", "z"]).select(mesh, (F.row_number().over(Window.partitionBy(mesh).orderBy("n")) - 1).alias("vertex"), "x", "y", "z")
@@ -32,11 +30,15 @@ def panel_measures(specs: DataFrame) -> DataFrame:
     ``specs``: rows (spec, panels) of the type PANELS.  Torso panels hold "torso" in their name, sleeves "sleeve"; the
     shoulder is the widest top edge of a torso panel.
     """
-    points = specs.select("spec", F.explode("panels").alias("panel", "p")).select("spec", "panel", F.explode("p.vertices").alias("v")).select("spec", F.lower("panel").alias("panel"), F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
-    box = points.groupBy("spec", "panel").agg((F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"), F.max("y").alias("top"))
-    edge = points.join(box.select("spec", "panel", "top"), ["spec", "panel"]).filter(F.abs(F.col("y") - F.col("top")) < 1e-6).groupBy("spec", "panel").agg((F.max("x") - F.min("x")).alias("edge"))
+    points = specs.filter(F.col("spec").isNotNull()).select("spec", F.explode("panels").alias("panel", "p")).select("spec", F.lower("panel").alias("panel"), F.explode("p.vertices").alias("v")).select("spec", "panel", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+    # A panel's points meet once: its top edge is told where they lie.
+    near = F.abs(F.col("y") - F.max("y").over(Window.partitionBy("spec", "panel"))) < 1e-6
+    at_top = lambda f: f(F.when(F.col("near"), F.col("x")))
+    box = points.withColumn("near", near).groupBy("spec", "panel").agg(
+        (F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"), (at_top(F.max) - at_top(F.min)).alias("edge"), F.count_if("near").alias("edged")
+    ).filter("edged > 0")
     torso, sleeve = F.col("panel").contains("torso"), F.col("panel").contains("sleeve")
-    return box.join(edge, ["spec", "panel"]).groupBy("spec").agg(
+    return box.groupBy("spec").agg(
         F.sum(F.when(torso, F.col("dx"))).alias("bust"), F.avg(F.when(torso, F.col("dy"))).alias("length"), F.avg(F.when(sleeve, F.col("dx"))).alias("sleeve"), F.max(F.when(torso, F.col("edge"))).alias("shoulder"),
         (F.max(torso.cast("int")) == 0).alias("missing_torso"), (F.max(sleeve.cast("int")) == 0).alias("missing_sleeve"),
     )

@@ -7,6 +7,7 @@ from tessera.functions.scratch import cut, hadoop_fs, release
 from tessera.operators import duplicates as D
 from tessera.operators import mesh as H
 from tessera.operators import pairs as P
+from tessera.sources.geometry import PANELS, panel_measures
 
 
 def shuffle_files(spark):
@@ -64,3 +65,10 @@ def test_neighbours_are_chosen_before_they_are_shuffled(spark):
         assert np.allclose([v for _, v in got[i]], [v for v, _ in want], rtol=1e-12, atol=0)
     lone = H.nearest(d.limit(1), d.limit(1).withColumnRenamed("pid", "oid"), "g", 3).collect()
     assert [n.near for n in lone] == [[]]
+
+
+def test_panels_need_no_join(spark):
+    d = spark.createDataFrame([("a", {"Front_torso": ([[0.0, 0.0], [4.0, 0.0], [3.0, 6.0], [1.0, 6.0]],), "sleeve": ([[0.0, 0.0], [2.0, 5.0]],)}), (None, {"torso": ([[0.0, 1.0]],)}), ("b", {"torso": ([[0.0, None]],)})], PANELS)
+    found = panel_measures(d)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("a", 4.0, 6.0, 2.0, 2.0, False, False)]
