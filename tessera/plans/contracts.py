@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.scratch import scratch_path
+from tessera.functions.scratch import passing_shuffles, scratch_path
 from tessera.operators import contracts as K
 from tessera.operators import stats as T
-from tessera.plans.adapters import FIELDS, MANIFEST, SAMPLES, manifest, samples, table
+from tessera.plans.adapters import FIELDS, LEAKS, MANIFEST, SAMPLES, manifest, samples, table
 from tessera.plans.audit import r6
 from tessera.plans.catalog import catalog
 from tessera.sources import inventory
@@ -36,11 +36,12 @@ _LEAK = "(leakage_person OR leakage_cloth OR leakage_target OR leakage_pair)"
 @query("leakage_export", "WITH " + MANIFEST + f" SELECT 'leakage' AS kind, id, person, cloth, target, split FROM manifest WHERE split = 'eval' AND {_LEAK} UNION ALL SELECT 'duplicate', id, person, cloth, target, split FROM manifest WHERE duplicate_pair OR duplicate_record")
 def leakage_export(spark, sf_dir):
     """Held-out rows with any of the four leaks, and rows that repeat a pair or a record, written as Parquet and read."""
-    m = manifest(spark, sf_dir)
-    leaks = m.filter((F.col("split") == "eval") & F.expr(_LEAK)).withColumn("kind", F.lit("leakage"))
-    both = leaks.unionByName(m.filter("duplicate_pair OR duplicate_record").withColumn("kind", F.lit("duplicate"))).select("kind", "id", "person", "cloth", "target", "split")
+    m = manifest(spark, sf_dir, [*LEAKS, "duplicate_pair", "duplicate_record"])
+    kinds = F.array_compact(F.array(F.when((F.col("split") == "eval") & F.expr(_LEAK), "leakage"), F.when(F.expr("duplicate_pair OR duplicate_record"), "duplicate")))
+    both = m.select(F.explode(kinds).alias("kind"), "id", "person", "cloth", "target", "split")
     path = scratch_path(spark, "leaks")
-    both.write.partitionBy("kind").parquet(path)
+    with passing_shuffles(spark):
+        both.write.partitionBy("kind").parquet(path)
     return spark.read.parquet(path).select(*both.columns)
 
 
@@ -84,7 +85,7 @@ def contract_sink(spark, sf_dir):
 @query("status_roll_up", "WITH " + MANIFEST + ", m AS (SELECT count(*) AS n, avg(CAST(usable AS DOUBLE)) AS u, avg(CAST(" + _LEAK + " AS DOUBLE)) AS l FROM manifest) SELECT 'ingest' AS track, CASE WHEN n > 0 THEN 'ESTABLISHED' ELSE 'NOT_RUN' END AS status, true AS allowed FROM m UNION ALL SELECT 'quality', CASE WHEN u >= 0.9 THEN 'ESTABLISHED' ELSE 'PARTIAL' END, true FROM m UNION ALL SELECT 'leakage', CASE WHEN l > 0.01 THEN 'NOT_ESTABLISHED' ELSE 'ESTABLISHED' END, true FROM m")
 def status_roll_up(spark, sf_dir):
     """E48."""
-    m = manifest(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("usable").cast("double")).alias("u"), F.avg(F.expr(_LEAK).cast("double")).alias("l"))
+    m = manifest(spark, sf_dir, LEAKS).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("usable").cast("double")).alias("u"), F.avg(F.expr(_LEAK).cast("double")).alias("l"))
     rules = {
         "ingest": F.when(F.col("n") > 0, "ESTABLISHED").otherwise("NOT_RUN"), "quality": F.when(F.col("u") >= 0.9, "ESTABLISHED").otherwise("PARTIAL"),
         "leakage": F.when(F.col("l") > 0.01, "NOT_ESTABLISHED").otherwise("ESTABLISHED"),
@@ -117,4 +118,4 @@ def distinct_over_columns(spark, sf_dir):
 def split_policy(spark, sf_dir):
     """E43."""
     leak = F.expr(_LEAK)
-    return manifest(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("official"), F.sum((~leak).cast("long")).alias("controlled"), F.sum(leak.cast("long")).alias("excluded"), F.avg(leak.cast("double")).alias("excluded_share")).select("split", "official", "controlled", "excluded", *r6("excluded_share"))
+    return manifest(spark, sf_dir, LEAKS).groupBy("split").agg(F.count(F.lit(1)).alias("official"), F.sum((~leak).cast("long")).alias("controlled"), F.sum(leak.cast("long")).alias("excluded"), F.avg(leak.cast("double")).alias("excluded_share")).select("split", "official", "controlled", "excluded", *r6("excluded_share"))
