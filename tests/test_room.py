@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.scratch import cut, hadoop_fs, release
+from tessera.functions.ordering import with_places
+from tessera.operators import discovery as V
 from tessera.operators import duplicates as D
 from tessera.operators import mesh as H
 from tessera.operators import pairs as P
@@ -72,3 +74,40 @@ def test_panels_need_no_join(spark):
     found = panel_measures(d)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [("a", 4.0, 6.0, 2.0, 2.0, False, False)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structures_do_not_multiply_their_rows(spark):
+    rows = [(p, p % 3 + i % 2, 1.0, 2.0, float(b), 5.0, None if i == 1 else 7.0, i, float(b)) for p in range(12) for i, b in enumerate([1, 1, 2, 3][: 1 + p % 4])]
+    d = spark.createDataFrame(rows, "person int, cloth int, ba double, bb double, bust double, length double, sleeve double, target int, ease double")
+    person = V.person_structure(d, "person", ["ba", "bb"], ["bust", "length", "sleeve"], ["ease"], "cloth", "target")
+    both = V.person_cloth_structure(d, ["person", "cloth"], ["ba", "bb"], ["bust", "length", "sleeve"], "target")
+    assert "Expand" not in plan(person) + plan(both)
+    assert plan(V.person_cloth_structure(d.repartition("person"), ["person", "cloth"], ["ba", "bb"], ["bust", "length", "sleeve"], "target")).count("Exchange hashpartitioning") == 1
+    r = person.first()
+    assert (r.groups, r.different_target, r.garment_varies, r.most_cloths) == (9, 9, 6, 2)
+    r = both.first()
+    assert r.single_variable == r.preset_like == r.different_garment
+
+
+def test_small_groups_meet_without_masks(spark):
+    d = spark.range(40).select((F.col("id") % 9).alias("g"), (F.col("id") * 7 % 5).alias("fp"), (F.col("id") % 2).alias("o"))
+    small = {tuple(r) for r in V.group_distances(d, "g", "fp", "o").collect()}
+    real, V.SMALL_GROUP = V.SMALL_GROUP, 0
+    try:
+        assert {tuple(r) for r in V.group_distances(d, "g", "fp", "o").collect()} == small
+    finally:
+        V.SMALL_GROUP = real
+
+
+def test_places_in_parts_are_those_of_one_sort(spark):
+    d = spark.range(5000).select((F.col("id") * 7919 % 1000).alias("a"), F.when(F.col("id") % 13 > 0, F.col("id") % 3).alias("b"), "id")
+    got = {r.place: (r.a, r.b, r.id) for r in with_places(d, ["b", "a", "id"], parts=4).collect()}
+    want = sorted(((i * 7919 % 1000, i % 3 if i % 13 else None, i) for i in range(5000)), key=lambda r: (r[1] is not None, r[1] or 0, r[0], r[2]))
+    assert [got[k] for k in range(1, 5001)] == want
+    assert with_places(d.limit(0), ["a"], parts=3).count() == 0
+    c = with_places(d, ["c", "id"], parts=3, derived={"c": -F.col("a")}).collect()
+    assert [r.id for r in sorted(c, key=lambda r: r.place)] == sorted(range(5000), key=lambda i: (-(i * 7919 % 1000), i)) and all(r.c == -r.a for r in c)
