@@ -111,3 +111,13 @@ def test_places_in_parts_are_those_of_one_sort(spark):
     assert with_places(d.limit(0), ["a"], parts=3).count() == 0
     c = with_places(d, ["c", "id"], parts=3, derived={"c": -F.col("a")}).collect()
     assert [r.id for r in sorted(c, key=lambda r: r.place)] == sorted(range(5000), key=lambda i: (-(i * 7919 % 1000), i)) and all(r.c == -r.a for r in c)
+
+
+def test_validation_counts_without_multiplying_rows(spark):
+    m = P.Measures(body=(), garment=("bust",))
+    d = spark.range(1).selectExpr("'x' AS pair_id", "'p' AS anchor_id", "'q' AS counterfactual_id", "'A' AS tier", "0.5D AS control_score", "1 AS anchor_target", "2 AS counterfactual_target",
+        *(f"{v}D AS {side}_{f}" for f in ("bust", "ease") for side, v in (("delta", 1.0), ("anchor", 2.0), ("counterfactual", 3.0))))
+    found = P.validate_pairs(d.unionAll(d.selectExpr("pair_id", "counterfactual_id AS anchor_id", "anchor_id AS counterfactual_id", *d.columns[3:])), m)
+    assert "Expand" not in plan(found)
+    r = found.first()
+    assert (r.n, r.ids, r.repeated_pairs, r.wrong_ids, r.wrong_deltas, r.sound) == (2, 1, 1, 2, 0, False)
