@@ -121,3 +121,13 @@ def test_validation_counts_without_multiplying_rows(spark):
     assert "Expand" not in plan(found)
     r = found.first()
     assert (r.n, r.ids, r.repeated_pairs, r.wrong_ids, r.wrong_deltas, r.sound) == (2, 1, 1, 2, 0, False)
+
+
+def test_the_audit_keeps_only_what_it_reads(spark, sf, monkeypatch):
+    from tessera.plans import pairing
+
+    kept = []
+    real = pairing.cut
+    monkeypatch.setattr(pairing, "cut", lambda d: kept.append(d.columns) or real(d))
+    assert pairing.QUERIES["shortcut_audit"](spark, sf).first().n > 0
+    assert len(kept) == 1 and not {"pair_id", "anchor_id", "counterfactual_id", "reason"} & set(kept[0])
